@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, packing, sharding
+from . import chat, exact_dedup, jaccard, packing, sharding
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
     "op4_sharding": sharding.op4_sharding,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_chat_formatting": chat.op8_chat_formatting,
