@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut
 
@@ -26,21 +27,22 @@ def look_up(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFram
 def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest reachable node) of all nodes in `links` (a, b long, in any order).
 
-    Large-star and small-star steps alternate until the links no longer change; each step is an aggregation and a
-    join on a node, so nothing is gathered in one place.
+    Large-star and small-star steps alternate until the links no longer change. A step deals the links by a node and
+    takes the least neighbour over a sorted, spilling window; nothing is gathered in memory or on the driver.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
+    least = F.min("v").over(Window.partitionBy("u"))
     state = None
-    while True:
+    while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        kept = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(kept.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        near = both.repartition("u").distinct().select("u", "v", F.least("u", least).alias("m"))
+        near = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        near = near.repartition("u").distinct().select("u", "v", least.alias("m"))
+        # A node keeps its least neighbour, and its other neighbours get that one in its place.
+        edges = cut(near.select("m", F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u")).select("u", F.col("m").alias("v")))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).distinct().unionByName(roots)

@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, steps, table
+from .common import cut, steps, table
 from .graph import components, look_up
 
 WORDS = 5
@@ -30,27 +30,24 @@ WORDS = 5
 LEAST, SCALE = 75, 100
 #: Members of a block of the matrix, and requests that are answered together.
 BLOCK = 128
+#: Rounds in which one node of each group is compared with one of another, before all others are.
+ROUNDS = 2
 #: Shingle hashes that a task gathers before it counts and sends them.
-GATHER = 1 << 22
+GATHER = 1 << 21
 #: Slots of the map from shingles to their commonness, half a byte each: 32 MB, whatever the input.
 LEVEL_BITS = 26
-#: Slots of the set of nodes whose shingles are wanted, a bit each: 8 MB.
-WANTED_BITS = 26
+#: Slots of the set of nodes whose shingles are wanted, a bit each: 4 MB.
+WANTED_BITS = 25
 
-_MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-
-
-class _Words(dict):
-    """Hashes of words; forgets all when it gets large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 19:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_words = _Words()
+_random = np.random.default_rng(5)
+_MULTIPLIERS = _random.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+#: A number for each byte, the same for both cases of a letter of A-Z, and one for each place in a word.
+_BYTES = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES[65:91] = _BYTES[97:123]
+_PLACES = _random.integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Bytes of words that are hashed at once.
+_HASHED = 1 << 19
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -59,30 +56,57 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of all texts, and where each text's words begin (with the end as the last entry)."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    space = _SPACE[data]
+    before, after = np.ones(len(data) + 1, bool), np.ones(len(data) + 1, bool)
+    before[1:], after[:-1] = space if len(data) else True, space if len(data) else True
+    before[at[:-1]] = True  # a word ends with its text
+    after[at[1:]] = True
+    starts, ends = np.flatnonzero(~space & before[:-1]), np.flatnonzero(~space & after[1:]) + 1
+    sizes = ends - starts
+    hashes = np.empty(len(starts), np.uint64)
+    done = 0
+    while done < len(starts):
+        upto = max(done + 1, int(np.searchsorted(ends, starts[done] + _HASHED, side="right")))
+        own = sizes[done:upto]
+        first = np.concatenate([[0], np.cumsum(own)[:-1]])
+        place = np.arange(int(own.sum())) - np.repeat(first, own)
+        letters = data[place + np.repeat(starts[done:upto], own)]
+        value = _BYTES[letters] * _PLACES[place & 4095]
+        if own.max() > 4096:
+            value *= (place >> 12).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        hashes[done:upto] = np.add.reduceat(value, first)
+        done = upto
+    return _mixed(hashes), np.searchsorted(starts, at)
+
+
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     """The sorted 64-bit hashes of the distinct shingles of each text.
 
     Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased. A text of fewer words than a shingle has its
     whole sequence as its one shingle; one without words has none.
     """
-    split = [text.encode().lower().split() if text else [] for text in texts]
-    flat = np.fromiter((_words[w] for ws in split for w in ws), np.uint64, sum(map(len, split)))
-    with np.errstate(over="ignore"):
-        n = max(0, len(flat) - words + 1)
-        rolled = np.full(n, 0, np.uint64)
-        for k in range(words):
-            rolled += flat[k : k + n] * _MULTIPLIERS[k]
-        rolled = _mixed(rolled)
-        out, at = [], 0
-        for ws in split:
-            if len(ws) >= words:
-                out.append(np.unique(rolled[at : at + len(ws) - words + 1]))
-            elif ws:
-                own = (flat[at : at + len(ws)] * _MULTIPLIERS[32 : 32 + len(ws)]).sum(dtype=np.uint64) + np.uint64(len(ws))
-                out.append(_mixed(np.array([own], np.uint64)))
-            else:
-                out.append(np.empty(0, np.uint64))
-            at += len(ws)
+    flat, at = word_hashes(texts)
+    n = max(0, len(flat) - words + 1)
+    rolled = np.zeros(n, np.uint64)
+    for k in range(words):
+        rolled += flat[k : k + n] * _MULTIPLIERS[k]
+    rolled = _mixed(rolled)
+    out = []
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if hi - lo >= words:
+            own = np.sort(rolled[lo : hi - words + 1])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        elif hi > lo:
+            whole = (flat[lo:hi] * _MULTIPLIERS[32 : 32 + hi - lo]).sum(dtype=np.uint64) + np.uint64(hi - lo)
+            out.append(_mixed(np.array([whole], np.uint64)))
+        else:
+            out.append(np.empty(0, np.uint64))
     return out
 
 
@@ -93,19 +117,19 @@ def node_of(shingles: np.ndarray, seed: int) -> int:
 def nodes(docs: DataFrame, words: int, seed: int) -> DataFrame:
     """doc_id, n, node (null where n is 0), check: equal sets have equal nodes; `check` would betray a collision."""
 
-    def f(columns: list[list]) -> list[list]:
-        sets = shingle_sets(columns[1], words)
-        return [
-            columns[0],
-            [len(s) for s in sets],
-            [node_of(s, seed) if len(s) else None for s in sets],
-            [node_of(s, seed + 1) if len(s) else None for s in sets],
-        ]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            sets = shingle_sets(batch.column(1), words)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([node_of(s, seed) if len(s) else None for s in sets], pa.int64()),
+                pa.array([node_of(s, seed + 1) if len(s) else None for s in sets], pa.int64()),
+            ], names=["doc_id", "n", "node", "check"])
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id long, n long, node long, check long", f)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, node long, check long")
 
 
-def slot_map(blobs: DataFrame, buckets: int, slots: int, fill, merge=None) -> bytes:
+def slot_map(blobs: DataFrame, buckets: int, slots: int, fill) -> bytes:
     """Bytes of a map of fixed size, made by bucket: fill(bucket, [blob, ...]) gives the bucket's part.
 
     blobs: bucket int, data binary. The parts' sum is fixed, so gathering them is bounded.
@@ -124,9 +148,9 @@ def slot_map(blobs: DataFrame, buckets: int, slots: int, fill, merge=None) -> by
             yield pa.RecordBatch.from_pydict({"bucket": [now], "part": [zlib.compress(fill(now, held), 1)]}, schema=schema)
 
     schema = pa.schema([("bucket", pa.int32()), ("part", pa.binary())])
-    parts = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, part binary")
+    parts = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, part binary")
     whole, each = bytearray(slots), slots // buckets
-    for row in parts.toLocalIterator():
+    for row in parts.collect():
         whole[row["bucket"] * each : (row["bucket"] + 1) * each] = zlib.decompress(row["part"])
     return bytes(whole)
 
@@ -134,45 +158,58 @@ def slot_map(blobs: DataFrame, buckets: int, slots: int, fill, merge=None) -> by
 def bucket_count(spark: SparkSession) -> int:
     """A power of two: four buckets for each shuffle partition, so that their size stays the same as data grow."""
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return 1 << max(4, min(20, n.bit_length()))
+    return 1 << max(4, min(16, n.bit_length()))
 
 
 def levels(docs: DataFrame, words: int) -> bytes:
-    """The commonness of shingles by their first LEVEL_BITS bits, half a byte each: 0 for those of one document,
-    else the binary logarithm of the number of documents, 15 at most. Counted over all documents."""
+    """The commonness of shingles by their first LEVEL_BITS bits, half a byte each, counted over all documents.
+
+    0: only one document has it. Else 1 and the binary logarithm of the number of unlike documents that have it, 15 at
+    most; documents with the same least hash count as alike. So what a large group of near copies shares stays rare,
+    and a passage of many unlike documents is common.
+    """
     buckets = bucket_count(docs.sparkSession)
     bits = buckets.bit_length() - 1
+    kinds = np.uint64(16)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in steps(batches):
-            sets = shingle_sets(batch.column(0).to_pylist(), words)
-            held += sets
-            n += sum(map(len, sets))
-            if n >= GATHER:
-                yield send(held)
-                held, n = [], 0
+            sets = {node_of(s, 0): s for s in shingle_sets(batch.column(0), words) if len(s)}
+            for s in sets.values():  # bucket, 32 bits, and the kind of document: s[0] is its least hash
+                held.append(((s >> np.uint64(32 - bits)) << kinds) | (s[0] & np.uint64(0xFFFF)))
+                n += len(s)
+                if n >= GATHER:
+                    yield send(held)
+                    held, n = [], 0
         if n:
             yield send(held)
 
     def send(held: list[np.ndarray]) -> pa.RecordBatch:
-        h = np.sort(np.concatenate(held) >> np.uint64(32 - bits))  # the bucket and the 32 bits after it
-        ends = np.searchsorted(h, np.arange(1, buckets + 1, dtype=np.uint64) << np.uint64(32))
-        parts = np.split(h.astype(np.uint32), ends[:-1])
-        full = [i for i, p in enumerate(parts) if len(p)]
-        return pa.RecordBatch.from_pydict({"bucket": full, "data": [parts[i].tobytes() for i in full]}, schema=schema)
+        h = np.sort(np.concatenate(held))
+        h = h[np.concatenate([[True, True], h[2:] != h[:-2]])[: len(h)]]  # of each value two at most
+        ends = np.searchsorted(h, np.arange(1, buckets, dtype=np.uint64) << np.uint64(48))
+        shingle, kind = np.split((h >> kinds).astype(np.uint32), ends), np.split(h.astype(np.uint16), ends)
+        full = [i for i, p in enumerate(shingle) if len(p)]
+        return pa.RecordBatch.from_pydict({"bucket": full, "data": [shingle[i].tobytes() + kind[i].tobytes() for i in full]}, schema=schema)
 
     schema = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
     each = LEVEL_BITS - bits
 
     def fill(bucket: int, held: list[bytes]) -> bytes:
-        h = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in held]))
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        count = np.diff(np.append(first, len(h)))
-        many = count > 1
-        level = np.minimum(15, np.log2(count[many])).astype(np.uint8)
+        h = np.concatenate([
+            (np.frombuffer(x, np.uint32, len(x) // 6).astype(np.uint64) << kinds) | np.frombuffer(x, np.uint16, len(x) // 6, len(x) // 6 * 4)
+            for x in held
+        ])
+        h.sort()
+        new_kind = np.concatenate([[True], h[1:] != h[:-1]])
+        shingle = (h >> kinds).astype(np.uint32)
+        first = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+        many = np.diff(np.append(first, len(h))) > 1
+        unlike = np.add.reduceat(new_kind.astype(np.int64), first)[many]
+        level = np.minimum(15, 1 + np.ceil(np.log2(unlike))).astype(np.uint8)
         part = np.zeros(1 << each, np.uint8)
-        np.maximum.at(part, (h[first[many]] >> np.uint32(32 - each)).astype(np.int64), level)
+        np.maximum.at(part, (shingle[first[many]] >> np.uint32(32 - each)).astype(np.int64), level)
         return (part[0::2] | (part[1::2] << 4)).tobytes()
 
     return slot_map(docs.select("text").mapInArrow(gather, "bucket int, data binary"), buckets, 1 << (LEVEL_BITS - 1), fill)
@@ -184,33 +221,36 @@ def level_of(level_map: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(slot & 1, both >> 4, both & 15)
 
 
-def early(level_map: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The shingles among the rarest n - ceil(0.75 n) + 1 that other documents may have."""
+def early(level_map: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles among the rarest n - ceil(0.75 n) + 1 that other documents may have, and for each its rest: how
+    many of the set's shingles do not come before it."""
     level = level_of(level_map, h)
     first = len(h) + (-LEAST * len(h)) // SCALE + 1
     pick = np.lexsort((h, level))[:first]
-    return h[pick[level[pick] > 0]]
+    at = np.flatnonzero(level[pick] > 0)
+    return h[pick[at]], len(h) - at
 
 
 def postings(docs: DataFrame, words: int, seed: int, level_map) -> DataFrame:
-    """token, node, n: the early shingles of each node."""
+    """token, node, n, rest: the early shingles of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(level_map.value, np.uint8)
         for batch in steps(batches):
             own = {}
-            for s in shingle_sets(batch.column(0).to_pylist(), words):
+            for s in shingle_sets(batch.column(0), words):
                 if len(s):
                     own.setdefault(node_of(s, seed), s)
-            tokens = [early(known, s).view(np.int64) for s in own.values()]
-            sizes = [len(t) for t in tokens]
+            found = [early(known, s) for s in own.values()]
+            sizes = [len(t) for t, _ in found]
             if sum(sizes):
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(tokens)), pa.array(np.repeat(np.fromiter(own, np.int64, len(own)), sizes)),
+                    pa.array(np.concatenate([t for t, _ in found]).view(np.int64)), pa.array(np.repeat(np.fromiter(own, np.int64, len(own)), sizes)),
                     pa.array(np.repeat(np.fromiter(map(len, own.values()), np.int64, len(own)), sizes)),
-                ], names=["token", "node", "n"])
+                    pa.array(np.concatenate([r for _, r in found]).astype(np.int64)),
+                ], names=["token", "node", "n", "rest"])
 
-    return docs.select("text").mapInArrow(run, "token long, node long, n long").distinct()
+    return docs.select("text").mapInArrow(run, "token long, node long, n long, rest long").distinct()
 
 
 def wanted_map(wanted: DataFrame) -> bytes:
@@ -242,15 +282,14 @@ def wanted_slot(node: np.ndarray) -> np.ndarray:
         return (_mixed(node.view(np.uint64)) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFrame:
-    """node, shingles (64-bit hashes, sorted) of the wanted nodes, each once, made again from the texts."""
-    bits = docs.sparkSession.sparkContext.broadcast(wanted_map(wanted))
+def sets_of(docs: DataFrame, bits, words: int, seed: int) -> DataFrame:
+    """node, shingles (64-bit hashes, sorted) of the wanted nodes (and of few others), each once, made again from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(bits.value, np.uint8)
         for batch in steps(batches):
             own = {}
-            for s in shingle_sets(batch.column(0).to_pylist(), words):
+            for s in shingle_sets(batch.column(0), words):
                 if len(s):
                     own.setdefault(node_of(s, seed), s)
             if own:
@@ -260,13 +299,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFr
                 sets = list(own.values())
                 yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array([sets[i].tobytes() for i in hit], pa.binary())], names=["node", "shingles"])
 
-    found = docs.select("text").mapInArrow(run, "node long, shingles binary")
-    return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
-
-
-def linked(x: np.ndarray, y: np.ndarray) -> bool:
-    common = len(np.intersect1d(x, y, assume_unique=True))
-    return SCALE * common >= LEAST * (len(x) + len(y) - common)
+    return docs.select("text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
 def answers(ask: list[np.ndarray], members: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -295,9 +328,9 @@ def open_blocks(docs: DataFrame, requests: DataFrame, blocks: DataFrame, words:
 
     Requests for one block are dealt to lots of at most a few hundred, and the block goes to each of them.
     """
-    requests, blocks = cut(requests), cut(blocks)
-    wanted = cut(requests.select("node").unionByName(blocks.select("node")).distinct())
-    sets = cut(sets_of(docs, wanted, words, seed))
+    bits = docs.sparkSession.sparkContext.broadcast(wanted_map(requests.select("node").unionByName(blocks.select("node"))))
+    sets = cut(sets_of(docs, bits, words, seed))
+    bits.destroy()
     asked = requests.groupBy("block").agg(F.count(F.lit(1)).alias("asked"))
     lots = F.ceil(F.col("asked") / (4 * BLOCK)).cast("int")
     total = asked.agg(F.sum("asked")).first()[0] or 0
@@ -336,36 +369,85 @@ def links(docs: DataFrame, words: int = WORDS, seed: int = 1) -> DataFrame:
     spark = docs.sparkSession
     level_map = spark.sparkContext.broadcast(levels(docs, words))
     posts = cut(postings(docs, words, seed, level_map))
-    fits = lambda a, b: F.least(a, b) * SCALE >= F.greatest(a, b) * LEAST
 
-    heads = posts.groupBy("token").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("n_nodes")).where("n_nodes > 1")
-    heads = heads.select("token", F.col("head.node").alias("block"), F.col("head.n").alias("head_n"))
-    stars = posts.join(heads, "token").where((F.col("node") != F.col("block")) & fits(F.col("n"), F.col("head_n"))).select("node", "block").distinct()
-    stars = cut(stars)
-    singles = stars.select("block").distinct().select("block", F.col("block").alias("node"))
-    first = open_blocks(docs, stars, singles, words, seed)
-    group = cut(components(first))
+    level_map.destroy()
+    group = spark.createDataFrame([], "node long, component long")
+    found = None
+    placed = posts.withColumn("component", F.col("node"))
+    for turn in range(ROUNDS):
+        # For each shingle and group one of the group's nodes, another for each shingle; all against the first group's.
+        pick = F.min(F.struct(F.xxhash64("node", "token", F.lit(turn)).alias("by"), "node", "n", "rest"))
+        ones = placed.groupBy("token", "component").agg(pick.alias("one"))
+        heads = ones.groupBy("token").agg(F.min(F.struct("component", "one")).alias("head"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+        stars = ones.join(heads, "token").where((F.col("component") != F.col("head.component")) & may_link("one.n", "one.rest", "head.one.n", "head.one.rest"))
+        stars = cut(stars.select("one.node", F.col("head.one.node").alias("block")).distinct())
+        new = open_blocks(docs, stars, stars.select("block", F.col("block").alias("node")).distinct(), words, seed)
+        found = found.unionByName(new) if found else new
+        group = grown(group, new)
+        placed = cut(mixed(posts if turn == 0 else placed.drop("component"), group))
 
     sizes = group.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    blocked = look_up(group, sizes, "component", "members").select(
-        "node", "component", F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK))).alias("block")
-    )
-    placed = posts.join(blocked, "node", "left").select(
-        "token", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("block", F.xxhash64("node", F.lit(0))).alias("block")
-    )
+    lot = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK))
+    blocked = look_up(group, sizes, "component", "members").select("node", F.xxhash64("component", lot).alias("block"))
+    placed = placed.join(blocked, "node", "left").withColumn("block", F.coalesce("block", F.xxhash64("node", F.lit(0).cast("long"))))
     placed = cut(placed)
-    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    placed = cut(placed.join(mixed, "token", "left_semi"))
-    matrix = placed.groupBy("token", "component", "block").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    matrix = placed.groupBy("token", "component", "block").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("rest").alias("most_rest"))
     matrix = matrix.withColumnsRenamed({"component": "other", "block": "asked_block"})
-    could = (F.col("n") * SCALE >= F.col("least_n") * LEAST) & (F.col("most_n") * SCALE >= F.col("n") * LEAST)
+    fitting = F.greatest(F.col("least_n"), F.ceil(F.col("n") * LEAST / SCALE))  # the smallest that a member of use can be
+    could = (F.col("most_n") >= fitting) & may_link("n", "rest", fitting, "most_rest")
     # Of two groups the one with the larger number is asked, so no pair is looked at twice.
     requests = cut(placed.join(matrix, "token").where((F.col("component") < F.col("other")) & could).select("node", F.col("asked_block").alias("block")).distinct())
-    members = blocked.select("block", "node").unionByName(
-        placed.select("node", "component").where("node = component").join(group.select("node"), "node", "left_anti").select(F.xxhash64("node", F.lit(0)).alias("block"), "node").distinct()
-    )
-    second = open_blocks(docs, requests, members.join(requests.select("block").distinct(), "block", "left_semi"), words, seed)
-    return components(first.unionByName(second))
+    members = blocked.unionByName(placed.select("node", "block")).distinct().join(requests.select("block").distinct(), "block", "left_semi")
+    return merged(group, found.unionByName(open_blocks(docs, requests, cut(members), words, seed)))
+
+
+def may_link(n, rest, other_n, other_rest) -> Column:
+    """Whether sets of these sizes can link if a shingle with these rests is the first that they share.
+
+    The overlap is at most the rest in either set, and a link needs 75 / 175 of the sum of the sizes.
+    """
+    n, rest, other_n, other_rest = (F.col(x) if isinstance(x, str) else x for x in (n, rest, other_n, other_rest))
+    enough = F.least(rest, other_rest) * (SCALE + LEAST) >= (n + other_n) * LEAST
+    return enough & (F.least(n, other_n) * SCALE >= F.greatest(n, other_n) * LEAST)
+
+
+def mixed(posts: DataFrame, group: DataFrame) -> DataFrame:
+    """`posts` with the nodes' components, only of the shingles that several components have, one of them so early
+    that it suits a partner of equal size: the smaller set of a pair has its first shared shingle there."""
+    placed = posts.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.col("rest") * (SCALE + LEAST) >= F.col("n") * 2 * LEAST).alias("first")).where("lo <> hi and first").select("token")
+    return placed.join(several, "token", "left_semi")
+
+
+def between(group: DataFrame, new: DataFrame) -> DataFrame:
+    """a, b: the components that the links `new` (a, b) connect."""
+    a, b = (group.select(F.col("node").alias(c), F.col("component").alias(f"g{c}")) for c in "ab")
+    ends = new.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b"))
+    return ends.where("a <> b")
+
+
+def renamed(group: DataFrame, root: DataFrame) -> DataFrame:
+    """`group` after its components, and new nodes, have moved to the component that `root` (node, component) names."""
+    named = root.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    old = group.join(named, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return cut(old.unionByName(root.join(group.select("node"), "node", "left_anti")))
+
+
+def grown(group: DataFrame, new: DataFrame) -> DataFrame:
+    """node, component after each component has gone to the least one that a link names, and on to that one's own.
+
+    This needs no loop and may leave links between components, which `merged` follows in the end.
+    """
+    ends = cut(between(group, new))
+    one, other = ends.select(F.col("a").alias("node"), F.least("a", "b").alias("up")), ends.select(F.col("b").alias("node"), F.least("a", "b").alias("up"))
+    up = cut(one.unionByName(other).groupBy("node").agg(F.min("up").alias("up")))
+    over = up.select(F.col("node").alias("up"), F.col("up").alias("over"))
+    return renamed(group, cut(up.join(over, "up", "left").select("node", F.coalesce("over", "up").alias("component"))))
+
+
+def merged(group: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component (by all links) of all nodes in `group` and `links`."""
+    return renamed(group, cut(components(between(group, links))))
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, seed: int = 1) -> DataFrame:
