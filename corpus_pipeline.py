@@ -4,22 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hushframe.llm import exact_dedup, packing
+from hushframe.llm import exact_dedup, jaccard, packing, pii, quality
 from hushframe.llm.common import table
 from hushframe.session import ship
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents that it rejects go."""
+    return quality.drop_rejected(docs, table(spark, sf_dir, "labels"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup: of equal texts the row with the largest doc_id stays."""
     return exact_dedup.drop_copies(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of documents that links connect, the one with the smallest doc_id stays."""
+    return jaccard.drop_near_copies(docs)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data: each span is replaced by its kind."""
+    return pii.mask_pii(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing of all that is left."""
+    """Best-fit packing of all that is left into sequences."""
     return packing.pack(docs)
 
 
-STAGES = [("exact dedup", exact), ("best-fit packing", pack)]
+STAGES = [("quality classifier", good), ("exact dedup", exact), ("n-gram Jaccard join", near), ("personal data", private), ("best-fit packing", pack)]
 #: A trained classifier and a tokenizer are beyond SQL; the tests hold run() against brute force.
 ORACLE_SQL = None
 
