@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, map_rows, table
+from .graph import look_up
+from .slots import drop_rows
 
 MIN_CHUNK, MASK, MAX_CHUNK = 2048, (1 << 12) - 1, 32768
 #: Random words for each byte value, from a fixed seed.
@@ -94,9 +96,10 @@ def exact_groups(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
     clashing = cut(clashing)
     if not clashing.isEmpty():
         rows = cut(numbered_recipes(docs, rows, contents.join(clashing, "digest", "left_semi"), digest_bytes))
-    groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, "recipe").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+    groups = cut(rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.first("text_sha256").alias("sha")))
+    # Equal recipes are equal texts; their digest finds a hot group's row without moving its documents.
+    return look_up(rows.withColumnRenamed("text_sha256", "sha"), groups.select("sha", "keep_id", "group_size"), "sha", "group_size").select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
     )
 
 
@@ -127,10 +130,9 @@ def numbered_recipes(docs: DataFrame, rows: DataFrame, contents: DataFrame, dige
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """`docs` without the rows that exact dedup drops; all columns stay. Of rows that repeat doc_id and text one stays."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("__doc_id"), F.col("text_sha256").alias("__sha")).distinct()
-    key = F.sha2(F.coalesce("text", F.lit("")), 256)
-    out = docs.withColumn("__key", key).join(kept, (F.col("__key") == F.col("__sha")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")), "left_semi")
-    return out.dropDuplicates(["doc_id", "__key"]).drop("__key") if repeats(docs) else out.drop("__key")
+    gone = exact_groups(docs).where("not kept").select("doc_id", F.col("text_sha256").alias("__sha")).distinct()
+    out = drop_rows(docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256)), ["doc_id", "__sha"], gone)
+    return out.dropDuplicates(["doc_id", "__sha"]).drop("__sha") if repeats(docs) else out.drop("__sha")
 
 
 def repeats(docs: DataFrame) -> bool:

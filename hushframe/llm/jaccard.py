@@ -13,7 +13,6 @@ a group are linked already and are never looked at again.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, steps, table
 from .graph import components, look_up
+from .slots import bucket_count, drop_rows, in_map, mixed_bits, slot_map, wanted_map
 
 WORDS = 5
 #: Two sets link when SCALE * overlap >= LEAST * union.
@@ -36,8 +36,6 @@ ROUNDS = 2
 GATHER = 1 << 21
 #: Slots of the map from shingles to their commonness, half a byte each: 32 MB, whatever the input.
 LEVEL_BITS = 26
-#: Slots of the set of nodes whose shingles are wanted, a bit each: 4 MB.
-WANTED_BITS = 25
 
 _random = np.random.default_rng(5)
 _MULTIPLIERS = _random.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -50,12 +48,6 @@ _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _HASHED = 1 << 19
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words of all texts, and where each text's words begin (with the end as the last entry)."""
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -82,7 +74,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             value *= (place >> 12).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         hashes[done:upto] = np.add.reduceat(value, first)
         done = upto
-    return _mixed(hashes), np.searchsorted(starts, at)
+    return mixed_bits(hashes), np.searchsorted(starts, at)
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
@@ -96,7 +88,7 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     rolled = np.zeros(n, np.uint64)
     for k in range(words):
         rolled += flat[k : k + n] * _MULTIPLIERS[k]
-    rolled = _mixed(rolled)
+    rolled = mixed_bits(rolled)
     out = []
     for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         if hi - lo >= words:
@@ -104,7 +96,7 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
             out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
         elif hi > lo:
             whole = (flat[lo:hi] * _MULTIPLIERS[32 : 32 + hi - lo]).sum(dtype=np.uint64) + np.uint64(hi - lo)
-            out.append(_mixed(np.array([whole], np.uint64)))
+            out.append(mixed_bits(np.array([whole], np.uint64)))
         else:
             out.append(np.empty(0, np.uint64))
     return out
@@ -129,38 +121,6 @@ def nodes(docs: DataFrame, words: int, seed: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, node long, check long")
 
 
-def slot_map(blobs: DataFrame, buckets: int, slots: int, fill) -> bytes:
-    """Bytes of a map of fixed size, made by bucket: fill(bucket, [blob, ...]) gives the bucket's part.
-
-    blobs: bucket int, data binary. The parts' sum is fixed, so gathering them is bounded.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if bucket != now and held:
-                    yield pa.RecordBatch.from_pydict({"bucket": [now], "part": [zlib.compress(fill(now, held), 1)]}, schema=schema)
-                    held = []
-                now = bucket
-                held.append(data)
-        if held:
-            yield pa.RecordBatch.from_pydict({"bucket": [now], "part": [zlib.compress(fill(now, held), 1)]}, schema=schema)
-
-    schema = pa.schema([("bucket", pa.int32()), ("part", pa.binary())])
-    parts = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, part binary")
-    whole, each = bytearray(slots), slots // buckets
-    for row in parts.collect():
-        whole[row["bucket"] * each : (row["bucket"] + 1) * each] = zlib.decompress(row["part"])
-    return bytes(whole)
-
-
-def bucket_count(spark: SparkSession) -> int:
-    """A power of two: four buckets for each shuffle partition, so that their size stays the same as data grow."""
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return 1 << max(4, min(16, n.bit_length()))
-
-
 def levels(docs: DataFrame, words: int) -> bytes:
     """The commonness of shingles by their first LEVEL_BITS bits, half a byte each, counted over all documents.
 
@@ -253,35 +213,6 @@ def postings(docs: DataFrame, words: int, seed: int, level_map) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, node long, n long, rest long").distinct()
 
 
-def wanted_map(wanted: DataFrame) -> bytes:
-    """A bit for each node of `wanted`, by the node's hash; others may share it."""
-    buckets = bucket_count(wanted.sparkSession)
-    each = (1 << WANTED_BITS) // buckets
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = wanted_slot(batch.column(0).to_numpy())
-            slot = np.unique(slot)
-            bucket = slot // each
-            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            parts = np.split(slot % each, first[1:])
-            yield pa.RecordBatch.from_pydict({"bucket": bucket[first], "data": [p.astype(np.uint32).tobytes() for p in parts]}, schema=schema)
-
-    schema = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
-
-    def fill(bucket: int, held: list[bytes]) -> bytes:
-        part = np.zeros(each, np.uint8)
-        part[np.concatenate([np.frombuffer(x, np.uint32) for x in held])] = 1
-        return np.packbits(part).tobytes()
-
-    return slot_map(wanted.mapInArrow(lambda b: run(x for x in b if x.num_rows), "bucket int, data binary"), buckets, 1 << (WANTED_BITS - 3), fill)
-
-
-def wanted_slot(node: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (_mixed(node.view(np.uint64)) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)
-
-
 def sets_of(docs: DataFrame, bits, words: int, seed: int) -> DataFrame:
     """node, shingles (64-bit hashes, sorted) of the wanted nodes (and of few others), each once, made again from the texts."""
 
@@ -294,8 +225,7 @@ def sets_of(docs: DataFrame, bits, words: int, seed: int) -> DataFrame:
                     own.setdefault(node_of(s, seed), s)
             if own:
                 node = np.fromiter(own, np.int64, len(own))
-                slot = wanted_slot(node)
-                hit = np.flatnonzero((known[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1)
+                hit = np.flatnonzero(in_map(known, node))
                 sets = list(own.values())
                 yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array([sets[i].tobytes() for i in hit], pa.binary())], names=["node", "shingles"])
 
@@ -477,8 +407,8 @@ def near_groups(docs: DataFrame, words: int = WORDS, seed: int = 1) -> DataFrame
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """`docs` with one document of each component, that with the smallest doc_id; all columns stay."""
-    kept = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__doc_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__doc_id")), "left_semi")
+    gone = near_groups(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return drop_rows(docs, ["doc_id"], gone)
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
