@@ -14,11 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, steps, table
+from .common import SMALL_ROWS, cut, steps, table
+from .slots import may_have, wanted_map
 
 ORDER, CLASS_BITS = 4, 5
 CLASSES = 1 << CLASS_BITS
@@ -136,7 +137,7 @@ def scores(docs: DataFrame, model) -> DataFrame:
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """doc_id of the documents that labels call good and not toxic, and no label calls otherwise."""
     said = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-    return said.where("q = 1 and t = 0").select("doc_id")
+    return said.where("q = 1 and t = 0").select(F.col("doc_id").cast("long"))
 
 
 def limits(trusted: DataFrame) -> DataFrame:
@@ -155,11 +156,37 @@ def limits(trusted: DataFrame) -> DataFrame:
     return found.select("lang", (F.col("low") - (F.col("mid") - F.col("low")) * MARGIN).alias("lower"), (F.col("high") + (F.col("high") - F.col("mid")) * MARGIN).alias("upper"))
 
 
-def train(docs: DataFrame, labels: DataFrame):
-    """The broadcast model of the trusted documents' text."""
-    trusted = docs.select("doc_id", "text").join(trusted_ids(labels), "doc_id", "left_semi").select("text")
-    model = kneser_ney(cut(gram_counts(trusted)))
-    return docs.sparkSession.sparkContext.broadcast(model)
+def train(docs: DataFrame, trusted: DataFrame):
+    """The broadcast model of the text of the documents in `trusted` (doc_id).
+
+    A map of the trusted ids' hashes lets the texts of most others stay where they are; the rest is joined by id.
+    """
+    spark = docs.sparkSession
+    bits = spark.sparkContext.broadcast(wanted_map(trusted.select(F.xxhash64("doc_id").alias("number"))))
+    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("__number", F.xxhash64("doc_id"))
+    likely = may_have(rows, "__number", bits).where("__may").select("doc_id", "text")
+    texts = likely.hint("merge").join(trusted, "doc_id", "left_semi").select("text")
+    return spark.sparkContext.broadcast(kneser_ney(cut(gram_counts(texts))))
+
+
+def learned(docs: DataFrame, labels: DataFrame):
+    """The broadcast model, and its limits by language: a DataFrame (lang, lower, upper) and those of all languages."""
+    trusted = cut(trusted_ids(labels))
+    model = train(docs, trusted)
+    rows = cut(scores(docs, model))
+    found = cut(limits(rows.hint("merge").join(trusted, "doc_id", "left_semi")))
+    every = found.where("lang is null").first()
+    by_lang = found.where("lang is not null").select("lang", F.col("lower").alias("__lower"), F.col("upper").alias("__upper"))
+    # Languages are few as a rule, and then no text is dealt by its language, which may be that of most texts.
+    by_lang = F.broadcast(by_lang) if by_lang.count() <= SMALL_ROWS else by_lang
+    return model, rows, by_lang, (every["lower"], every["upper"]) if every else (None, None)
+
+
+def kept_by(bits: Column, n: Column, of_all: tuple) -> tuple[Column, Column, Column]:
+    """Lower and upper limit, and whether a text is kept, beside the columns __lower and __upper of its language."""
+    lower, upper = (F.coalesce(F.col(c), F.lit(x).cast("double")) for c, x in zip(("__lower", "__upper"), of_all, strict=True))
+    unsure = F.lit(SHORT) / F.sqrt(n)
+    return lower, upper, F.coalesce((bits >= lower - unsure) & (bits <= upper + unsure), F.lit(True))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -169,23 +196,27 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     or null, is judged by all languages' quantiles; without any trusted document all are kept. Rows that repeat are
     judged each; other columns play no part; an empty table gives an empty result.
     """
-    rows = cut(scores(docs, train(docs, labels)))
-    known = rows.join(trusted_ids(labels), "doc_id", "left_semi")
-    found = cut(limits(known))
-    every = found.where("lang is null").select(F.col("lower").alias("lower_all"), F.col("upper").alias("upper_all")).first()
-    lower_all, upper_all = (every["lower_all"], every["upper_all"]) if every else (None, None)
-    # A row for each language; languages are as many as texts name, so Spark chooses how to join them.
-    by_lang = rows.join(found.where("lang is not null"), "lang", "left")
-    lower, upper = F.coalesce("lower", F.lit(lower_all).cast("double")), F.coalesce("upper", F.lit(upper_all).cast("double"))
-    unsure = F.lit(SHORT) / F.sqrt("n")
-    kept = F.coalesce((F.col("bits") >= lower - unsure) & (F.col("bits") <= upper + unsure), F.lit(True))
-    return by_lang.select("doc_id", "lang", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), lower.alias("lower"), upper.alias("upper"), kept.alias("kept"))
+    _, rows, by_lang, of_all = learned(docs, labels)
+    lower, upper, kept = kept_by(F.col("bits"), F.col("n"), of_all)
+    return rows.join(by_lang, "lang", "left").select(
+        "doc_id", "lang", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), lower.alias("lower"), upper.alias("upper"), kept.alias("kept")
+    )
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` without those that the classifier rejects; all columns stay."""
-    bad = judge(docs, labels).where("not kept").select(F.col("doc_id").alias("__doc_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__doc_id")), "left_anti")
+    """`docs` without those that the classifier rejects; all columns stay. Texts are scored where they are."""
+    from pyspark.sql.functions import pandas_udf
+
+    model, _, by_lang, of_all = learned(docs, labels)
+
+    @pandas_udf("double")
+    def bits_of(texts):
+        return texts.map(lambda t: -float(model.value[grams(t)].mean(dtype=np.float64)) if t else None).astype("float64")
+
+    by_lang = by_lang.withColumnRenamed("lang", "__lang")
+    scored = docs.withColumn("__bits", bits_of("text")).join(by_lang, F.col("lang").cast("string") == F.col("__lang"), "left")
+    _, _, kept = kept_by(F.nanvl("__bits", F.lit(None).cast("double")), F.length("text"), of_all)
+    return scored.where(kept).select(*docs.columns)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
