@@ -2,5 +2,180 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hushframe.functions import scalars, validators
+from hushframe.operators import extract, mask, scan
+from hushframe.sources.catalog import load_rules
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), F.lit(0).alias("text_idx"), "text")
+
+
+def turn_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns, each with a contact that its conversation shares with others."""
+    text = F.concat("text", F.lit(" contact user"), (F.col("turn") % 2).cast("string"), F.lit(".c"), (F.col("conv_id") % 7).cast("string"), F.lit("@mail.example.com or <EMAIL_1>"))
+    return table(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("request_id"), F.col("turn").cast("int").alias("text_idx"), text.alias("text"))
+
+
+def found_in(texts: DataFrame) -> DataFrame:
+    return scan.coalesce(scan.scan(texts, load_rules().rules), texts)
+
+
+def candidates_by_rule(spark, sf_dir):
+    rules = [load_rules().by_id(r) for r in ("pii.email", "ip-addrs.ipv4", "access_tokens.generic-long-token", "pii.phone-ru")]
+    return scan.scan(document_texts(spark, sf_dir), rules).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+_IPV4 = r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"
+CANDIDATES_SQL = rf"""
+WITH c AS (
+  SELECT 'pii.email' AS rule_id, unnest(regexp_extract_all(text, '(?m)(?:^|[^\w\\])([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,63}})\b', 1)) AS v FROM documents
+  UNION ALL SELECT 'ip-addrs.ipv4', unnest(regexp_extract_all(text, '{_IPV4}')) FROM documents
+  UNION ALL SELECT 'access_tokens.generic-long-token', unnest(regexp_extract_all(text, '\b([A-Za-z0-9]{{32,}})\b', 1)) FROM documents
+  UNION ALL SELECT 'pii.phone-ru', unnest(regexp_extract_all(text, '(?m)(?:^|[^\d])((?:\+7|8)[\s\-]?\(?\d{{3}}\)?[\s\-]?\d{{3}}[\s\-]?\d{{2}}[\s\-]?\d{{2}})\b', 1)) FROM documents)
+SELECT rule_id, count(*) AS n FROM c
+WHERE CASE rule_id
+  WHEN 'pii.email' THEN regexp_full_match(v, '[A-Za-z0-9!#$%&''*+/=?^_`{{|}}~-]+(\.[A-Za-z0-9!#$%&''*+/=?^_`{{|}}~-]+)*@([A-Za-z0-9]([A-Za-z0-9-]{{0,61}}[A-Za-z0-9])?\.)+[A-Za-z]+')
+  WHEN 'ip-addrs.ipv4' THEN NOT regexp_matches(v, '(^|\.)0[0-9]') ELSE true END
+GROUP BY rule_id
+"""
+
+
+def coalesce_overlaps(spark, sf_dir):
+    """Overlaps of made-up spans: each line item is a span of its order."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("request_id"), F.lit(0).alias("text_idx"), (F.col("l_partkey") % 40).cast("int").alias("start"),
+        (F.col("l_partkey") % 40 + F.col("l_quantity").cast("int") % 9 + 1).cast("int").alias("end"), F.concat(F.lit("r"), F.col("l_linenumber").cast("string")).alias("rule_id"),
+        F.lit(0).alias("data_type"), F.lit("X").alias("placeholder_type"),
+    )
+    texts = rows.select("request_id", "text_idx").distinct().withColumn("text", F.lit("x" * 60))
+    return scan.coalesce(rows, texts).select("request_id", "start", "end", "rule_id")
+
+
+COALESCE_SQL = """
+WITH s AS (SELECT l_orderkey AS k, (l_partkey % 40)::INT AS s, (l_partkey % 40 + l_quantity::INT % 9 + 1)::INT AS e, 'r' || l_linenumber AS r FROM lineitem),
+p AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, s - e, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM s),
+g AS (SELECT *, sum(CASE WHEN pm IS NULL OR s >= pm THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, s - e, r ROWS UNBOUNDED PRECEDING) AS g FROM p)
+SELECT k AS request_id, min(s) AS "start", max(e) AS "end", first(r ORDER BY s - e, s, r) AS rule_id FROM g GROUP BY k, g
+"""
+
+
+def mask_documents(spark, sf_dir):
+    texts = document_texts(spark, sf_dir)
+    return mask.mask(texts, found_in(texts))[0]
+
+
+def mask_conversations(spark, sf_dir):
+    texts = turn_texts(spark, sf_dir)
+    return mask.mask(texts, found_in(texts))[0]
+
+
+def masking_state(spark, sf_dir):
+    texts = turn_texts(spark, sf_dir)
+    return mask.state(mask.replacements(texts, found_in(texts)))
+
+
+def roundtrip(texts: DataFrame) -> DataFrame:
+    done, found = mask.mask(texts, found_in(texts))
+    return mask.demask(done, found)
+
+
+def roundtrip_documents(spark, sf_dir):
+    return roundtrip(document_texts(spark, sf_dir))
+
+
+def docs_with_findings(spark, sf_dir):
+    found = found_in(document_texts(spark, sf_dir)).select("request_id").distinct()
+    return table(spark, sf_dir, "documents").join(found, F.col("doc_id") == F.col("request_id"), "left_semi").select("doc_id", "source")
+
+
+def docs_clean(spark, sf_dir):
+    found = found_in(document_texts(spark, sf_dir)).select("request_id").distinct()
+    return table(spark, sf_dir, "documents").join(found, F.col("doc_id") == F.col("request_id"), "left_anti").select("doc_id", "source")
+
+
+def top_rules(spark, sf_dir):
+    """A report: the twenty rules that mask most."""
+    found = found_in(document_texts(spark, sf_dir))
+    return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "rule_id").limit(20)
+
+
+def validator(name: str, sql, value: str):
+    def query(spark, sf_dir):
+        return table(spark, sf_dir, "orders").select("o_orderkey", F.expr(value).alias("v")).select("o_orderkey", "v", F.expr(sql("v")).alias("valid"))
+
+    return query, f"SELECT o_orderkey, v, {sql('v')} AS valid FROM (SELECT o_orderkey, {value} AS v FROM orders)"
+
+
+def digits(n: int, lead: str = "") -> str:
+    """SQL for n digits that differ by order."""
+    return f"concat('{lead}', lpad(CAST((o_orderkey * 7919 + o_custkey * 104729) % 1000000007 AS VARCHAR(20)), {n - len(lead)}, '{'73' * 10}'))"
+
+
+VALIDATED = {
+    "luhn": (validators.luhn_sql, digits(16, "4")), "snils": (validators.snils_sql, digits(11)), "inn_org": (validators.inn_org_sql, digits(10)),
+    "inn_person": (validators.inn_person_sql, digits(12)), "ogrn": (validators.ogrn_sql, digits(13)), "ogrnip": (validators.ogrnip_sql, digits(15, "3")),
+    "payment_card_no_luhn": (validators.card_shape_sql, digits(16, "22")), "payment_card": (lambda v: f"({validators.card_shape_sql(v)} AND {validators.luhn_sql(v)})", digits(16, "51")),
+}
+
+
+def scalar_functions(spark, sf_dir):
+    email = F.concat(F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("."))), F.lit("@example.com"))
+    rows = table(spark, sf_dir, "customer").withColumn("email", email)
+    return rows.select(
+        "c_custkey", scalars.mask_email(F.col("email")).alias("masked"), scalars.base64url(F.col("email")).alias("b64"), F.sha2("email", 256).alias("sha"),
+        F.array_join(scalars.split_csv(F.concat(F.lit(" a ,,"), "email", F.lit(" , b"))), "|").alias("parts"),
+        scalars.normalize_path(F.concat(F.lit("/users/"), F.col("c_custkey").cast("string"), F.lit("/orders"))).alias("path"),
+        F.round(scalars.backoff(F.col("c_custkey") % 8, 0.1, 5.0), 6).alias("backoff"),
+    )
+
+
+SCALAR_SQL = """
+SELECT c_custkey, left(email, 1) || '***' || substr(email, instr(email, '@')) AS masked,
+  rtrim(translate(base64(encode(email)), '+/', '-_'), '=') AS b64, sha256(email) AS sha, 'a|' || email || '|b' AS parts,
+  '/users/:id/orders' AS path, round(least(5.0, 0.1 * pow(2.0, c_custkey % 8))::DOUBLE, 6) AS backoff
+FROM (SELECT *, lower(replace(c_name, '#', '.')) || '@example.com' AS email FROM customer)
+"""
+
+
+def extract_chat_request(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    return extract.chat_fields(extract.chat_body(turns)).select("request_id", "path", "text")
+
+
+EXTRACT_SQL = """
+SELECT conv_id AS request_id, 'messages.' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1) || '.content' AS path, text
+FROM conversations QUALIFY text IS NOT NULL AND text <> ''
+"""
+
+
+def audit_page(spark, sf_dir):
+    """A page of the event log, newest first, after the cursor that is the hundredth event."""
+    log = table(spark, sf_dir, "events").select(F.col("ts"), "event_id", "event_type").where("event_type is not null")
+    cursor = log.orderBy(F.desc("ts"), F.desc("event_id")).offset(99).limit(1).select(F.col("ts").alias("cts"), F.col("event_id").alias("cid"))
+    after = log.join(F.broadcast(cursor), (F.col("ts") < F.col("cts")) | ((F.col("ts") == F.col("cts")) & (F.col("event_id") < F.col("cid"))))
+    return after.orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "event_type")
+
+
+AUDIT_SQL = """
+SELECT event_id, event_type FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type IS NOT NULL) WHERE n BETWEEN 101 AND 150
+"""
+
+QUERIES = {
+    "candidates_by_rule": candidates_by_rule, "coalesce_overlaps": coalesce_overlaps, "mask_documents": mask_documents, "mask_conversations": mask_conversations,
+    "masking_state": masking_state, "roundtrip_documents": roundtrip_documents, "docs_with_findings": docs_with_findings, "docs_clean": docs_clean, "top_rules": top_rules,
+    "scalar_functions": scalar_functions, "extract_chat_request": extract_chat_request, "audit_page": audit_page,
+}
+SQL = {
+    "candidates_by_rule": CANDIDATES_SQL, "coalesce_overlaps": COALESCE_SQL, "scalar_functions": SCALAR_SQL, "extract_chat_request": EXTRACT_SQL, "audit_page": AUDIT_SQL,
+    "roundtrip_documents": "SELECT doc_id AS request_id, 0 AS text_idx, text FROM documents",
+}
+for _name, _made in VALIDATED.items():
+    QUERIES[f"validator_{_name}"], SQL[f"validator_{_name}"] = validator(_name, *_made)
