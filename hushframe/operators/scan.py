@@ -7,6 +7,7 @@ a match at all, and only those are searched for spans. Offsets are code points.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -55,7 +56,7 @@ def scan(texts: DataFrame, rules: list[Rule], prefilter: bool = False) -> DataFr
                 gate = pc.match_substring_regex(text, f"(?m){rule.regex}")
                 if prefilter and rule.keywords:
                     has = [pc.match_substring(lower, k) for k in rule.keywords if k]
-                    gate = pc.and_(gate, has[0] if len(has) == 1 else pc.max_element_wise(*has)) if has else pc.and_(gate, False)
+                    gate = pc.and_(gate, reduce(pc.or_, has) if has else False)
                 for i in pc.indices_nonzero(pc.fill_null(gate, False)).to_pylist():
                     value = text[i].as_py()
                     out += [(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), s, e, rule.rule_id, rule.data_type, rule.placeholder, value[s:e]) for s, e in matches(value, rule)]
