@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -33,6 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle, checkpoint and broadcast files to which nothing refers any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def number_within(df: DataFrame, keys: list[str], order: list[str], name: str, spread: int = 1024) -> DataFrame:
     """`df` with the column `name`: 0, 1, 2, ... without gaps within each value of `keys`.
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, steps, table
+from .common import cut, release, steps, table
 from .graph import components, look_up
 from .slots import bucket_count, drop_rows, in_map, mixed_bits, slot_map, wanted_map
 
@@ -291,7 +291,10 @@ def open_blocks(docs: DataFrame, requests: DataFrame, blocks: DataFrame, words:
                         b.append(members[j][0])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return cut(left.groupBy("asked_task").cogroup(right.groupBy("held_task")).applyInArrow(answer, "a long, b long"))
+    found = cut(left.groupBy("asked_task").cogroup(right.groupBy("held_task")).applyInArrow(answer, "a long, b long"))
+    del left, right, sets, asked
+    release(docs.sparkSession)
+    return found
 
 
 def links(docs: DataFrame, words: int = WORDS, seed: int = 1) -> DataFrame:
@@ -301,6 +304,7 @@ def links(docs: DataFrame, words: int = WORDS, seed: int = 1) -> DataFrame:
     posts = cut(postings(docs, words, seed, level_map))
 
     level_map.destroy()
+    release(spark)
     group = spark.createDataFrame([], "node long, component long")
     found = None
     placed = posts.withColumn("component", F.col("node"))
@@ -315,6 +319,9 @@ def links(docs: DataFrame, words: int = WORDS, seed: int = 1) -> DataFrame:
         found = found.unionByName(new) if found else new
         group = grown(group, new)
         placed = cut(mixed(posts if turn == 0 else placed.drop("component"), group))
+        del ones, heads, stars
+        posts = None
+        release(spark)
 
     sizes = group.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     lot = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK))

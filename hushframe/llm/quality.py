@@ -185,7 +185,7 @@ def learned(docs: DataFrame, labels: DataFrame):
 def kept_by(bits: Column, n: Column, of_all: tuple) -> tuple[Column, Column, Column]:
     """Lower and upper limit, and whether a text is kept, beside the columns __lower and __upper of its language."""
     lower, upper = (F.coalesce(F.col(c), F.lit(x).cast("double")) for c, x in zip(("__lower", "__upper"), of_all, strict=True))
-    unsure = F.lit(SHORT) / F.sqrt(n)
+    unsure = F.lit(SHORT) / F.sqrt(F.greatest(n, F.lit(1)))
     return lower, upper, F.coalesce((bits >= lower - unsure) & (bits <= upper + unsure), F.lit(True))
 
 

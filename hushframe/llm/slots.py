@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 #: Slots of a set of wanted numbers, a bit each: 4 MB, whatever the input.
 WANTED_BITS = 25
@@ -110,6 +110,7 @@ def drop_rows(docs: DataFrame, keys: list[str], gone: DataFrame) -> DataFrame:
     """
     gone = cut(gone.select(*(F.col(k).alias(f"__gone_{k}") for k in keys)).withColumn("__number", F.xxhash64(*(f"__gone_{k}" for k in keys))))
     bits = docs.sparkSession.sparkContext.broadcast(wanted_map(gone.select("__number")))
+    release(docs.sparkSession)
     marked = may_have(docs.withColumn("__number", F.xxhash64(*keys)), "__number", bits)
     same = F.lit(True)
     for k in keys:
