@@ -13,6 +13,7 @@ a group are linked already and are never looked at again.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -195,7 +196,7 @@ def postings(docs: DataFrame, words: int, seed: int, level_map) -> DataFrame:
     """token, node, n, rest: the early shingles of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(level_map.value, np.uint8)
+        known = np.frombuffer(zlib.decompress(level_map.value), np.uint8)
         for batch in steps(batches):
             own = {}
             for s in shingle_sets(batch.column(0), words):
@@ -300,7 +301,7 @@ def open_blocks(docs: DataFrame, requests: DataFrame, blocks: DataFrame, words:
 def links(docs: DataFrame, words: int = WORDS, seed: int = 1) -> DataFrame:
     """node, component of all nodes that link with another; the components are those of all links."""
     spark = docs.sparkSession
-    level_map = spark.sparkContext.broadcast(levels(docs, words))
+    level_map = spark.sparkContext.broadcast(zlib.compress(levels(docs, words), 1))
     posts = cut(postings(docs, words, seed, level_map))
 
     level_map.destroy()
