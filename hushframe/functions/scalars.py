@@ -25,12 +25,76 @@ def from_base64url(value: Column) -> Column:
 
 
 def normalize_path(path: Column) -> Column:
-    """A path for metrics: identifiers become :id, long tokens after `account` are left to the caller; empty is /."""
-    uuid = "^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
-    parts = F.transform(F.split(path, "/"), lambda s: F.when(s.rlike("^[0-9]+$") | s.rlike(uuid), F.lit(":id")).otherwise(s))
-    joined = F.array_join(parts, "/")
-    return F.when(joined == "", F.lit("/")).otherwise(joined)
+    """A path for metrics: numbers and UUIDs become :id, the token of an account route :token; empty is /."""
+    parts = F.filter(F.split(path, "/"), lambda s: s != "")
+    token = r"^/+api(/+v[0-9]*)?/+account/+(confirm|reset-password|change-email|join-from-invite)/+[^/]+/*$"
+    shown = F.transform(parts, lambda s, i: F.when(path.rlike(token) & (i == F.size(parts) - 1), F.lit(":token")).when(s.rlike("^[0-9]+$") | s.rlike(UUID), F.lit(":id")).otherwise(s))
+    return F.concat(F.lit("/"), F.array_join(shown, "/"))
 
 
 def backoff(attempt: Column, base: float, most: float) -> Column:
     return F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), attempt))
+
+
+UUID = "^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
+EMAIL = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$"
+
+
+def is_uuid(value: Column) -> Column:
+    return value.rlike(UUID)
+
+
+def is_email(value: Column) -> Column:
+    return value.rlike(EMAIL)
+
+
+def parse_int(value: Column, default: int) -> Column:
+    """The number that the text begins with; `default` without one or beyond 32 bits."""
+    return F.coalesce(F.regexp_extract(value, r"^\s*([+-]?[0-9]+)", 1).try_cast("int"), F.lit(default))
+
+
+def clamp_int(value: Column, default: int, low: int, high: int) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), parse_int(value, default)))
+
+
+def page_params(limit: Column, offset: Column, default: int = 20, most: int = 100) -> Column:
+    return F.struct(clamp_int(limit, default, 1, most).alias("limit"), clamp_int(offset, 0, 0, 1_000_000).alias("offset"))
+
+
+def path_is_public(path: Column, patterns: list[str]) -> Column:
+    """Whether a pattern equals the path, or ends in * and begins it."""
+    tests = [path.startswith(p[:-1]) if p.endswith("*") else path == p for p in patterns]
+    return F.coalesce(F.lit(False) if not tests else F.greatest(*tests, F.lit(False)), F.lit(False))
+
+
+def epoch_to_iso8601(seconds: Column) -> Column:
+    return F.concat(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+
+
+def pg_to_iso8601(stamp: Column) -> Column:
+    """A database's timestamp text in ISO form, without fractions; +00 becomes Z, and other text stays."""
+    parts = r"^(.{10}) (.{8})(?:\.[0-9]*)?(.*)$"
+    zone = F.regexp_extract(stamp, parts, 3)
+    done = F.concat(F.regexp_extract(stamp, parts, 1), F.lit("T"), F.regexp_extract(stamp, parts, 2), F.when(zone.isin("", "Z", "+00", "+00:00"), F.lit("Z")).otherwise(zone))
+    return F.when(stamp.rlike(parts), done).otherwise(stamp)
+
+
+def traceparent(header: Column) -> Column:
+    """trace_id, parent_id and flags of a version 00 header; null for any other and for all-zero ids."""
+    low = F.lower(header)
+    shape = "^00-(?!0{32})([0-9a-f]{32})-(?!0{16})([0-9a-f]{16})-([0-9a-f]{2})$"
+    return F.when(low.rlike(shape), F.struct(*(F.regexp_extract(low, shape, i).alias(n) for i, n in enumerate(("trace_id", "parent_id", "flags"), 1))))
+
+
+def hmac_sha256(message: Column, key: bytes) -> Column:
+    """Lower-case hex of the HMAC, with two of Spark's own digests."""
+    import hashlib
+
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ pad for b in key)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
+def decode_corpus(value: Column) -> Column:
+    """The text of base64url that was written backwards."""
+    return from_base64url(F.reverse(value)).cast("string")

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from hushframe.functions.validators import passes
 from hushframe.sources.catalog import Rule, groups_in, named
+from hushframe.sources.prefilter import guarantees_keyword
 
 CANDIDATES = "request_id long, text_idx int, start int, end int, rule_id string, data_type int, placeholder_type string, original string"
 
@@ -45,18 +46,23 @@ def matches(text: str, rule: Rule) -> Iterator[tuple[int, int]]:
 
 
 def scan(texts: DataFrame, rules: list[Rule], prefilter: bool = False) -> DataFrame:
-    """Candidates, one row per match of a rule: see CANDIDATES. `texts`: request_id, text_idx, text."""
+    """Candidates, one row per match of a rule: see CANDIDATES. `texts`: request_id, text_idx, text.
+
+    `prefilter` skips texts without a rule's keywords where each match is proven to hold one, so it loses none.
+    """
+    proven = {r.rule_id for r in rules if guarantees_keyword(r.regex, r.keywords)} if prefilter else set()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             text = batch.column(2)
-            lower = pc.utf8_lower(text) if prefilter else None
+            lower = pc.utf8_lower(text) if proven else None
             for rule in rules:
-                gate = pc.match_substring_regex(text, f"(?m){rule.regex}")
-                if prefilter and rule.keywords:
-                    has = [pc.match_substring(lower, k) for k in rule.keywords if k]
-                    gate = pc.and_(gate, reduce(pc.or_, has) if has else False)
+                searched = text
+                if rule.rule_id in proven:
+                    has = reduce(pc.or_, [pc.match_substring(lower, k.lower()) for k in rule.keywords if k])
+                    searched = pc.if_else(has, text, None)
+                gate = pc.match_substring_regex(searched, f"(?m){rule.regex}")
                 for i in pc.indices_nonzero(pc.fill_null(gate, False)).to_pylist():
                     value = text[i].as_py()
                     out += [(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), s, e, rule.rule_id, rule.data_type, rule.placeholder, value[s:e]) for s, e in matches(value, rule)]

@@ -5,6 +5,7 @@ import pytest
 from hushframe.functions import validators as v
 from hushframe.operators import extract, mask, scan
 from hushframe.sources.catalog import Rule, load_rules
+from hushframe.sources.prefilter import guarantees_keyword
 
 
 def texts(spark, rows):
@@ -70,11 +71,20 @@ def test_masking(spark):
     assert state[1] == (["ip-addrs.ipv4", "pii.email"], [4, 5], 3)
 
 
-def test_prefilter_changes_nothing_for_texts_with_the_keyword(spark):
-    t = texts(spark, [(1, 0, "ИНН 500100732259"), (2, 0, "no 500100732259")])
-    rules = [load_rules().by_id("pii.docs.inn-person")]
-    assert scan.scan(t, rules).count() == 2
-    assert [r.request_id for r in scan.scan(t, rules, prefilter=True).collect()] == [1]
+@pytest.mark.parametrize("pattern, keywords, want", [
+    ("abc", ("B",), True), ("(?i)abs", ("abs",), False), ("(?i)abc", ("abc",), True), ("ab|ac", ("ab",), False), ("(?:xab|yabc)+z", ("ab",), True),
+    ("(ab)*", ("ab",), False), ("(ab){2,}", ("ab",), True), (r"\d{12}", ("inn",), False), ("[[:alpha:]]ab", ("ab",), False), ("a[bc]", ("ab",), False), ("(", ("(",), False), ("инн", ("инн",), True), ("(?i)инн", ("инн",), False), ("ab", (), False),
+])
+def test_prover(pattern, keywords, want):
+    assert guarantees_keyword(pattern, keywords) == want
+
+
+def test_prefilter_loses_nothing(spark):
+    """Without a proof, as for bare digits, the keywords gate nothing."""
+    t = texts(spark, [(1, 0, "ИНН 500100732259 key=abc"), (2, 0, "no 500100732259"), (3, 0, None)])
+    rules = [load_rules().by_id("pii.docs.inn-person"), Rule("k", "KEY=[a-z]+|key=[a-z]+", keywords=("key=",))]
+    rows = lambda p: sorted((r.request_id, r.start, r.rule_id) for r in scan.scan(t, rules, prefilter=p).collect())
+    assert rows(True) == rows(False) == [(1, 4, "pii.docs.inn-person"), (1, 17, "k"), (2, 3, "pii.docs.inn-person")]
 
 
 def test_chat_fields(spark):
