@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.functions import scalars, validators
-from hushframe.operators import extract, mask, scan
+from hushframe.operators import bodies, extract, gateway, mask, restore, scan
 from hushframe.sources.catalog import load_rules
 
 
@@ -168,6 +168,136 @@ AUDIT_SQL = """
 SELECT event_id, event_type FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type IS NOT NULL) WHERE n BETWEEN 101 AND 150
 """
 
+def format_bodies(spark, sf_dir, format):
+    """A request of each conversation in the format, with the turns' texts in order; null texts are left out."""
+    turns = table(spark, sf_dir, "conversations").where("text is not null")
+    item = {
+        "chat_completions": "named_struct('role', m.role, 'content', m.text)",
+        "messages": "named_struct('role', m.role, 'content', array(named_struct('type', 'text', 'text', m.text)))",
+        "responses": "named_struct('type', 'message', 'role', m.role, 'content', m.text)",
+    }[format]
+    lists = turns.groupBy(F.col("conv_id").alias("request_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("ms"))
+    name = "input" if format == "responses" else "messages"
+    return lists.select("request_id", F.to_json(F.expr(f"named_struct('model', 'm', '{name}', transform(ms, m -> {item}))")).alias("body"))
+
+
+def extract_format(format, path):
+    def query(spark, sf_dir):
+        return bodies.fields(format_bodies(spark, sf_dir, format), format, "request").select("request_id", "path", "text")
+
+    sql = f"""
+SELECT request_id, replace('{path}', '#', CAST(i AS VARCHAR)) AS path, text FROM (
+  SELECT conv_id AS request_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, text FROM conversations WHERE text IS NOT NULL)
+WHERE text <> ''
+"""
+    return query, sql
+
+
+def roundtrip_bodies(spark, sf_dir):
+    """Bodies after masking their fields in place, and restoring those of the masked bodies: the bodies themselves."""
+    made = format_bodies(spark, sf_dir, "messages")
+    found = bodies.fields(made, "messages", "request").where("not is_raw")
+    texts = found.select("request_id", "text_idx", "text")
+    masked, used = mask.mask(texts, found_in(texts))
+    place = found.drop("text")
+    hidden = bodies.patch(made, place.join(masked.withColumnRenamed("masked_text", "text"), ["request_id", "text_idx"]))
+    again = bodies.fields(hidden, "messages", "request")
+    back = restore.restore(again.select("request_id", "text_idx", F.col("text").alias("masked_text")), used)
+    shown = bodies.patch(hidden, again.drop("text").join(back, ["request_id", "text_idx"]))
+    return bodies.fields(shown, "messages", "request").select("request_id", "path", "text")
+
+
+def restore_drifted(spark, sf_dir):
+    """Documents after masking, a rewriting of their placeholders, and tolerant restoring."""
+    texts = document_texts(spark, sf_dir)
+    masked, used = mask.mask(texts, found_in(texts))
+    drifted = masked.withColumn("masked_text", F.regexp_replace("masked_text", "<([A-Z0-9_]+)_([0-9]+)>", "< $1 - 0$2 >"))
+    return restore.restore(drifted, used).select("request_id", "text")
+
+
+DRIFTED_SQL = "SELECT doc_id AS request_id, regexp_replace(text, '<([A-Z0-9_]+)_([0-9]+)>', '< \\1 - 0\\2 >', 'g') AS text FROM documents"
+
+
+def page_paths(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").withColumn("path", F.regexp_replace("url", r"^[a-z]+://[^/]*", ""))
+    return rows.groupBy(scalars.normalize_path(F.col("path")).alias("path")).agg(F.count(F.lit(1)).alias("n"))
+
+
+PATHS_SQL = """
+SELECT '/' || array_to_string(list_transform(list_filter(string_split(regexp_replace(url, '^[a-z]+://[^/]*', ''), '/'), lambda x: x <> ''),
+  lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') OR regexp_full_match(x, '[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}') THEN ':id' ELSE x END), '/') AS path, count(*) AS n
+FROM pages WHERE url IS NOT NULL GROUP BY 1
+"""
+
+
+def event_latency(spark, sf_dir):
+    """How many events of each type have a value, read as milliseconds, up to each bound."""
+    rows = table(spark, sf_dir, "events").where("event_type is not null")
+    return gateway.histogram(rows, F.col("value") / 1000, ["event_type"])
+
+
+LATENCY_SQL = f"""
+SELECT event_type, le, count(*) FILTER (WHERE value / 1000 <= le) AS n FROM events,
+  (SELECT unnest([{', '.join(f"{b}::DOUBLE" for b in gateway.BUCKETS)}, 'inf'::DOUBLE]) AS le) WHERE event_type IS NOT NULL GROUP BY event_type, le
+"""
+
+
+def current_user_event(spark, sf_dir):
+    """Each user's last event, as a key-value store would hold it."""
+    return gateway.current_values(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type").where("ts is not null"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+CURRENT_SQL = "SELECT user_id, event_id, event_type FROM events WHERE ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
+
+
+def events_retained(spark, sf_dir):
+    log = gateway.retained(table(spark, sf_dir, "events"), "event_id", 72)
+    return log.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+RETAINED_SQL = "SELECT event_type, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 72 HOUR GROUP BY event_type"
+
+
+def stream_frames(spark, sf_dir):
+    """The frames of one event stream for each conversation: a frame per turn, and the end."""
+    turns = table(spark, sf_dir, "conversations").where("text <> ''")
+    line = gateway.frame(F.translate(F.trim("text"), "\r\n", "  "))
+    joined = turns.groupBy(F.col("conv_id").alias("stream_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", line.alias("line")))).alias("ls"))
+    streams = joined.select("stream_id", F.concat(F.array_join("ls.line", ""), F.lit("data: [DONE]\n\n")).alias("body"))
+    return gateway.frames(streams).groupBy("stream_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("data")).alias("chars"))
+
+
+FRAMES_SQL = """
+SELECT conv_id AS stream_id, 'event' AS kind, count(*) AS n, sum(length(trim(text))) AS chars FROM conversations WHERE text <> '' GROUP BY conv_id
+UNION ALL SELECT DISTINCT conv_id, 'done', 1, 6 FROM conversations WHERE text <> ''
+"""
+
+
+def request_parameters(spark, sf_dir):
+    """Limits, paths' formats, header types and times, made of the orders' numbers."""
+    k = F.col("o_orderkey")
+    path = F.element_at(F.array(*map(F.lit, ("/openai/v1/messages?x=1", "/v1/responses", "/health", "/x/v1/chat/completions"))), (k % 4 + 1).cast("int"))
+    page = scalars.page_params((k % 300 - 50).cast("string"), k.cast("string"))
+    types = gateway.narrowed(F.array(*map(F.lit, (1, 4, 5))), F.element_at(F.array(*map(F.lit, ("none", "4,custom", "bad", "5, API_KEYS"))), (k % 4 + 1).cast("int")))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", page["limit"].alias("limit"), page["offset"].alias("offset"), gateway.format_of(path).alias("format"), F.array_join(types.cast("array<string>"), ",").alias("types"),
+        scalars.epoch_to_iso8601(k * 86_461).alias("iso"), scalars.path_is_public(path, ["/health", "/v1*"]).alias("open"),
+    )
+
+
+REQUEST_SQL = """
+SELECT o_orderkey, greatest(1, least(100, o_orderkey % 300 - 50))::INT AS "limit", least(1000000, o_orderkey)::INT AS "offset",
+  CASE o_orderkey % 4 WHEN 0 THEN 'messages' WHEN 1 THEN 'responses' WHEN 3 THEN 'chat_completions' END AS format,
+  CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN '4' WHEN 2 THEN '1,4,5' ELSE '5' END AS types,
+  strftime(make_timestamp(o_orderkey * 86461000000), '%Y-%m-%dT%H:%M:%SZ') AS iso, o_orderkey % 4 IN (1, 2) AS "open"
+FROM orders
+"""
+
+
+def mac(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", scalars.hmac_sha256(F.col("c_name"), b"key").alias("mac"))
+
+
 QUERIES = {
     "candidates_by_rule": candidates_by_rule, "coalesce_overlaps": coalesce_overlaps, "mask_documents": mask_documents, "mask_conversations": mask_conversations,
     "masking_state": masking_state, "roundtrip_documents": roundtrip_documents, "docs_with_findings": docs_with_findings, "docs_clean": docs_clean, "top_rules": top_rules,
@@ -177,5 +307,16 @@ SQL = {
     "candidates_by_rule": CANDIDATES_SQL, "coalesce_overlaps": COALESCE_SQL, "scalar_functions": SCALAR_SQL, "extract_chat_request": EXTRACT_SQL, "audit_page": AUDIT_SQL,
     "roundtrip_documents": "SELECT doc_id AS request_id, 0 AS text_idx, text FROM documents",
 }
+QUERIES |= {
+    "roundtrip_bodies": roundtrip_bodies, "restore_drifted": restore_drifted, "page_paths": page_paths, "event_latency": event_latency, "current_user_event": current_user_event,
+    "events_retained": events_retained, "stream_frames": stream_frames, "request_parameters": request_parameters, "hmac": mac,
+}
+SQL |= {
+    "restore_drifted": DRIFTED_SQL, "page_paths": PATHS_SQL, "event_latency": LATENCY_SQL, "current_user_event": CURRENT_SQL, "events_retained": RETAINED_SQL,
+    "stream_frames": FRAMES_SQL, "request_parameters": REQUEST_SQL,
+}
+for _name, _path in {"chat_completions": "messages.#.content", "messages": "messages.#.content.0.text", "responses": "input.#.content"}.items():
+    QUERIES[f"extract_{_name}"], SQL[f"extract_{_name}"] = extract_format(_name, _path)
+SQL["roundtrip_bodies"] = SQL["extract_messages"]
 for _name, _made in VALIDATED.items():
     QUERIES[f"validator_{_name}"], SQL[f"validator_{_name}"] = validator(_name, *_made)

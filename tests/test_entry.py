@@ -27,7 +27,7 @@ def test_same_rows_as_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("customer", "orders", "lineitem", "events", "documents", "conversations"):
+    for t in ("customer", "orders", "lineitem", "events", "documents", "conversations", "pages"):
         con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     made = entry.queries()[name](spark, SMALL)
     columns = sorted(made.columns)
