@@ -31,7 +31,10 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="hushframe-"))
-    return df.checkpoint(eager=True)
+    spark, kept = df.sparkSession, df.checkpoint(eager=True)
+    del df
+    release(spark)  # the shuffle files that led here
+    return kept
 
 
 def release(spark: SparkSession) -> None:
