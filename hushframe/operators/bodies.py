@@ -89,6 +89,11 @@ def raw(key: str) -> Visit:
 CALLS = (text("function_call", "arguments"), each("tool_calls", text("function", "arguments")))
 TEXT_PART = typed(text=[text("text")])
 ITEM_PART = typed(output_text=[text("text")], input_text=[text("text")], text=[text("text")])
+# The fields of an item of a response.
+RESPONSE_ITEM = typed(
+    message=[each("content", typed(output_text=[text("text")]))], function_call=[text("arguments")],
+    reasoning=[each("summary", typed(summary_text=[text("text")])), each("content", typed(reasoning_text=[text("text")]))],
+)
 # The fields of each format, in the order in which they are given.
 FORMATS: dict[tuple[str, str], list[Visit]] = {
     ("chat_completions", "request"): [each("messages", text_or_each("content", TEXT_PART), *CALLS)],
@@ -102,12 +107,7 @@ FORMATS: dict[tuple[str, str], list[Visit]] = {
         text("instructions"),
         text_or_each("input", typed(text_or_each("content", ITEM_PART), function_call_output=[text_or_each("output", ITEM_PART)], function_call=[text("arguments")])),
     ],
-    ("responses", "response"): [
-        each("output", typed(
-            message=[each("content", typed(output_text=[text("text")]))], function_call=[text("arguments")],
-            reasoning=[each("summary", typed(summary_text=[text("text")])), each("content", typed(reasoning_text=[text("text")]))],
-        )),
-    ],
+    ("responses", "response"): [each("output", RESPONSE_ITEM)],
 }
 
 

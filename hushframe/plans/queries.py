@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hushframe.functions import scalars, validators
 from hushframe.operators import bodies, extract, gateway, mask, restore, scan
 from hushframe.sources.catalog import load_rules
+from hushframe.streaming import dialects
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -273,6 +274,29 @@ UNION ALL SELECT DISTINCT conv_id, 'done', 1, 6 FROM conversations WHERE text <>
 """
 
 
+def restore_event_streams(spark, sf_dir):
+    """Each conversation masked and sent as one event stream, a choice per turn, seven characters a frame; the texts that its restored frames say."""
+    texts = turn_texts(spark, sf_dir)
+    masked, used = mask.mask(texts, found_in(texts))
+    text = F.col("masked_text")
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(7)), lambda i: F.substr(text, i + 1, F.lit(7)))
+    choice = F.array(F.struct(F.col("text_idx").alias("index"), F.struct(F.col("piece").alias("content")).alias("delta")))
+    parts = masked.select("request_id", "text_idx", F.posexplode(cut).alias("at", "piece"))
+    lines = parts.select(F.col("request_id").alias("stream_id"), "text_idx", "at", gateway.frame(F.to_json(F.struct(choice.alias("choices")))).alias("line"))
+    joined = lines.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("text_idx", "at", "line"))).alias("ls"))
+    streams = joined.select("stream_id", F.lit("chat_completions").alias("format"), F.concat(F.array_join("ls.line", ""), F.lit("data: [DONE]\n\n")).alias("body"))
+    said = gateway.frames(dialects.restore_streams(streams, used)).where("kind = 'event'")
+    one = F.from_json("data", "choices array<struct<index:int,delta:struct<content:string>>>")["choices"][0]
+    pieces = said.select("stream_id", "seq", one["index"].alias("choice"), one["delta"]["content"].alias("content"))
+    return pieces.groupBy("stream_id", "choice").agg(F.sort_array(F.collect_list(F.struct("seq", "content"))).alias("ps")).select("stream_id", "choice", F.array_join("ps.content", "").alias("text"))
+
+
+STREAMS_SQL = """
+SELECT conv_id AS stream_id, turn::INT AS choice, text || ' contact user' || (turn % 2) || '.c' || (conv_id % 7) || '@mail.example.com or <EMAIL_1>' AS text
+FROM conversations WHERE text IS NOT NULL
+"""
+
+
 def request_parameters(spark, sf_dir):
     """Limits, paths' formats, header types and times, made of the orders' numbers."""
     k = F.col("o_orderkey")
@@ -310,10 +334,11 @@ SQL = {
 QUERIES |= {
     "roundtrip_bodies": roundtrip_bodies, "restore_drifted": restore_drifted, "page_paths": page_paths, "event_latency": event_latency, "current_user_event": current_user_event,
     "events_retained": events_retained, "stream_frames": stream_frames, "request_parameters": request_parameters, "hmac": mac,
+    "restore_event_streams": restore_event_streams,
 }
 SQL |= {
     "restore_drifted": DRIFTED_SQL, "page_paths": PATHS_SQL, "event_latency": LATENCY_SQL, "current_user_event": CURRENT_SQL, "events_retained": RETAINED_SQL,
-    "stream_frames": FRAMES_SQL, "request_parameters": REQUEST_SQL,
+    "stream_frames": FRAMES_SQL, "request_parameters": REQUEST_SQL, "restore_event_streams": STREAMS_SQL,
 }
 for _name, _path in {"chat_completions": "messages.#.content", "messages": "messages.#.content.0.text", "responses": "input.#.content"}.items():
     QUERIES[f"extract_{_name}"], SQL[f"extract_{_name}"] = extract_format(_name, _path)
