@@ -24,7 +24,7 @@ ASSIGN = re.compile(rf"""({_WORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are whole, so a run of 24 or more is the same as `+` and a length of 24
 
-#: Tokens that the models judge: long, with digits and letters.
+#: Tokens that the models judge.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Log-likelihood ratio, in nats a character, from which a token counts as random.
 LEAST = 0.6
@@ -97,8 +97,7 @@ def find(text: str, difference: np.ndarray) -> tuple[list, list]:
     added = []
     for m in TOKEN.finditer(text):
         own = m[0].strip("=-_/+")
-        digits = sum(c.isdigit() for c in own)
-        if len(own) >= 20 and 2 <= digits < len(own) and not any(s < m.end() and e > m.start() for _, s, e in base):
+        if len(own) >= 20 and not any(s < m.end() and e > m.start() for _, s, e in base):
             if ratio(own, difference) >= LEAST:
                 start = text.index(own, m.start())
                 added.append(("random", start, start + len(own)))

@@ -239,6 +239,15 @@ def test_secrets(docs, empty):
     assert own[0] == [] and own[1] == [("random", 3, 26)]
 
 
+def test_random_keys_without_digits_through_find():
+    """The ratio alone decides."""
+    difference, rng = secrets.trained(), random.Random(5)
+    letters = "".join(rng.choice(secrets.CHARS[:52]) for _ in range(30))
+    assert secrets.find(letters, difference)[1] == [("random", 0, 30)]
+    assert sum(bool(secrets.find("x " + secrets.key(rng) + " y", difference)[1]) for _ in range(500)) >= 499
+    assert not any(secrets.find("a " + secrets.ordinary(rng) + " b", difference)[1] for _ in range(300))
+
+
 def brute_viterbi(model, text):
     """The best score of a text by trying every piece at every place."""
     score = {p: s for p, s, kind in model.pieces if kind in (pieces.NORMAL, pieces.USER)}
