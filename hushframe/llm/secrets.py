@@ -1,7 +1,8 @@
 """Secrets: fixed patterns, and character Markov models that tell random strings from ordinary identifiers.
 
 Two models of the next character given the last one, of random keys and of ordinary names, are trained from labelled
-samples that are made from a seed. A long token is added if its log-likelihood ratio for a character is high enough.
+samples that are made from a seed. A long part of a token is added if its log-likelihood ratio for a character is high
+enough; the ratio alone decides.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ ASSIGN = re.compile(rf"""({_WORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are whole, so a run of 24 or more is the same as `+` and a length of 24
 
-#: Tokens that the models judge.
+#: Stretches of characters that the models judge; a random part of LONG characters at least counts.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Log-likelihood ratio, in nats a character, from which a token counts as random.
 LEAST = 0.6
+LONG = 20
+SEPARATORS = "+/_=-"
 SAMPLES = 4000
 CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _INDEX = {c: i for i, c in enumerate(CHARS)}
@@ -80,6 +83,49 @@ def ratio(text: str, difference: np.ndarray) -> float:
     return float(difference[[len(CHARS), *codes[:-1]], codes].mean()) if codes else -math.inf
 
 
+def random_parts(text: str, difference: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the parts of `text` that are random.
+
+    Each LONG characters whose own ratio is LEAST at least are a part, and those that overlap or touch are one. A part
+    is narrowed to where its sum over half of LEAST a character is highest, then widened to the separators around it.
+    A text whose ratio is LEAST at least as a whole is a part if none is in it.
+    """
+    if len(text) < LONG:
+        return []
+    codes = np.array([_INDEX[c] for c in text])
+    step = difference[codes[:-1], codes[1:]]
+    total = np.concatenate([[0.0, 0.0], np.cumsum(step)])  # up to each place, of all characters but the first
+    start = difference[len(CHARS), codes]
+    at = np.arange(len(text) - LONG + 1)
+    parts: list[list[int]] = []
+    for i in np.flatnonzero(start[at] + total[at + LONG] - total[at + 1] >= LEAST * LONG).tolist():
+        if parts and i <= parts[-1][1]:
+            parts[-1][1] = i + LONG
+        else:
+            parts.append([i, i + LONG])
+    out = []
+    for low, high in parts:
+        over = total[low + 1 : high + 1] - np.arange(high - low) * (LEAST / 2)
+        least = np.minimum.accumulate(over)
+        to = int((over - least).argmax())
+        begin, end = low + int(over[: to + 1].argmin()), low + to + 1
+        while begin < end and text[begin] in SEPARATORS:
+            begin += 1
+        while end > begin and text[end - 1] in SEPARATORS:
+            end -= 1
+        while begin and text[begin - 1] not in SEPARATORS:
+            begin -= 1
+        while end < len(text) and text[end] not in SEPARATORS:
+            end += 1
+        if end - begin < LONG:  # a random part with separators in it
+            begin, end = low, high
+        if out and begin < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((begin, end))
+    return out or ([(0, len(text))] if ratio(text, difference) >= LEAST else [])
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the fixed patterns, leftmost and not overlapping within a kind, by start, then kind."""
     out = []
@@ -96,11 +142,10 @@ def find(text: str, difference: np.ndarray) -> tuple[list, list]:
     base = base_spans(text)
     added = []
     for m in TOKEN.finditer(text):
-        own = m[0].strip("=-_/+")
-        if len(own) >= 20 and not any(s < m.end() and e > m.start() for _, s, e in base):
-            if ratio(own, difference) >= LEAST:
-                start = text.index(own, m.start())
-                added.append(("random", start, start + len(own)))
+        at, ends = m.start(), sorted((s, e) for _, s, e in base if s < m.end() and e > m.start())
+        for s, e in [*ends, (m.end(), m.end())]:  # what the base spans leave of the token
+            added += [("random", at + i, at + j) for i, j in random_parts(text[at:s], difference)]
+            at = max(at, e)
     return base, sorted(base + added, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

@@ -248,6 +248,20 @@ def test_random_keys_without_digits_through_find():
     assert not any(secrets.find("a " + secrets.ordinary(rng) + " b", difference)[1] for _ in range(300))
 
 
+def test_random_keys_through_find():
+    """Wherever in a token a key lies, and beside base spans."""
+    difference, rng = secrets.trained(), random.Random(5)
+    for before in ("", "/files/user/profile/image/", "/api/service/user/session/data/", "session_id="):
+        found = 0
+        for _ in range(200):
+            own = "".join(rng.choice(secrets.CHARS[:62]) for _ in range(24))
+            text = f"x {before}{own} y"
+            found += any(s <= 2 + len(before) and e >= len(text) - 2 for k, s, e in secrets.find(text, difference)[1] if k == "random")
+        assert found >= 198, before
+    text = "a0b1c2d3e4f5a6b7c8d9e0f1/Zx8Qw3Lp0Vb7Nm2Kt5Ry1Hs"
+    assert secrets.find(text, difference)[1] == [("hex", 0, 24), ("random", 25, 48)]
+
+
 def brute_viterbi(model, text):
     """The best score of a text by trying every piece at every place."""
     score = {p: s for p, s, kind in model.pieces if kind in (pieces.NORMAL, pieces.USER)}
