@@ -1,25 +1,32 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of character classes, trained on trusted text.
-
-Characters fall into 32 classes, so there are 2^20 four-grams at most, whatever the input: counts are gathered over
-all trusted documents and summed by n-gram; discounts, context totals and continuation counts are joined to them by
-context, sharded by Spark. The finished table (4 MB) goes to the tasks that read the texts, and no text is moved for
-scoring. A document is rejected if its mean bits per character lie outside the quantiles of its language's trusted
-documents, widened by a margin.
+"""Quality classifier: an interpolated modified Kneser-Ney model of word trigrams, trained on trusted text.
+
+The n-grams grow with the text and stay sharded, both the counts and the finished model. The log probability of a word
+is a sum over its trigram, bigrams and words of values that each n-gram has alone (see `values`), so documents' n-gram
+counts, summed in each document first, are joined to the values by the n-gram's number, and the products are summed.
+Texts fall into two halves by their hash. A text is scored by the model of the other half's trusted texts, so that
+none is scored by a model that has seen it, and trusted and other texts compare. All unknown words are alike to it,
+so a second, small model judges spelling: four-grams of 32 character classes (4 MB, whatever the input), which are
+broadcast. A document is rejected if its mean bits per character by either model lie outside the quantiles of its
+language's trusted documents, widened by a margin.
 """
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SMALL_ROWS, cut, steps, table
-from .slots import may_have, wanted_map
+from .common import SMALL_ROWS, cut, map_rows, steps, table
+from .graph import look_up
+from .jaccard import word_hashes
+from .slots import drop_rows, may_have, mixed_bits, wanted_map
 
 ORDER, CLASS_BITS = 4, 5
 CLASSES = 1 << CLASS_BITS
@@ -31,9 +38,27 @@ SHORT = 3.0
 STEP = 1e-4
 #: Below this many trusted documents a language is judged by the quantiles of all languages.
 LEAST_TRUSTED = 30
+#: Documents' n-grams are dealt to this many turns and, in each, to two to the power of BUCKET_BITS buckets.
+TURNS, BUCKET_BITS = 4, 7
+#: Values are summed as whole numbers of this part of a bit, so that the order of sums plays no part.
+UNIT = 1 << 16
+#: Sums that a task holds before it sends them on.
+HELD = 1 << 20
+START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+_MULTIPLIERS = np.random.default_rng(31).integers(1, 1 << 63, 2, dtype=np.uint64) | np.uint64(1)
 SPACE, UPPER, DIGIT, STOP, SYMBOL, LETTER = 26, 27, 28, 29, 30, 31
 
 
+def key_of() -> Column:
+    """A text's number; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key")
+
+
+def half_of() -> Column:
+    """The half that a text is in, 0 or 1; equal texts are in the same."""
+    return F.pmod(F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.lit("half")), F.lit(2)).cast("int").alias("half")
+
+
 def _classes() -> np.ndarray:
     """Classes of code points below 0x250: the base letter, or what kind of character it is."""
     out = np.full(0x250, SYMBOL, np.uint8)
@@ -120,18 +145,248 @@ def kneser_ney(counts: DataFrame) -> np.ndarray:
     return np.log2(p).astype(np.float32)
 
 
-def scores(docs: DataFrame, model) -> DataFrame:
-    """doc_id, lang, n, bits: characters, and minus the mean log2 probability of one; null for a text without any."""
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair of n-gram numbers; their order counts."""
+    return mixed_bits(a * _MULTIPLIERS[0] + b * _MULTIPLIERS[1])
+
+
+def text_grams(texts: pa.Array, halves: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The words of all texts, with two starts before each text and an end behind it: text, word, pair.
+
+    text is the place of the text that a word is in, pair the number of the word and the next, of the same text or not.
+    Numbers of words have the text's half as their last bit, so the halves share no n-gram.
+    """
+    flat, at = word_hashes(texts)
+    n = np.diff(at)
+    filled = n > 0  # a text without words has no n-grams
+    size = np.where(filled, n + 3, 0)
+    text = np.repeat(np.arange(len(n)), size)
+    first = np.cumsum(size) - size
+    word = np.full(len(text), START, np.uint64)
+    word[np.arange(len(flat)) + np.repeat(first - at[:-1] + 2, n)] = flat
+    word[(first + size - 1)[filled]] = END
+    word = mixed_bits(word) & ~np.uint64(1) | halves[text].astype(np.uint64)
+    pair = _mixed(word[:-1], word[1:])
+    return text, word, pair
+
+
+def trusted_grams(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """uv, vw, n of all trigrams u v w of `texts` (text, half), by their pairs' numbers; and the pairs: vw, v, w."""
+
+    def grams_of(batch):
+        text, word, pair = text_grams(batch.column(0), 1 - batch.column(1).to_numpy())
+        return text, word.view(np.int64), pair.view(np.int64)
+
+    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            text, _, pair = grams_of(batch)
+            whole = text[2:] == text[:-2] if len(text) > 2 else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:-1][whole]), pa.array(pair[1:][whole])], names=["uv", "vw"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            text, word, pair = grams_of(batch)
+            # A start before a start is a context but no pair that continues another.
+            inner = (text[1:] == text[:-1]) & np.concatenate([[False], text[1:-1] == text[:-2]]) if len(text) > 1 else np.zeros(0, bool)
+            at = np.flatnonzero(inner)
+            at = at[np.unique(pair[at], return_index=True)[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(pair[at]), pa.array(word[at]), pa.array(word[at + 1])], names=["vw", "v", "w"])
+
+    found = texts.mapInArrow(triples, "uv long, vw long").groupBy("uv", "vw").agg(F.count(F.lit(1)).alias("n"))
+    return found, texts.mapInArrow(pairs, "vw long, v long, w long").distinct()
+
+
+def discounted(counts: DataFrame) -> Column:
+    """The discount of each count n by modified Kneser-Ney, from how many n-grams were seen once to four times."""
+    of = {r["n"]: r["count"] for r in counts.where("n <= 4").groupBy("n").count().collect()}
+    n1, n2, n3, n4 = (of.get(k, 0) for k in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2) if n1 else 0.0
+    d = [k - (k + 1) * y * b / a if a and y else 0.5 * k for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    d = [min(max(x, 0.05 * k), 0.95 * k) for k, x in enumerate(d, 1)]
+    return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+
+
+def values(texts: DataFrame) -> tuple[DataFrame, list[float]]:
+    """uv, gram, value of the n-grams of `texts` (text, half), and log2 of an unknown word's probability by half.
+
+    With p3, p2, p1 the interpolated probabilities of a word by two, one and no words before it, and w3, w2 the weights
+    of the shorter one in a context: log p3(w | u v) = T(u v w) + P(v w) + Q(u v) + W(w) + V(v), where
+    T = log p3 - log w3 - log p2 if the trigram was seen, P = log p2 - log w2 - log p1 if the pair was, Q = log w3 and
+    V = log w2 if the context was, W = log p1; what was not seen adds nothing, and an unknown word its own value. A pair
+    within a text comes as often as context as it does as the end, so it has one value, P + Q; a word has W + V, less
+    an unknown word's W. uv is set for trigrams only; then gram is the second pair.
+    """
+    triples, pairs = map(cut, trusted_grams(texts))
+    log = lambda c: F.log2(c)
+    own = triples.withColumn("off", discounted(triples))
+    held3 = own.groupBy("uv").agg(F.sum("n").alias("all3"), F.sum("off").alias("held3"))
+    bi = cut(triples.groupBy("vw").agg(F.count(F.lit(1)).alias("n")).join(pairs, "vw"))
+    bi = bi.withColumn("off", discounted(bi))
+    held2 = bi.groupBy("v").agg(F.sum("n").alias("all2"), F.sum("off").alias("held2"))
+    uni = cut(bi.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    uni = uni.withColumn("off", discounted(uni)).withColumn("half", F.col("w").bitwiseAND(1))
+    sums = {r["half"]: r for r in uni.groupBy("half").agg(F.sum("n").alias("all"), F.sum("off").alias("held"), F.count(F.lit(1)).alias("words")).collect()}
+    unknown = [sums[h]["held"] / sums[h]["all"] / (sums[h]["words"] + 1) if h in sums else 1.0 for h in (0, 1)]
+    every = F.when(F.col("half") == 0, sums[0]["all"] if 0 in sums else 1).otherwise(sums[1]["all"] if 1 in sums else 1)
+    rest = F.when(F.col("half") == 0, unknown[0]).otherwise(unknown[1])
+    uni = cut(uni.select("w", ((F.col("n") - F.col("off")) / every + rest).alias("p1"), rest.alias("rest")))
+    w2, w3 = F.col("held2") / F.col("all2"), F.col("held3") / F.col("all3")
+    bi = bi.join(held2, "v").join(uni.select("w", "p1"), "w")
+    bi = cut(bi.select("vw", ((F.col("n") - F.col("off")) / F.col("all2") + w2 * F.col("p1")).alias("p2"), w2.alias("w2"), "p1"))
+    tri = own.join(held3, "uv").join(bi.select("vw", "p2"), "vw")
+    p3 = (F.col("n") - F.col("off")) / F.col("all3") + w3 * F.col("p2")
+    none = F.lit(None).cast("long").alias("uv")
+    made = tri.select("uv", F.col("vw").alias("gram"), (log(p3) - log(w3) - log(F.col("p2"))).alias("value"))
+    ends = bi.select(F.col("vw").alias("gram"), (log(F.col("p2")) - log(F.col("w2")) - log(F.col("p1"))).alias("value"))
+    contexts = held3.select(F.col("uv").alias("gram"), log(w3).alias("value"))
+    words = uni.select(F.col("w").alias("gram"), (log(F.col("p1")) - log(F.col("rest"))).alias("value"))
+    before = held2.select(F.col("v").alias("gram"), log(w2).alias("value"))
+    # Pairs and words have up to two rows, whose values sum at look-up.
+    short = ends.unionByName(contexts).unionByName(words).unionByName(before).select(none, "gram", "value")
+    return cut(made.unionByName(short)), [math.log2(x) for x in unknown]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers byte by byte, all first bytes first, which compresses better."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _numbers(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+_PART = "bucket int, docs boolean, grams binary, a binary, n binary"
+
+
+def _parts(docs: bool, gram: np.ndarray, a: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of _PART by bucket of the sorted `gram`."""
+    if not len(gram):
+        return
+    bucket = (gram >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    ends = [*first[1:].tolist(), len(gram)]
+    cuts = list(zip(first.tolist(), ends, strict=True))
+    data = [[_planes(np.concatenate([gram[i : i + 1], np.diff(gram[i:j])])) for i, j in cuts], [_planes(a[i:j]) for i, j in cuts], [_planes(n[i:j]) for i, j in cuts]]
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array([docs] * len(cuts)), *(pa.array(x, pa.binary()) for x in data)], names=["bucket", "docs", "grams", "a", "n"])
+
+
+def model_parts(model: DataFrame, turn: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uv, gram = batch.column(0).fill_null(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint64)
+            gram = np.where(batch.column(0).is_valid().to_numpy(zero_copy_only=False), _mixed(uv, gram), gram)
+            mine = np.flatnonzero((gram >> np.uint64(8)) % np.uint64(TURNS) == turn)
+            order = mine[np.argsort(gram[mine], kind="stable")]
+            value = np.round(batch.column(2).to_numpy() * UNIT).astype(np.int32)
+            yield from _parts(False, gram[order], value[order], np.zeros(0, np.uint8))
+
+    return model.mapInArrow(run, _PART)
+
+
+def document_parts(docs: DataFrame, turn: int) -> DataFrame:
+    """The n-grams of the texts of `docs` (text, key, half) that are this turn's, counted within each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log2 = model.value
         for batch in steps(batches):
-            texts = batch.column(2).to_pylist()
-            bits = [-float(log2[grams(t)].mean(dtype=np.float64)) if t else None for t in texts]
-            columns = [batch.column(0), batch.column(1), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(bits, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "n", "bits"])
+            keys, once = np.unique(batch.column(1).to_numpy(), return_index=True)  # equal texts have one score
+            batch = batch.take(pa.array(once))
+            text, word, pair = text_grams(batch.column(0), batch.column(2).to_numpy())
+            if not len(text):
+                continue
+            two = text[1:] == text[:-1]
+            three = text[2:] == text[:-2]
+            start = np.concatenate([[True], ~two])  # the first of two starts counts as a context in pairs only
+            gram = np.concatenate([_mixed(pair[:-1], pair[1:])[three], pair[two], word[~start]])
+            of = np.concatenate([text[2:][three], text[1:][two], text[~start]])
+            mine = np.flatnonzero((gram >> np.uint64(8)) % np.uint64(TURNS) == turn)
+            gram, of = gram[mine], of[mine]
+            order = np.lexsort((of, gram))
+            gram, of = gram[order], of[order]
+            first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (of[1:] != of[:-1])])) if len(gram) else order
+            n = np.diff(np.append(first, len(gram))).astype(np.uint32)
+            yield from _parts(True, gram[first], keys[of[first]], n)
+
+    return docs.mapInArrow(run, _PART)
+
+
+def joined_parts(parts: DataFrame) -> DataFrame:
+    """key, total, copies: the values of the documents' n-grams, times their counts; and how many texts that sums over.
+
+    Equal texts share a key, and tasks that have one each add it; each has one end, by which they are counted.
+    """
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").mapInArrow(run, "doc_id long, lang string, n long, bits double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, known, worth = None, [], None, None
+        sums: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        end = mixed_bits(np.array([END])) & ~np.uint64(1)
+
+        def summed():
+            key, at = np.unique(np.concatenate([x[0] for x in sums]), return_inverse=True)
+            out = [key]
+            for i in (1, 2):
+                out.append(np.zeros(len(key), np.int64))
+                np.add.at(out[i], at, np.concatenate([x[i] for x in sums]))
+            return tuple(out)
+
+        for batch in batches:
+            for bucket, docs, grams_, a, n in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if bucket != now:
+                    now, held, known = bucket, [], None
+                gram = np.cumsum(_numbers(grams_, np.uint64), dtype=np.uint64)
+                if not docs:
+                    held.append((gram, _numbers(a, np.int32)))
+                    continue
+                if known is None:
+                    known, at = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True) if held else (np.zeros(0, np.uint64), None)
+                    worth = np.zeros(len(known), np.int64)
+                    if held:
+                        np.add.at(worth, at, np.concatenate([v for _, v in held]))
+                    held = []
+                if not len(known):
+                    continue
+                at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+                hit = known[at] == gram
+                times = _numbers(n, np.uint32)[hit].astype(np.int64)
+                sums.append((_numbers(a, np.int64)[hit], worth[at[hit]] * times, times * ((gram[hit] & ~np.uint64(1)) == end)))
+                if sum(len(x[0]) for x in sums[1:]) > HELD + (len(sums[0][0]) if sums else 0):
+                    sums = [summed()]
+                    if len(sums[0][0]) > HELD:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in sums[0]], names=["key", "total", "copies"])
+                        sums = []
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed()], names=["key", "total", "copies"])
+
+    return parts.repartition("bucket").sortWithinPartitions("bucket", "docs").mapInArrow(run, "key long, total long, copies long").groupBy("key").agg(F.sum("total").alias("total"), F.sum("copies").alias("copies"))
+
+
+def scores(docs: DataFrame, model: tuple) -> DataFrame:
+    """doc_id, lang, key, n, bits, spelled: characters, and minus the mean log2 probability of one by each model.
+
+    bits is null for a text without words, spelled for one without characters.
+
+    The n-grams are dealt in TURNS, each of which reads the texts anew, so that no more than a turn's are on disk.
+    """
+    table_, unknown, classes = model
+    texts = docs.select("text", key_of(), half_of()).where("text is not null")
+    total = None
+    for turn in range(TURNS):
+        part = cut(joined_parts(model_parts(table_, turn).unionByName(document_parts(texts, turn))))
+        total = part if total is None else total.unionByName(part)
+    total = cut(total.groupBy("key").agg((F.sum("total") / F.greatest(F.sum("copies"), F.lit(1))).alias("total")))
+
+    def f(columns: list[list]) -> list[list]:
+        _, at = word_hashes(pa.array(columns[2], pa.string()))
+        spelled = [-float(classes.value[grams(t)].mean(dtype=np.float64)) if t else None for t in columns[2]]
+        return [columns[0], columns[1], columns[3], columns[4], [len(t or "") for t in columns[2]], np.diff(at).tolist(), spelled]
+
+    rows = map_rows(docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text", key_of(), half_of()), ["doc_id", "lang", "text", "key", "half"], "doc_id long, lang string, key long, half int, n long, words long, spelled double", f)
+    rows = cut(rows)
+    # Equal texts may be many: their total goes to where they are.
+    groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).join(total, "key", "left").select("key", "size", F.coalesce("total", F.lit(0.0)).alias("total"))
+    rest = F.when(F.col("half") == 0, unknown[0]).otherwise(unknown[1])
+    bits = F.when(F.col("words") > 0, -(F.col("total") / UNIT + (F.col("words") + 1) * rest) / F.col("n"))
+    return look_up(rows, cut(groups), "key", "size").select("doc_id", "lang", "key", "n", bits.alias("bits"), "spelled")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -156,8 +411,8 @@ def limits(trusted: DataFrame) -> DataFrame:
     return found.select("lang", (F.col("low") - (F.col("mid") - F.col("low")) * MARGIN).alias("lower"), (F.col("high") + (F.col("high") - F.col("mid")) * MARGIN).alias("upper"))
 
 
-def train(docs: DataFrame, trusted: DataFrame):
-    """The broadcast model of the text of the documents in `trusted` (doc_id).
+def train(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, list[float], Broadcast]:
+    """The values and unknown words' of the word model, and the broadcast class model, of the text of the documents in `trusted` (doc_id).
 
     A map of the trusted ids' hashes lets the texts of most others stay where they are; the rest is joined by id.
     """
@@ -165,58 +420,52 @@ def train(docs: DataFrame, trusted: DataFrame):
     bits = spark.sparkContext.broadcast(wanted_map(trusted.select(F.xxhash64("doc_id").alias("number"))))
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("__number", F.xxhash64("doc_id"))
     likely = may_have(rows, "__number", bits).where("__may").select("doc_id", "text")
-    texts = likely.hint("merge").join(trusted, "doc_id", "left_semi").select("text")
-    return spark.sparkContext.broadcast(kneser_ney(cut(gram_counts(texts))))
+    texts = likely.hint("merge").join(trusted, "doc_id", "left_semi").where("text is not null").select("text", half_of())
+    texts = cut(texts)
+    classes = spark.sparkContext.broadcast(kneser_ney(cut(gram_counts(texts.select("text")))))
+    return *values(texts), classes
 
 
-def learned(docs: DataFrame, labels: DataFrame):
-    """The broadcast model, and its limits by language: a DataFrame (lang, lower, upper) and those of all languages."""
-    trusted = cut(trusted_ids(labels))
-    model = train(docs, trusted)
-    rows = cut(scores(docs, model))
-    found = cut(limits(rows.hint("merge").join(trusted, "doc_id", "left_semi")))
-    every = found.where("lang is null").first()
-    by_lang = found.where("lang is not null").select("lang", F.col("lower").alias("__lower"), F.col("upper").alias("__upper"))
-    # Languages are few as a rule, and then no text is dealt by its language, which may be that of most texts.
-    by_lang = F.broadcast(by_lang) if by_lang.count() <= SMALL_ROWS else by_lang
-    return model, rows, by_lang, (every["lower"], every["upper"]) if every else (None, None)
-
-
-def kept_by(bits: Column, n: Column, of_all: tuple) -> tuple[Column, Column, Column]:
-    """Lower and upper limit, and whether a text is kept, beside the columns __lower and __upper of its language."""
-    lower, upper = (F.coalesce(F.col(c), F.lit(x).cast("double")) for c, x in zip(("__lower", "__upper"), of_all, strict=True))
+def kept_by(bits: Column, n: Column, lower: Column, upper: Column) -> Column:
+    """Whether a text is kept by these limits."""
     unsure = F.lit(SHORT) / F.sqrt(F.greatest(n, F.lit(1)))
-    return lower, upper, F.coalesce((bits >= lower - unsure) & (bits <= upper + unsure), F.lit(True))
+    return F.coalesce((bits >= lower - unsure) & (bits <= upper + unsure), F.lit(True))
+
+
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, lang, key, bits, lower, upper, kept of each document; the limits are those of the word model."""
+    trusted = cut(trusted_ids(labels))
+    rows = cut(scores(docs, train(docs, trusted)))
+    known = cut(rows.hint("merge").join(trusted, "doc_id", "left_semi"))
+    kept = F.lit(True)
+    out = rows
+    for name in ("spelled", "bits"):
+        found = cut(limits(known.select("lang", F.col(name).alias("bits"))))
+        every = found.where("lang is null").first()
+        by_lang = found.where("lang is not null").select("lang", F.col("lower").alias(f"__lower_{name}"), F.col("upper").alias(f"__upper_{name}"))
+        # Languages are few as a rule, and then no text is dealt by its language, which may be that of most texts.
+        out = out.join(F.broadcast(by_lang) if by_lang.count() <= SMALL_ROWS else by_lang, "lang", "left")
+        lower, upper = (F.coalesce(F.col(f"__{c}_{name}"), F.lit(every[c] if every else None).cast("double")) for c in ("lower", "upper"))
+        kept = kept & kept_by(F.col(name), F.col("n"), lower, upper)
+    return out.select("doc_id", "lang", "key", "bits", lower.alias("lower"), upper.alias("upper"), kept.alias("kept"))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, lang, bits, perplexity, lower, upper, kept.
 
-    A text without characters, or null, has no score and is kept. A language without LEAST_TRUSTED trusted documents,
-    or null, is judged by all languages' quantiles; without any trusted document all are kept. Rows that repeat are
-    judged each; other columns play no part; an empty table gives an empty result.
+    bits, perplexity and limits are of the word model; kept needs the class model's assent too. A text without words,
+    or null, has no bits; one without characters is kept. A language without LEAST_TRUSTED trusted documents, or null,
+    is judged by all languages' quantiles; without any trusted document all are kept. Rows that repeat are judged each;
+    other columns play no part; an empty table gives an empty result.
     """
-    _, rows, by_lang, of_all = learned(docs, labels)
-    lower, upper, kept = kept_by(F.col("bits"), F.col("n"), of_all)
-    return rows.join(by_lang, "lang", "left").select(
-        "doc_id", "lang", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), lower.alias("lower"), upper.alias("upper"), kept.alias("kept")
-    )
+    return judged(docs, labels).select("doc_id", "lang", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), "lower", "upper", "kept")
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` without those that the classifier rejects; all columns stay. Texts are scored where they are."""
-    from pyspark.sql.functions import pandas_udf
-
-    model, _, by_lang, of_all = learned(docs, labels)
-
-    @pandas_udf("double")
-    def bits_of(texts):
-        return texts.map(lambda t: -float(model.value[grams(t)].mean(dtype=np.float64)) if t else None).astype("float64")
-
-    by_lang = by_lang.withColumnRenamed("lang", "__lang")
-    scored = docs.withColumn("__bits", bits_of("text")).join(by_lang, F.col("lang").cast("string") == F.col("__lang"), "left")
-    _, _, kept = kept_by(F.nanvl("__bits", F.lit(None).cast("double")), F.length("text"), of_all)
-    return scored.where(kept).select(*docs.columns)
+    """`docs` without those that the classifier rejects; all columns stay. Few texts move, if few are rejected."""
+    gone = judged(docs, labels).where(~F.col("kept")).select(F.col("key").alias("__key"), F.col("lang").alias("__lang")).distinct()
+    marked = docs.withColumn("__key", key_of()).withColumn("__lang", F.col("lang").cast("string"))
+    return drop_rows(marked, ["__key", "__lang"], gone).drop("__key", "__lang")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

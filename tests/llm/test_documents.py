@@ -321,6 +321,62 @@ def test_kneser_ney(spark):
     assert abs(total - 1).max() < 1e-4
 
 
+def brute_word_bits(texts, text):
+    """Bits a character of `text` by the definition of interpolated modified Kneser-Ney on word trigrams of `texts` (text, half)."""
+    split = lambda t: ["<s>", "<s>", *t.lower().split(), "</s>"]
+    tables = {}
+    for half in (0, 1):
+        three = Counter(g for t, h in texts if h == half for w in [split(t)] for g in zip(w, w[1:], w[2:]))
+        two = Counter(g[1:] for g in three)
+        tables[half] = {3: three, 2: two, 1: Counter(g[1:] for g in two)}
+    d = {}
+    for order in (1, 2, 3):
+        n1, n2, n3, n4 = (sum(n == k for h in (0, 1) for n in tables[h][order].values()) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0.0
+        own = [k - (k + 1) * y * b / a if a and y else 0.5 * k for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        d[order] = [min(max(x, 0.05 * k), 0.95 * k) for k, x in enumerate(own, 1)]
+
+    def p(table, gram):
+        if not gram:
+            return 1 / (len(table[1]) + 1)
+        order, low = len(gram), p(table, gram[1:])
+        own = {g: n for g, n in table[order].items() if g[:-1] == gram[:-1]}
+        if not own:
+            return low
+        off = lambda n: d[order][min(n, 3) - 1]
+        n, whole = own.get(gram, 0), sum(own.values())
+        return (n - off(n) if n else 0) / whole + sum(map(off, own.values())) / whole * low
+
+    import math
+
+    def bits(half):
+        w = split(text)
+        return -sum(math.log2(p(tables[1 - half], g)) for g in zip(w, w[1:], w[2:])) / len(text)
+
+    return bits
+
+
+def test_word_trigrams(spark):
+    """Scores through the sharded joins are those of the definition, with words beyond any alphabet."""
+    rng = random.Random(8)
+    words = ["the", "cat", "sat", "日本", "ß-é", "Mat.", "😀"] + [f"w{i}" for i in range(20)]
+    made = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(40)]
+    rows = [(i, t, "en") for i, t in enumerate([*made, made[0], "never seen", "the the the", "", " ", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    halves = {r.text: r.half for r in docs.select("text", quality.half_of()).collect()}
+    trusted = spark.createDataFrame([(i,) for i in range(30)], "doc_id long")
+    model = quality.train(docs, trusted)
+    texts = [(t, halves[t]) for t in made[:30]]
+    assert model[0].count() > 400 and {h for _, h in texts} == {0, 1}
+    got = {r.doc_id: r.bits for r in quality.scores(docs, model).collect()}
+    assert len(got) == len(rows)
+    for i, t, _ in rows:
+        if not (t or "").split():
+            assert got[i] is None
+        else:
+            assert abs(got[i] - brute_word_bits(texts, t)(halves[t])) < 1e-3, t
+
+
 def test_quality(spark, docs, rows, empty):
     labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(80)] + [(None, 1, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
     assert 4 not in {r.doc_id for r in quality.trusted_ids(labels).collect()}
