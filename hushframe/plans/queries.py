@@ -34,6 +34,13 @@ def candidates_by_rule(spark, sf_dir):
     return scan.scan(document_texts(spark, sf_dir), rules).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def candidates_all_rules(spark, sf_dir):
+    """How many candidates each rule of the catalogue has, also those with none."""
+    catalog = load_rules()
+    found = scan.scan(document_texts(spark, sf_dir), catalog.rules).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    return catalog.frame(spark).select("rule_id").join(found, "rule_id", "left").select("rule_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 _IPV4 = r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"
 CANDIDATES_SQL = rf"""
 WITH c AS (
@@ -323,7 +330,7 @@ def mac(spark, sf_dir):
 
 
 QUERIES = {
-    "candidates_by_rule": candidates_by_rule, "coalesce_overlaps": coalesce_overlaps, "mask_documents": mask_documents, "mask_conversations": mask_conversations,
+    "candidates_by_rule": candidates_by_rule, "candidates_all_rules": candidates_all_rules, "coalesce_overlaps": coalesce_overlaps, "mask_documents": mask_documents, "mask_conversations": mask_conversations,
     "masking_state": masking_state, "roundtrip_documents": roundtrip_documents, "docs_with_findings": docs_with_findings, "docs_clean": docs_clean, "top_rules": top_rules,
     "scalar_functions": scalar_functions, "extract_chat_request": extract_chat_request, "audit_page": audit_page,
 }

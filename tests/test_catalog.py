@@ -41,3 +41,12 @@ def test_groups_are_named():
     assert catalog.groups_in(r"(a)(?:b)\((?P<x>c)[(]([]()])") == 3
     assert catalog.named(r"(a)(?P<x>c)") == "(?P<g1>a)(?P<g2>c)"
     assert catalog.data_type("ip_addresses") == 4 and catalog.data_type("3") == 3 and catalog.data_type("no") == 0
+
+
+def test_candidates_of_all_rules(spark):
+    from hushframe.plans import queries
+
+    small = "/root/testdata/sf0.001"
+    got = {r.rule_id: r.n for r in queries.QUERIES["candidates_all_rules"](spark, small).collect()}
+    assert set(got) == {r.rule_id for r in catalog.load_rules().rules}
+    assert all(got[r.rule_id] == r.n for r in queries.QUERIES["candidates_by_rule"](spark, small).collect()) and sum(got.values()) > 0
