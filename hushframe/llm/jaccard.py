@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, release, steps, table
+from .exact_dedup import repeats
 from .graph import components, look_up
 from .slots import bucket_count, drop_rows, in_map, mixed_bits, slot_map, wanted_map
 
@@ -108,7 +109,7 @@ def node_of(shingles: np.ndarray, seed: int) -> int:
 
 
 def nodes(docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """doc_id, n, node (null where n is 0), check: equal sets have equal nodes; `check` would betray a collision."""
+    """doc_id, n, node (null where n is 0), check, sha (of the text): equal sets have equal nodes; `check` would betray a collision."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -117,9 +118,11 @@ def nodes(docs: DataFrame, words: int, seed: int) -> DataFrame:
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([node_of(s, seed) if len(s) else None for s in sets], pa.int64()),
                 pa.array([node_of(s, seed + 1) if len(s) else None for s in sets], pa.int64()),
-            ], names=["doc_id", "n", "node", "check"])
+                batch.column(2),
+            ], names=["doc_id", "n", "node", "check", "sha"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, node long, check long")
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return docs.select(F.col("doc_id").cast("long"), "text", sha).mapInArrow(run, "doc_id long, n long, node long, check long, sha string")
 
 
 def levels(docs: DataFrame, words: int) -> bytes:
@@ -396,27 +399,41 @@ def near_groups(docs: DataFrame, words: int = WORDS, seed: int = 1) -> DataFrame
     shingles and links with nothing. Rows that repeat get a row each; a row whose doc_id is null counts for links
     and gets the smallest doc_id of its component. Other columns play no part; an empty table gives an empty result.
     """
+    return grouped(docs, words, seed).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame, words: int = WORDS, seed: int = 1) -> DataFrame:
+    """near_groups with sha, the digest of each text, and keep_sha: that of the component's first row, null ids last."""
     rows = cut(nodes(docs, words, seed))
     by_node = rows.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("check").alias("lo"), F.max("check").alias("hi")
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")).alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("check").alias("lo"), F.max("check").alias("hi")
     )
     by_node = cut(by_node)
     if not by_node.where("lo <> hi").isEmpty():  # two sets with one number: take other numbers
-        return near_groups(docs, words, seed + 2)
+        return grouped(docs, words, seed + 2)
     group = cut(links(docs, words, seed))
     named = by_node.join(group, "node", "left").select("node", "first_id", "copies", F.coalesce("component", "node").alias("component"))
     named = cut(named)
     firsts = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    by_node = look_up(named, firsts, "component", "members").select("node", "copies", "component_id")
-    some = look_up(rows.where("node is not null"), by_node, "node", "copies").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    none = rows.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    by_node = look_up(named, firsts, "component", "members").select("node", "copies", F.col("component_id.doc_id").alias("component_id"), F.col("component_id.sha").alias("keep_sha"))
+    some = look_up(rows.where("node is not null"), by_node, "node", "copies").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "sha", "keep_sha")
+    none = rows.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "sha", F.col("sha").alias("keep_sha"))
     return some.unionByName(none)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each component, that with the smallest doc_id; all columns stay."""
-    gone = near_groups(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return drop_rows(docs, ["doc_id"], gone)
+    """`docs` with one row of each component, that with the smallest doc_id (null last), then digest; all columns stay.
+
+    A row is known by doc_id and text, so others of its doc_id, or without one too, are judged by their own text. Of rows
+    that repeat both one stays; those without words stay all.
+    """
+    same = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("sha") == F.col("keep_sha"))
+    gone = grouped(docs).where(~same).select("doc_id", F.col("sha").alias("__sha")).distinct()
+    out = drop_rows(docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256)), ["doc_id", "__sha"], gone)
+    if not repeats(docs):
+        return out.drop("__sha")
+    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return out.where(worded).dropDuplicates(["doc_id", "__sha"]).unionByName(out.where(~worded)).drop("__sha")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

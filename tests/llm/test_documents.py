@@ -106,6 +106,16 @@ def test_dropping_near_copies(docs):
     assert left.columns == docs.columns and left.where("text is null").count() == 1
 
 
+def test_dropping_near_copies_with_repeated_and_no_ids(spark):
+    base = " ".join(f"a{i}" for i in range(60))
+    other = [" ".join(f"{c}{i}" for i in range(60)) for c in "bcd"]
+    rows = [(3, base), (5, other[0]), (5, base + " x"), (None, base + " y"), (None, other[1]), (7, other[2]), (7, other[2] + " z"), (7, other[2]), (None, ""), (None, "")]
+    left = jaccard.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    seven = [r.text for r in left if r.doc_id == 7]
+    assert len(seven) == 1 and seven[0] in (other[2], other[2] + " z")
+    assert Counter(map(tuple, left)) == Counter([(3, base), (5, other[0]), (None, other[1]), (7, seven[0]), (None, ""), (None, "")])
+
+
 def test_word_hashes_of_slices():
     texts = pa.array(["zz", None, "A b", "", "c\td e", "b" * 5000 + " A"])
     whole, at = jaccard.word_hashes(texts)
