@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, n: int) -> list[str]:
+    """`n` names that no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    return [name for name in (f"__{i}" for i in range(len(taken) + n)) if name not in taken][:n]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df`, computed once and kept in the shared folder of spark.checkpoint.dir, so that lost executors lose nothing.
 

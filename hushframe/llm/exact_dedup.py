@@ -12,11 +12,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, map_rows, table
+from .common import cut, fresh, map_rows, table
 from .graph import look_up
 from .slots import drop_rows
 
@@ -129,10 +129,21 @@ def numbered_recipes(docs: DataFrame, rows: DataFrame, contents: DataFrame, dige
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """`docs` without the rows that exact dedup drops; all columns stay. Of rows that repeat doc_id and text one stays."""
-    gone = exact_groups(docs).where("not kept").select("doc_id", F.col("text_sha256").alias("__sha")).distinct()
-    out = drop_rows(docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256)), ["doc_id", "__sha"], gone)
-    return out.dropDuplicates(["doc_id", "__sha"]).drop("__sha") if repeats(docs) else out.drop("__sha")
+    """`docs` without the rows that exact dedup drops; all columns stay, whatever their names.
+
+    Rows are known by doc_id and text, a null text being an empty one. Of rows that repeat both one stays, also where
+    they have no doc_id. An empty table stays empty.
+    """
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    gone = exact_groups(docs).where("not kept").select("doc_id", "text_sha256").distinct()
+    out = drop_rows(docs, [F.col("doc_id").cast("long"), sha], gone)
+    return one_each(out, sha) if repeats(docs) else out
+
+
+def one_each(docs: DataFrame, sha: Column) -> DataFrame:
+    """One row of those that have the same doc_id and digest."""
+    (name,) = fresh(docs, 1)
+    return docs.withColumn(name, sha).dropDuplicates(["doc_id", name]).drop(name)
 
 
 def repeats(docs: DataFrame) -> bool:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, release, steps, table
-from .exact_dedup import repeats
+from .exact_dedup import one_each, repeats
 from .graph import components, look_up
 from .slots import bucket_count, drop_rows, in_map, mixed_bits, slot_map, wanted_map
 
@@ -428,12 +428,13 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     that repeat both one stays; those without words stay all.
     """
     same = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("sha") == F.col("keep_sha"))
-    gone = grouped(docs).where(~same).select("doc_id", F.col("sha").alias("__sha")).distinct()
-    out = drop_rows(docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256)), ["doc_id", "__sha"], gone)
+    gone = grouped(docs).where(~same).select("doc_id", "sha").distinct()
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    out = drop_rows(docs, [F.col("doc_id").cast("long"), sha], gone)
     if not repeats(docs):
-        return out.drop("__sha")
+        return out
     worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return out.where(worded).dropDuplicates(["doc_id", "__sha"]).unionByName(out.where(~worded)).drop("__sha")
+    return one_each(out.where(worded), sha).unionByName(out.where(~worded))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

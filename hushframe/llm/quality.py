@@ -1,52 +1,53 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of word trigrams, trained on trusted text.
-
-The n-grams grow with the text and stay sharded, both the counts and the finished model. The log probability of a word
-is a sum over its trigram, bigrams and words of values that each n-gram has alone (see `values`), so documents' n-gram
-counts, summed in each document first, are joined to the values by the n-gram's number, and the products are summed.
-Texts fall into two halves by their hash. A text is scored by the model of the other half's trusted texts, so that
-none is scored by a model that has seen it, and trusted and other texts compare. All unknown words are alike to it,
-so a second, small model judges spelling: four-grams of 32 character classes (4 MB, whatever the input), which are
-broadcast. A document is rejected if its mean bits per character by either model lie outside the quantiles of its
-language's trusted documents, widened by a margin.
+"""Quality classifier: an interpolated modified Kneser-Ney model of character four-grams, trained on trusted text.
+
+Characters are code points as they are: there is no fixed alphabet, and the n-grams counted grow with the text. Counts
+stay sharded: order by order they are joined with what their contexts have in all, and from the shortest order up with
+the n-grams that the documents hold, which gives each of these its log probability. The documents' n-grams, counted
+within each document, are then joined to these by number, and the products are summed by document.
+
+Texts fall into two halves by their hash. A text is scored by the model of the other half's trusted texts, so that none
+is scored by a model that has seen it, and trusted and other texts compare. A document is rejected if its mean bits a
+character lie outside the quantiles of its language's trusted documents, widened by a margin.
 """
 
 from __future__ import annotations
 
-import math
-import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SMALL_ROWS, cut, map_rows, steps, table
+from .common import SMALL_ROWS, cut, table
 from .graph import look_up
-from .jaccard import word_hashes
 from .slots import drop_rows, may_have, mixed_bits, wanted_map
 
-ORDER, CLASS_BITS = 4, 5
-CLASSES = 1 << CLASS_BITS
+ORDER = 4
+#: Bits of a code point, and what stands before a text.
+POINT, START = 21, 0x110000
 #: Quantiles of the trusted documents' scores, and by how much of their distance from the median they are widened.
-LOW, HIGH, MARGIN = 0.01, 0.99, 1.0
+LOW, HIGH, MARGIN = 0.01, 0.99, 0.25
 #: The mean of few characters is uncertain: limits are wider by this many bits over the root of a text's characters.
 SHORT = 3.0
 #: Scores are counted in steps of this many bits for the quantiles.
 STEP = 1e-4
 #: Below this many trusted documents a language is judged by the quantiles of all languages.
 LEAST_TRUSTED = 30
-#: Documents' n-grams are dealt to this many turns and, in each, to two to the power of BUCKET_BITS buckets.
-TURNS, BUCKET_BITS = 4, 7
+#: Documents' n-grams are dealt to so many turns, by number, so that no more than a turn's are on disk.
+TURNS = 3
 #: Values are summed as whole numbers of this part of a bit, so that the order of sums plays no part.
 UNIT = 1 << 16
-#: Sums that a task holds before it sends them on.
+#: A piece, of which n-grams are sorted together, has so many characters and texts at most; longer texts are parted.
+PIECE_CHARS, TEXT_BITS = 1 << 21, 12
+#: Sums, or n-grams, that a task holds before it sends them on.
 HELD = 1 << 20
-START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+#: Slots in which a task remembers the n-grams that it has sent; one that was displaced is sent again.
+SENT_BITS = 20
 _MULTIPLIERS = np.random.default_rng(31).integers(1, 1 << 63, 2, dtype=np.uint64) | np.uint64(1)
-SPACE, UPPER, DIGIT, STOP, SYMBOL, LETTER = 26, 27, 28, 29, 30, 31
 
 
 def key_of() -> Column:
@@ -59,334 +60,371 @@ def half_of() -> Column:
     return F.pmod(F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.lit("half")), F.lit(2)).cast("int").alias("half")
 
 
-def _classes() -> np.ndarray:
-    """Classes of code points below 0x250: the base letter, or what kind of character it is."""
-    out = np.full(0x250, SYMBOL, np.uint8)
-    for i in range(len(out)):
-        c = chr(i)
-        base = unicodedata.normalize("NFKD", c)[0]
-        if c.isspace():
-            out[i] = SPACE
-        elif c.isupper():
-            out[i] = UPPER
-        elif "a" <= base <= "z":
-            out[i] = ord(base) - 97
-        elif c.isalpha():
-            out[i] = LETTER
-        elif c.isdigit():
-            out[i] = DIGIT
-        elif c in ".,;:'-":
-            out[i] = STOP
-    return out
+def grams(texts: list[str], before: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, context and character of all characters of `texts`, each of which goes on after `before` (3 characters).
 
+    The context is the three characters before, of POINT bits each, the nearest last; "" is the start of a text.
+    """
+    reach = ORDER - 1
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    lead = [b if b else chr(0) * reach for b in before]
+    x = np.frombuffer("".join([p for both in zip(lead, texts, strict=True) for p in both]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    first = np.cumsum(size + reach) - size - reach
+    fresh = first[[not b for b in before]]
+    for k in range(reach):
+        x[fresh + k] = START
+    own = np.ones(len(x), bool)
+    for k in range(reach):
+        own[first + k] = False
+    at = np.flatnonzero(own)
+    context = np.zeros(len(at), np.int64)
+    for k in range(reach, 0, -1):
+        context = context << POINT | x[at - k]
+    return np.repeat(np.arange(len(texts)), size), context, x[at]
+
+
+def mixed(context: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """The n-grams' 64-bit numbers."""
+    return mixed_bits(context.view(np.uint64) * _MULTIPLIERS[0] + point.view(np.uint64) * _MULTIPLIERS[1])
+
+
+def number(context: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """The n-grams' numbers without the lowest TEXT_BITS bits, where a place in a piece fits.
+
+    Two n-grams might share a number, of which there are 2 ** 52; they would then share a value.
+    """
+    return mixed(context, point) & ~np.uint64((1 << TEXT_BITS) - 1)
 
-_TABLE = _classes()
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list, list]]:
+    """(texts, what is before each, keys, halves) of bounded size from rows of text, key, half; each text once a piece.
 
-def grams(text: str) -> np.ndarray:
-    """The number of the n-gram that ends at each character; before a text stand spaces."""
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    c = np.full(len(points) + ORDER - 1, SPACE, np.int32)
-    c[ORDER - 1 :] = np.where(points < len(_TABLE), _TABLE[np.minimum(points, len(_TABLE) - 1)], LETTER)
-    out = np.zeros(len(points), np.int32)
-    for k in range(ORDER):
-        out = (out << CLASS_BITS) | c[k : k + len(points)]
-    return out
+    A text of more than PIECE_CHARS characters comes in parts; only its first has nothing before it.
+    """
+    texts, before, keys, halves, n, seen = [], [], [], [], 0, set()
+    for batch in batches:
+        for text, key, half in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if not text or key in seen:
+                continue
+            for at in range(0, len(text), PIECE_CHARS):
+                part = text[at : at + PIECE_CHARS]
+                if texts and (n + len(part) > PIECE_CHARS or len(texts) >= 1 << TEXT_BITS):
+                    yield texts, before, keys, halves
+                    texts, before, keys, halves, n, seen = [], [], [], [], 0, set()
+                texts.append(part)
+                before.append(text[max(0, at - ORDER + 1) : at])
+                keys.append(key)
+                halves.append(half)
+                n += len(part)
+            seen.add(key)
+    if texts:
+        yield texts, before, keys, halves
+
+
+def trusted_counts(texts: DataFrame) -> DataFrame:
+    """c, w, n0, n1: n-grams (context, character) of `texts` (text, key, half), and how often they come in texts that
+    are not of half 0, and not of half 1. Rows that repeat count each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
 
+        def summed():
+            c, w, n0, n1 = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, first, back = np.unique(mixed(c, w), return_index=True, return_inverse=True)
+            return c[first], w[first], np.bincount(back, n0).astype(np.int64), np.bincount(back, n1).astype(np.int64)
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """gram, n: how often each n-gram of the highest order comes in `texts` (text)."""
+        def sent(made):
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["c", "w", "n0", "n1"])
+
+        for batch in batches:
+            rows = pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(batch.num_rows)), batch.column(2)], names=["text", "key", "half"])
+            for own, before, _, halves in pieces(iter([rows])):  # each row has a key of its own here
+                text, c, w = grams(own, before)
+                half = np.array(halves)[text]
+                _, first, back = np.unique(mixed(c, w), return_index=True, return_inverse=True)
+                held.append((c[first], w[first], np.bincount(back, half == 1).astype(np.int64), np.bincount(back, half == 0).astype(np.int64)))
+                if sum(len(x[0]) for x in held[1:]) > HELD:
+                    held = [summed()]
+                    if len(held[0][0]) > HELD:
+                        yield sent(held[0])
+                        held = []
+        if held:
+            yield sent(summed())
+
+    return texts.mapInArrow(run, "c long, w long, n0 long, n1 long").groupBy("c", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def shorter(c: Column, order: int) -> Column:
+    """The context of the n-gram of `order` that ends a longer one."""
+    return c.bitwiseAND((1 << POINT * (order - 1)) - 1)
+
+
+def discounts(counts: DataFrame) -> list[list[float]]:
+    """The three discounts of modified Kneser-Ney for n0 and for n1, from how many n-grams were seen once to four times."""
+    of = counts.agg(*(F.count_if(F.col(n) == k) for n in ("n0", "n1") for k in (1, 2, 3, 4))).first()
+    out = []
+    for i in (0, 4):
+        n1, n2, n3, n4 = of[i : i + 4]
+        y = n1 / (n1 + 2 * n2) if n1 else 0.0
+        d = [k - (k + 1) * y * b / a if a and y else 0.5 * k for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        out.append([min(max(x, 0.05 * k), 0.95 * k) for k, x in enumerate(d, 1)])
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES**ORDER, np.int64)
-        for batch in steps(batches):
-            for text in batch.column(0).to_pylist():
-                if text:
-                    gram, n = np.unique(grams(text), return_counts=True)
-                    total[gram] += n
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["gram", "n"])
 
-    return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+def less(n: str, d: list[float]) -> Column:
+    """The count less its discount; 0 for what was not seen."""
+    c = F.col(n)
+    return F.when(c >= 3, c - d[2]).when(c == 2, 2 - d[1]).when(c == 1, 1 - d[0]).otherwise(0.0)
 
 
-def kneser_ney(counts: DataFrame) -> np.ndarray:
-    """The log2 probability of the last class of each n-gram given the others, for all CLASSES ** ORDER n-grams.
+def probabilities(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`wanted` (c, w and others) with p0 and p1: the probability of w after c by the counts n0 and by n1.
 
-    Order by order, counts (below the highest: numbers of different classes before the n-gram) are joined with what
-    their context has in all: the total and how many of its n-grams were seen once, twice and more often.
+    From the highest order down, counts become numbers of different characters before an n-gram. From the lowest up,
+    each order's wanted n-grams are joined with their counts, their contexts' totals and the shorter order's values.
+    The lowest rests on equal shares of all characters that were seen and one that was not. Where one half has no text
+    both models are of all.
     """
-    parts = []
+    n = counts.agg(F.sum("n0"), F.sum("n1")).first()
+    if not (n[0] and n[1]):
+        counts = counts.select("c", "w", (F.col("n0") + F.col("n1")).alias("n0"), (F.col("n0") + F.col("n1")).alias("n1"))
+    by_order = {}
     for order in range(ORDER, 0, -1):
-        of = counts.groupBy("n").count().where("n <= 4").collect()
-        n1, n2, n3, n4 = (next((r["count"] for r in of if r["n"] == k), 0) for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 else 0.0
-        d = [k - (k + 1) * y * b / a if a and y else 0.5 * k for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        d = [min(max(x, 0.05 * k), 0.95 * k) for k, x in enumerate(d, 1)]
-        off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        own = counts.select("gram", F.shiftright("gram", CLASS_BITS).alias("context"), "n", off.alias("off"))
-        totals = own.groupBy("context").agg(F.sum("n").alias("all"), F.sum("off").alias("held"))
-        joined = own.join(totals, "context")
-        parts.append((
-            order,
-            joined.select("gram", ((F.col("n") - F.col("off")) / F.col("all")).alias("p")).collect(),  # CLASSES ** order rows at most
-            totals.select("context", (F.col("held") / F.col("all")).alias("w")).collect(),
-        ))
-        counts = counts.groupBy(F.col("gram").bitwiseAND((1 << CLASS_BITS * (order - 1)) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-    p = np.full(CLASSES, 1 / CLASSES)
-    for order, grams_of, weights in reversed(parts):
-        seen, back = np.zeros(CLASSES**order), np.ones(CLASSES ** (order - 1))
-        for gram, value in grams_of:
-            seen[gram] = value
-        for context, value in weights:
-            back[context] = value
-        lower = np.tile(p, CLASSES) if order > 1 else p  # the shorter context's probabilities, for each class before it
-        p = seen + np.repeat(back, CLASSES) * lower
-    return np.log2(p).astype(np.float32)
-
-
-def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A number for each pair of n-gram numbers; their order counts."""
-    return mixed_bits(a * _MULTIPLIERS[0] + b * _MULTIPLIERS[1])
-
-
-def text_grams(texts: pa.Array, halves: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The words of all texts, with two starts before each text and an end behind it: text, word, pair.
-
-    text is the place of the text that a word is in, pair the number of the word and the next, of the same text or not.
-    Numbers of words have the text's half as their last bit, so the halves share no n-gram.
-    """
-    flat, at = word_hashes(texts)
-    n = np.diff(at)
-    filled = n > 0  # a text without words has no n-grams
-    size = np.where(filled, n + 3, 0)
-    text = np.repeat(np.arange(len(n)), size)
-    first = np.cumsum(size) - size
-    word = np.full(len(text), START, np.uint64)
-    word[np.arange(len(flat)) + np.repeat(first - at[:-1] + 2, n)] = flat
-    word[(first + size - 1)[filled]] = END
-    word = mixed_bits(word) & ~np.uint64(1) | halves[text].astype(np.uint64)
-    pair = _mixed(word[:-1], word[1:])
-    return text, word, pair
-
-
-def trusted_grams(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """uv, vw, n of all trigrams u v w of `texts` (text, half), by their pairs' numbers; and the pairs: vw, v, w."""
-
-    def grams_of(batch):
-        text, word, pair = text_grams(batch.column(0), 1 - batch.column(1).to_numpy())
-        return text, word.view(np.int64), pair.view(np.int64)
-
-    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            text, _, pair = grams_of(batch)
-            whole = text[2:] == text[:-2] if len(text) > 2 else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:-1][whole]), pa.array(pair[1:][whole])], names=["uv", "vw"])
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            text, word, pair = grams_of(batch)
-            # A start before a start is a context but no pair that continues another.
-            inner = (text[1:] == text[:-1]) & np.concatenate([[False], text[1:-1] == text[:-2]]) if len(text) > 1 else np.zeros(0, bool)
-            at = np.flatnonzero(inner)
-            at = at[np.unique(pair[at], return_index=True)[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(pair[at]), pa.array(word[at]), pa.array(word[at + 1])], names=["vw", "v", "w"])
-
-    found = texts.mapInArrow(triples, "uv long, vw long").groupBy("uv", "vw").agg(F.count(F.lit(1)).alias("n"))
-    return found, texts.mapInArrow(pairs, "vw long, v long, w long").distinct()
-
-
-def discounted(counts: DataFrame) -> Column:
-    """The discount of each count n by modified Kneser-Ney, from how many n-grams were seen once to four times."""
-    of = {r["n"]: r["count"] for r in counts.where("n <= 4").groupBy("n").count().collect()}
-    n1, n2, n3, n4 = (of.get(k, 0) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2) if n1 else 0.0
-    d = [k - (k + 1) * y * b / a if a and y else 0.5 * k for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-    d = [min(max(x, 0.05 * k), 0.95 * k) for k, x in enumerate(d, 1)]
-    return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-
-
-def values(texts: DataFrame) -> tuple[DataFrame, list[float]]:
-    """uv, gram, value of the n-grams of `texts` (text, half), and log2 of an unknown word's probability by half.
-
-    With p3, p2, p1 the interpolated probabilities of a word by two, one and no words before it, and w3, w2 the weights
-    of the shorter one in a context: log p3(w | u v) = T(u v w) + P(v w) + Q(u v) + W(w) + V(v), where
-    T = log p3 - log w3 - log p2 if the trigram was seen, P = log p2 - log w2 - log p1 if the pair was, Q = log w3 and
-    V = log w2 if the context was, W = log p1; what was not seen adds nothing, and an unknown word its own value. A pair
-    within a text comes as often as context as it does as the end, so it has one value, P + Q; a word has W + V, less
-    an unknown word's W. uv is set for trigrams only; then gram is the second pair.
-    """
-    triples, pairs = map(cut, trusted_grams(texts))
-    log = lambda c: F.log2(c)
-    own = triples.withColumn("off", discounted(triples))
-    held3 = own.groupBy("uv").agg(F.sum("n").alias("all3"), F.sum("off").alias("held3"))
-    bi = cut(triples.groupBy("vw").agg(F.count(F.lit(1)).alias("n")).join(pairs, "vw"))
-    bi = bi.withColumn("off", discounted(bi))
-    held2 = bi.groupBy("v").agg(F.sum("n").alias("all2"), F.sum("off").alias("held2"))
-    uni = cut(bi.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
-    uni = uni.withColumn("off", discounted(uni)).withColumn("half", F.col("w").bitwiseAND(1))
-    sums = {r["half"]: r for r in uni.groupBy("half").agg(F.sum("n").alias("all"), F.sum("off").alias("held"), F.count(F.lit(1)).alias("words")).collect()}
-    unknown = [sums[h]["held"] / sums[h]["all"] / (sums[h]["words"] + 1) if h in sums else 1.0 for h in (0, 1)]
-    every = F.when(F.col("half") == 0, sums[0]["all"] if 0 in sums else 1).otherwise(sums[1]["all"] if 1 in sums else 1)
-    rest = F.when(F.col("half") == 0, unknown[0]).otherwise(unknown[1])
-    uni = cut(uni.select("w", ((F.col("n") - F.col("off")) / every + rest).alias("p1"), rest.alias("rest")))
-    w2, w3 = F.col("held2") / F.col("all2"), F.col("held3") / F.col("all3")
-    bi = bi.join(held2, "v").join(uni.select("w", "p1"), "w")
-    bi = cut(bi.select("vw", ((F.col("n") - F.col("off")) / F.col("all2") + w2 * F.col("p1")).alias("p2"), w2.alias("w2"), "p1"))
-    tri = own.join(held3, "uv").join(bi.select("vw", "p2"), "vw")
-    p3 = (F.col("n") - F.col("off")) / F.col("all3") + w3 * F.col("p2")
-    none = F.lit(None).cast("long").alias("uv")
-    made = tri.select("uv", F.col("vw").alias("gram"), (log(p3) - log(w3) - log(F.col("p2"))).alias("value"))
-    ends = bi.select(F.col("vw").alias("gram"), (log(F.col("p2")) - log(F.col("w2")) - log(F.col("p1"))).alias("value"))
-    contexts = held3.select(F.col("uv").alias("gram"), log(w3).alias("value"))
-    words = uni.select(F.col("w").alias("gram"), (log(F.col("p1")) - log(F.col("rest"))).alias("value"))
-    before = held2.select(F.col("v").alias("gram"), log(w2).alias("value"))
-    # Pairs and words have up to two rows, whose values sum at look-up.
-    short = ends.unionByName(contexts).unionByName(words).unionByName(before).select(none, "gram", "value")
-    return cut(made.unionByName(short)), [math.log2(x) for x in unknown]
+        counts = cut(counts)
+        by_order[order] = counts
+        seen = [F.count_if(F.col(n) > 0).alias(n) for n in ("n0", "n1")]
+        if order > 1:
+            counts = counts.groupBy(shorter(F.col("c"), order - 1).alias("c"), "w").agg(*seen)
+    known = by_order[1].agg(F.count_if(F.col("n0") > 0), F.count_if(F.col("n1") > 0)).first()
+    made = None
+    for order in range(1, ORDER + 1):
+        asked = wanted.withColumn("c", shorter(F.col("c"), order)).select("c", "w").distinct() if order < ORDER else wanted
+        own, d = by_order[order], discounts(by_order[order])
+        totals = own.groupBy("c").agg(*(F.sum(f"n{h}").alias(f"all{h}") for h in (0, 1)), *(F.sum(F.col(f"n{h}") - less(f"n{h}", d[h])).alias(f"held{h}") for h in (0, 1)))
+        rows = asked.join(totals, "c", "left").join(own, ["c", "w"], "left")
+        if made is None:
+            lower = [F.lit(1.0 / (known[h] + 1)) for h in (0, 1)]
+        else:
+            made = made.select(F.col("c").alias("shorter"), "w", F.col("p0").alias("q0"), F.col("p1").alias("q1"))
+            rows = rows.withColumn("shorter", shorter(F.col("c"), order - 1)).join(made, ["shorter", "w"])
+            lower = [F.col("q0"), F.col("q1")]
+        p = [
+            F.when(F.col(f"all{h}") > 0, (less(f"n{h}", d[h]) + F.col(f"held{h}") * lower[h]) / F.col(f"all{h}")).otherwise(lower[h]).alias(f"p{h}")
+            for h in (0, 1)
+        ]
+        made = cut(rows.select(*asked.columns, *p))
+    return made
+
+
+def wanted_grams(docs: DataFrame) -> DataFrame:
+    """c, w, gram: the different n-grams of `docs` (text, key, half)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = np.zeros(1 << SENT_BITS, np.uint64)
+        for texts, before, _, _ in pieces(batches):
+            _, c, w = grams(texts, before)
+            gram = number(c, w)
+            slot = (gram >> np.uint64(64 - SENT_BITS)).astype(np.int64)
+            new = np.flatnonzero(sent[slot] != gram)
+            gram, first = np.unique(gram[new], return_index=True)
+            sent[slot[new[first]]] = gram
+            yield pa.RecordBatch.from_arrays([pa.array(c[new[first]]), pa.array(w[new[first]]), pa.array(gram.view(np.int64))], names=["c", "w", "gram"])
+
+    return docs.mapInArrow(run, "c long, w long, gram long").distinct()
 
 
 def _planes(x: np.ndarray) -> bytes:
     """The numbers byte by byte, all first bytes first, which compresses better."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
 
 
 def _numbers(data: bytes, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.array(np.frombuffer(zlib.decompress(data), np.uint8).reshape(size, -1).T, order="C").view(kind).ravel()
+
+
+#: A bucket's n-grams: of the model (values a, b by half), or of a piece's texts (a: how many texts each n-gram has and
+#: which; b: how often; those before `half` are of half 0).
+_PART = "bucket int, piece long, half int, grams binary, a binary, of binary, b binary"
+_NAMES = ["bucket", "piece", "half", "grams", "a", "of", "b"]
 
 
-_PART = "bucket int, docs boolean, grams binary, a binary, n binary"
+def _buckets(gram: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of the sorted numbers."""
+    bucket = (gram >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(gram) else np.zeros(0, np.int64)
+    return list(zip(bucket[first].tolist(), first.tolist(), [*first[1:].tolist(), len(gram)], strict=True))
 
 
-def _parts(docs: bool, gram: np.ndarray, a: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of _PART by bucket of the sorted `gram`."""
-    if not len(gram):
-        return
-    bucket = (gram >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
-    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    ends = [*first[1:].tolist(), len(gram)]
-    cuts = list(zip(first.tolist(), ends, strict=True))
-    data = [[_planes(np.concatenate([gram[i : i + 1], np.diff(gram[i:j])])) for i, j in cuts], [_planes(a[i:j]) for i, j in cuts], [_planes(n[i:j]) for i, j in cuts]]
-    yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array([docs] * len(cuts)), *(pa.array(x, pa.binary()) for x in data)], names=["bucket", "docs", "grams", "a", "n"])
+def _mine(gram: np.ndarray, turn: int) -> np.ndarray:
+    return np.flatnonzero((gram >> np.uint64(TEXT_BITS)) % np.uint64(TURNS) == turn)
 
 
-def model_parts(model: DataFrame, turn: int) -> DataFrame:
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows one by one, so that a batch of large values is not copied at once."""
+    for i in range(batch.num_rows):
+        yield tuple(column[i].as_py() for column in batch.columns)
+
+
+def _steps(gram: np.ndarray) -> np.ndarray:
+    return np.diff(gram, prepend=np.uint64(0))
+
+
+def model_parts(model: DataFrame, turn: int, bits: int) -> DataFrame:
+    """Rows of _PART, with no piece, from `model` (gram, p0, p1)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uv, gram = batch.column(0).fill_null(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint64)
-            gram = np.where(batch.column(0).is_valid().to_numpy(zero_copy_only=False), _mixed(uv, gram), gram)
-            mine = np.flatnonzero((gram >> np.uint64(8)) % np.uint64(TURNS) == turn)
-            order = mine[np.argsort(gram[mine], kind="stable")]
-            value = np.round(batch.column(2).to_numpy() * UNIT).astype(np.int32)
-            yield from _parts(False, gram[order], value[order], np.zeros(0, np.uint8))
+            gram = batch.column(0).to_numpy().view(np.uint64)
+            mine = _mine(gram, turn)
+            mine = mine[np.argsort(gram[mine])]
+            gram = gram[mine]
+            value = [np.round(np.log2(batch.column(k).to_numpy()[mine]) * UNIT).astype(np.int32) for k in (1, 2)]
+            out = [(b, None, 0, _planes(_steps(gram[i:j])), _planes(value[0][i:j]), b"", _planes(value[1][i:j])) for b, i, j in _buckets(gram, bits)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _types, strict=True)], names=_NAMES)
 
     return model.mapInArrow(run, _PART)
 
 
-def document_parts(docs: DataFrame, turn: int) -> DataFrame:
-    """The n-grams of the texts of `docs` (text, key, half) that are this turn's, counted within each text."""
+_types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+#: The bucket of rows that say which texts a piece has, from which their piece is dealt on.
+WHO = -1
+
+
+def document_parts(docs: DataFrame, turn: int, bits: int) -> DataFrame:
+    """Rows of _PART: the n-grams of `docs` (text, key, half) that are this turn's, counted within each text; and, in
+    buckets below 0, each piece's keys (a) and whether each is the beginning of its text (b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            keys, once = np.unique(batch.column(1).to_numpy(), return_index=True)  # equal texts have one score
-            batch = batch.take(pa.array(once))
-            text, word, pair = text_grams(batch.column(0), batch.column(2).to_numpy())
-            if not len(text):
-                continue
-            two = text[1:] == text[:-1]
-            three = text[2:] == text[:-2]
-            start = np.concatenate([[True], ~two])  # the first of two starts counts as a context in pairs only
-            gram = np.concatenate([_mixed(pair[:-1], pair[1:])[three], pair[two], word[~start]])
-            of = np.concatenate([text[2:][three], text[1:][two], text[~start]])
-            mine = np.flatnonzero((gram >> np.uint64(8)) % np.uint64(TURNS) == turn)
-            gram, of = gram[mine], of[mine]
-            order = np.lexsort((of, gram))
-            gram, of = gram[order], of[order]
-            first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (of[1:] != of[:-1])])) if len(gram) else order
-            n = np.diff(np.append(first, len(gram))).astype(np.uint32)
-            yield from _parts(True, gram[first], keys[of[first]], n)
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        for no, (texts, before, keys, halves) in enumerate(pieces(batches)):
+            order = np.argsort(halves, kind="stable").tolist()
+            texts, before = [texts[i] for i in order], [before[i] for i in order]
+            key = np.array(keys, np.int64)[order]
+            piece = xxhash.xxh3_64_intdigest(key.tobytes(), task << 32 | no) >> 1
+            half = len(halves) - sum(halves)
+            text, c, w = grams(texts, before)
+            gram = number(c, w)
+            mine = _mine(gram, turn)
+            both = np.sort(gram[mine] | text[mine].astype(np.uint64))
+            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else mine
+            times = np.diff(np.append(first, len(both))).astype(np.uint32)
+            both = both[first]
+            text = (both & np.uint64((1 << TEXT_BITS) - 1)).astype(np.uint16)
+            gram = both >> np.uint64(TEXT_BITS) << np.uint64(TEXT_BITS)
+            out = [(WHO - piece % (1 << bits), piece, half, b"", _planes(key), b"", _planes(np.array([not b for b in before], np.uint8)))]
+            for b, i, j in _buckets(gram, bits):
+                new = np.flatnonzero(np.concatenate([[True], gram[i + 1 : j] != gram[i : j - 1]]))
+                sizes = np.diff(np.append(new, j - i)).astype(np.uint32)
+                out.append((b, piece, half, _planes(_steps(gram[i:j][new])), _planes(sizes), _planes(text[i:j]), _planes(times[i:j])))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _types, strict=True)], names=_NAMES)
 
     return docs.mapInArrow(run, _PART)
 
 
-def joined_parts(parts: DataFrame) -> DataFrame:
-    """key, total, copies: the values of the documents' n-grams, times their counts; and how many texts that sums over.
-
-    Equal texts share a key, and tasks that have one each add it; each has one end, by which they are counted.
-    """
+def summed_parts(parts: DataFrame) -> DataFrame:
+    """piece, who, sums: the sums of the texts of each piece, in rows that add up; or, in one row, who they are."""
+    schema = pa.schema([("piece", pa.int64()), ("who", pa.bool_()), ("keys", pa.binary()), ("sums", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, known, worth = None, [], None, None
-        sums: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        end = mixed_bits(np.array([END])) & ~np.uint64(1)
+        now, model = None, []
+        known = worth = None
+        sums: dict[int, np.ndarray] = {}
 
-        def summed():
-            key, at = np.unique(np.concatenate([x[0] for x in sums]), return_inverse=True)
-            out = [key]
-            for i in (1, 2):
-                out.append(np.zeros(len(key), np.int64))
-                np.add.at(out[i], at, np.concatenate([x[i] for x in sums]))
-            return tuple(out)
+        def sent():
+            rows = list(sums.items())
+            sums.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int64()), pa.array([False] * len(rows)), pa.nulls(len(rows), pa.binary()), pa.array([_planes(s) for _, s in rows], pa.binary())], schema=schema)
 
+        held = 0
         for batch in batches:
-            for bucket, docs, grams_, a, n in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for bucket, piece, half, grams_, a, of, b in _rows(batch):
+                if bucket < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([True]), pa.array([a], pa.binary()), pa.array([b], pa.binary())], schema=schema)
+                    continue
                 if bucket != now:
-                    now, held, known = bucket, [], None
+                    now, model, known = bucket, [], None
                 gram = np.cumsum(_numbers(grams_, np.uint64), dtype=np.uint64)
-                if not docs:
-                    held.append((gram, _numbers(a, np.int32)))
+                if piece is None:
+                    model.append((gram, _numbers(a, np.int32), _numbers(b, np.int32)))
                     continue
                 if known is None:
-                    known, at = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True) if held else (np.zeros(0, np.uint64), None)
-                    worth = np.zeros(len(known), np.int64)
-                    if held:
-                        np.add.at(worth, at, np.concatenate([v for _, v in held]))
-                    held = []
-                if not len(known):
-                    continue
-                at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
-                hit = known[at] == gram
-                times = _numbers(n, np.uint32)[hit].astype(np.int64)
-                sums.append((_numbers(a, np.int64)[hit], worth[at[hit]] * times, times * ((gram[hit] & ~np.uint64(1)) == end)))
-                if sum(len(x[0]) for x in sums[1:]) > HELD + (len(sums[0][0]) if sums else 0):
-                    sums = [summed()]
-                    if len(sums[0][0]) > HELD:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in sums[0]], names=["key", "total", "copies"])
-                        sums = []
+                    known, at = np.unique(np.concatenate([x[0] for x in model]), return_index=True)
+                    worth = [np.concatenate([x[k] for x in model])[at].astype(np.float64) for k in (1, 2)]
+                    model = []
+                at = np.repeat(np.searchsorted(known, gram), _numbers(a, np.uint32))
+                text = _numbers(of, np.uint16)
+                value = np.where(text < half, worth[0][at], worth[1][at]) * _numbers(b, np.uint32)
+                total = np.bincount(text, value).astype(np.int64)  # whole numbers, exact below 2 ** 53
+                if piece in sums and len(sums[piece]) >= len(total):
+                    sums[piece][: len(total)] += total
+                else:
+                    if piece in sums:
+                        total[: len(sums[piece])] += sums[piece]
+                    held += len(total) - len(sums.get(piece, ()))
+                    sums[piece] = total
+                if held > HELD:
+                    yield sent()
+                    held = 0
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed()], names=["key", "total", "copies"])
+            yield sent()
 
-    return parts.repartition("bucket").sortWithinPartitions("bucket", "docs").mapInArrow(run, "key long, total long, copies long").groupBy("key").agg(F.sum("total").alias("total"), F.sum("copies").alias("copies"))
+    return parts.repartition("bucket").sortWithinPartitions("bucket", F.col("piece").asc_nulls_first()).mapInArrow(run, "piece long, who boolean, keys binary, sums binary")
 
 
-def scores(docs: DataFrame, model: tuple) -> DataFrame:
-    """doc_id, lang, key, n, bits, spelled: characters, and minus the mean log2 probability of one by each model.
+def totals(parts: DataFrame) -> DataFrame:
+    """key, total, copies: sums over pieces by text, and over how many copies of the text they are."""
 
-    bits is null for a text without words, spelled for one without characters.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, who, total = None, None, None
+
+        def sent():
+            keys, begins = who
+            total_ = np.zeros(len(keys), np.int64)
+            total_[: len(total)] = total
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total_), pa.array(begins.astype(np.int64))], names=["key", "total", "copies"])
+
+        for batch in batches:
+            for piece, own, keys, sums in _rows(batch):
+                if piece != now:
+                    if now is not None:
+                        yield sent()
+                    now, total = piece, np.zeros(0, np.int64)
+                if own:
+                    who = _numbers(keys, np.int64), _numbers(sums, np.uint8)
+                    continue
+                more = _numbers(sums, np.int64)
+                if len(more) < len(total):
+                    more, total = total, more
+                more[: len(total)] += total
+                total = more
+        if now is not None:
+            yield sent()
+
+    return parts.repartition("piece").sortWithinPartitions("piece", F.col("who").desc()).mapInArrow(run, "key long, total long, copies long")
+
+
+def scores(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """doc_id, lang, key, n, bits: characters, and minus the mean log2 probability of one; null for a text without any.
 
     The n-grams are dealt in TURNS, each of which reads the texts anew, so that no more than a turn's are on disk.
     """
-    table_, unknown, classes = model
     texts = docs.select("text", key_of(), half_of()).where("text is not null")
+    bits = max(4, min(14, (2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
     total = None
     for turn in range(TURNS):
-        part = cut(joined_parts(model_parts(table_, turn).unionByName(document_parts(texts, turn))))
+        part = totals(summed_parts(model_parts(model.select("gram", "p0", "p1"), turn, bits).unionByName(document_parts(texts, turn, bits))))
+        part = cut(part.groupBy("key").agg((F.sum("total") / F.sum("copies")).alias("total")))
         total = part if total is None else total.unionByName(part)
-    total = cut(total.groupBy("key").agg((F.sum("total") / F.greatest(F.sum("copies"), F.lit(1))).alias("total")))
-
-    def f(columns: list[list]) -> list[list]:
-        _, at = word_hashes(pa.array(columns[2], pa.string()))
-        spelled = [-float(classes.value[grams(t)].mean(dtype=np.float64)) if t else None for t in columns[2]]
-        return [columns[0], columns[1], columns[3], columns[4], [len(t or "") for t in columns[2]], np.diff(at).tolist(), spelled]
-
-    rows = map_rows(docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text", key_of(), half_of()), ["doc_id", "lang", "text", "key", "half"], "doc_id long, lang string, key long, half int, n long, words long, spelled double", f)
-    rows = cut(rows)
+    total = total.groupBy("key").agg(F.sum("total").alias("total"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), key_of(), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))
     # Equal texts may be many: their total goes to where they are.
     groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).join(total, "key", "left").select("key", "size", F.coalesce("total", F.lit(0.0)).alias("total"))
-    rest = F.when(F.col("half") == 0, unknown[0]).otherwise(unknown[1])
-    bits = F.when(F.col("words") > 0, -(F.col("total") / UNIT + (F.col("words") + 1) * rest) / F.col("n"))
-    return look_up(rows, cut(groups), "key", "size").select("doc_id", "lang", "key", "n", bits.alias("bits"), "spelled")
+    bits_ = F.when(F.col("n") > 0, -F.col("total") / UNIT / F.col("n"))
+    return look_up(rows, cut(groups), "key", "size").select("doc_id", "lang", "key", "n", bits_.alias("bits"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -411,19 +449,18 @@ def limits(trusted: DataFrame) -> DataFrame:
     return found.select("lang", (F.col("low") - (F.col("mid") - F.col("low")) * MARGIN).alias("lower"), (F.col("high") + (F.col("high") - F.col("mid")) * MARGIN).alias("upper"))
 
 
-def train(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, list[float], Broadcast]:
-    """The values and unknown words' of the word model, and the broadcast class model, of the text of the documents in `trusted` (doc_id).
+def train(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """c, w, gram, p0, p1 of all n-grams of `docs` by the text of the documents in `trusted` (doc_id).
 
     A map of the trusted ids' hashes lets the texts of most others stay where they are; the rest is joined by id.
     """
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(wanted_map(trusted.select(F.xxhash64("doc_id").alias("number"))))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("__number", F.xxhash64("doc_id"))
-    likely = may_have(rows, "__number", bits).where("__may").select("doc_id", "text")
-    texts = likely.hint("merge").join(trusted, "doc_id", "left_semi").where("text is not null").select("text", half_of())
-    texts = cut(texts)
-    classes = spark.sparkContext.broadcast(kneser_ney(cut(gram_counts(texts.select("text")))))
-    return *values(texts), classes
+    bits = docs.sparkSession.sparkContext.broadcast(wanted_map(trusted.select(F.xxhash64("doc_id").alias("number"))))
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long"), "text").withColumn("number", F.xxhash64("doc_id"))
+    likely = may_have(rows, "number", bits, "may").where("may").select("doc_id", "text")
+    texts = likely.hint("merge").join(trusted, "doc_id", "left_semi").select("text", F.lit(0).alias("key"), half_of())
+    counts = cut(trusted_counts(texts))
+    bits.destroy()
+    return probabilities(counts, cut(wanted_grams(docs.select("text", key_of(), half_of()))))
 
 
 def kept_by(bits: Column, n: Column, lower: Column, upper: Column) -> Column:
@@ -433,39 +470,37 @@ def kept_by(bits: Column, n: Column, lower: Column, upper: Column) -> Column:
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, key, bits, lower, upper, kept of each document; the limits are those of the word model."""
+    """doc_id, lang, key, bits, lower, upper, kept of each document."""
     trusted = cut(trusted_ids(labels))
     rows = cut(scores(docs, train(docs, trusted)))
-    known = cut(rows.hint("merge").join(trusted, "doc_id", "left_semi"))
-    kept = F.lit(True)
-    out = rows
-    for name in ("spelled", "bits"):
-        found = cut(limits(known.select("lang", F.col(name).alias("bits"))))
-        every = found.where("lang is null").first()
-        by_lang = found.where("lang is not null").select("lang", F.col("lower").alias(f"__lower_{name}"), F.col("upper").alias(f"__upper_{name}"))
-        # Languages are few as a rule, and then no text is dealt by its language, which may be that of most texts.
-        out = out.join(F.broadcast(by_lang) if by_lang.count() <= SMALL_ROWS else by_lang, "lang", "left")
-        lower, upper = (F.coalesce(F.col(f"__{c}_{name}"), F.lit(every[c] if every else None).cast("double")) for c in ("lower", "upper"))
-        kept = kept & kept_by(F.col(name), F.col("n"), lower, upper)
-    return out.select("doc_id", "lang", "key", "bits", lower.alias("lower"), upper.alias("upper"), kept.alias("kept"))
+    found = cut(limits(rows.hint("merge").join(trusted, "doc_id", "left_semi").select("lang", "bits")))
+    every = found.where("lang is null").first()
+    by_lang = found.where("lang is not null").select("lang", F.col("lower").alias("__lower"), F.col("upper").alias("__upper"))
+    # Languages are few as a rule, and then no text is dealt by its language, which may be that of most texts.
+    out = rows.join(F.broadcast(by_lang) if by_lang.count() <= SMALL_ROWS else by_lang, "lang", "left")
+    lower, upper = (F.coalesce(F.col(f"__{c}"), F.lit(every[c] if every else None).cast("double")) for c in ("lower", "upper"))
+    return out.select("doc_id", "lang", "key", "bits", lower.alias("lower"), upper.alias("upper"), kept_by(F.col("bits"), F.col("n"), lower, upper).alias("kept"))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, lang, bits, perplexity, lower, upper, kept.
 
-    bits, perplexity and limits are of the word model; kept needs the class model's assent too. A text without words,
-    or null, has no bits; one without characters is kept. A language without LEAST_TRUSTED trusted documents, or null,
-    is judged by all languages' quantiles; without any trusted document all are kept. Rows that repeat are judged each;
-    other columns play no part; an empty table gives an empty result.
+    A text without characters, or null, has no bits and is kept. A text of any length is scored whole, in parts of
+    bounded size. A language without LEAST_TRUSTED trusted documents, or null, is judged by all languages' quantiles;
+    without any trusted document all are kept. Rows that repeat are judged each; other columns play no part, whatever
+    their names; an empty table gives an empty result.
     """
     return judged(docs, labels).select("doc_id", "lang", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), "lower", "upper", "kept")
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` without those that the classifier rejects; all columns stay. Few texts move, if few are rejected."""
-    gone = judged(docs, labels).where(~F.col("kept")).select(F.col("key").alias("__key"), F.col("lang").alias("__lang")).distinct()
-    marked = docs.withColumn("__key", key_of()).withColumn("__lang", F.col("lang").cast("string"))
-    return drop_rows(marked, ["__key", "__lang"], gone).drop("__key", "__lang")
+    """`docs` without those that the classifier rejects; all columns stay. Few texts move, if few are rejected.
+
+    Rows are known by text and lang, so rows that repeat go or stay together, also without a doc_id; cases are those of
+    `judge`, and an empty table stays empty.
+    """
+    gone = judged(docs, labels).where(~F.col("kept")).select("key", "lang").distinct()
+    return drop_rows(docs, [F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.col("lang").cast("string")], gone)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

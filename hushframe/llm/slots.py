@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import cut, fresh
 
 #: Slots of a set of wanted numbers, a bit each: 4 MB, whatever the input.
 WANTED_BITS = 25
@@ -90,8 +90,8 @@ def in_map(known: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return ((known[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def may_have(rows: DataFrame, number: str, bits) -> DataFrame:
-    """`rows` with the column __may: whether the number (long, not null) may be in the broadcast map."""
+def may_have(rows: DataFrame, number: str, bits, name: str) -> DataFrame:
+    """`rows` with the column `name`: whether the number (long, not null) may be in the broadcast map."""
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("boolean")
@@ -100,20 +100,22 @@ def may_have(rows: DataFrame, number: str, bits) -> DataFrame:
 
         return pd.Series(in_map(np.frombuffer(bits.value, np.uint8), numbers.to_numpy(np.int64)))
 
-    return rows.withColumn("__may", may(number))
+    return rows.withColumn(name, may(number))
 
 
-def drop_rows(docs: DataFrame, keys: list[str], gone: DataFrame) -> DataFrame:
-    """`docs` without the rows whose keys are in `gone` (distinct; nulls equal nulls), with all columns.
+def drop_rows(docs: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:
+    """`docs` without the rows whose keys are a row of `gone` (distinct, as many columns; nulls equal nulls).
 
-    Most rows are not in a map of the keys' hashes and stay where they are; only the others are joined.
+    All columns stay, whatever their names. Most rows are not in a map of the keys' hashes and stay where they are; only
+    the others are joined.
     """
-    gone = cut(gone.select(*(F.col(k).alias(f"__gone_{k}") for k in keys)).withColumn("__number", F.xxhash64(*(f"__gone_{k}" for k in keys))))
-    bits = docs.sparkSession.sparkContext.broadcast(wanted_map(gone.select("__number")))
-    release(docs.sparkSession)
-    marked = may_have(docs.withColumn("__number", F.xxhash64(*keys)), "__number", bits)
+    number, may, *names = fresh(docs, 2 + len(keys))
+    gone = gone.toDF(*names)
+    gone = cut(gone.withColumn(number, F.xxhash64(*names)))
+    bits = docs.sparkSession.sparkContext.broadcast(wanted_map(gone.select(number)))
+    marked = may_have(docs.withColumn(number, F.xxhash64(*keys)), number, bits, may)
     same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__gone_{k}"))
-    left = marked.where("__may").hint("merge").join(gone.drop("__number"), same, "left_anti")
-    return marked.where("not __may").unionByName(left).drop("__may", "__number")
+    for key, name in zip(keys, names, strict=True):
+        same = same & key.eqNullSafe(F.col(name))
+    left = marked.where(F.col(may)).hint("merge").join(gone.drop(number), same, "left_anti")
+    return marked.where(~F.col(may)).unionByName(left).drop(may, number)

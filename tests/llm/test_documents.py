@@ -1,6 +1,7 @@
 """Operators on documents: rows with nulls, repeats, ties, odd texts, extra columns and none at all."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -297,94 +298,55 @@ def test_pieces(docs, empty):
     assert back == {r.doc_id: r.text or "" for r in docs.collect()}
 
 
-def brute_kneser_ney(texts):
-    """p(w | context) by the definition, from the n-grams themselves."""
-    grams = Counter(int(g) for t in texts for g in quality.grams(t))
-
-    def p(counts, context, w, order):
-        if not order:
-            return 1 / quality.CLASSES
-        of = Counter(counts.values())
-        n1, n2, n3, n4 = (of[k] for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 else 0.0
-        d = [k - (k + 1) * y * b / a if a and y else 0.5 * k for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        d = [min(max(x, 0.05 * k), 0.95 * k) for k, x in enumerate(d, 1)]
-        lower = Counter(g & ((1 << 5 * (order - 1)) - 1) for g in counts)
-        low = p(lower, context & ((1 << 5 * max(0, order - 2)) - 1), w, order - 1)
-        own = {g: n for g, n in counts.items() if g >> 5 == context}
-        if not own:
-            return low
-        off = lambda n: d[min(n, 3) - 1]
-        n = own.get(context << 5 | w, 0)
-        return (max(n - off(n), 0) if n else 0) / sum(own.values()) + sum(map(off, own.values())) / sum(own.values()) * low
-
-    return lambda gram: p(grams, gram >> 5, gram & 31, quality.ORDER)
-
-
-def test_kneser_ney(spark):
-    texts = ["the cat sat on the mat.", "The dog sat, the cat ran!", "on 12 mats"]
-    log2 = quality.kneser_ney(quality.gram_counts(spark.createDataFrame([(t,) for t in texts], "text string")).cache())
-    p = brute_kneser_ney(texts)
-    for gram in [*(int(g) for g in quality.grams("the cat zzz on 9")), 0, 12345]:
-        assert abs(2.0 ** float(log2[gram]) - p(gram)) < 1e-5
-    total = (2.0 ** log2.astype(float)).reshape(-1, quality.CLASSES).sum(axis=1)
-    assert abs(total - 1).max() < 1e-4
-
-
-def brute_word_bits(texts, text):
-    """Bits a character of `text` by the definition of interpolated modified Kneser-Ney on word trigrams of `texts` (text, half)."""
-    split = lambda t: ["<s>", "<s>", *t.lower().split(), "</s>"]
-    tables = {}
-    for half in (0, 1):
-        three = Counter(g for t, h in texts if h == half for w in [split(t)] for g in zip(w, w[1:], w[2:]))
-        two = Counter(g[1:] for g in three)
-        tables[half] = {3: three, 2: two, 1: Counter(g[1:] for g in two)}
+def brute_bits(texts):
+    """bits(text): a character's, by the definition of interpolated modified Kneser-Ney on the four-grams of `texts`."""
+    split = lambda t: [None] * 3 + list(t)
+    tables = {4: Counter(tuple(w[i : i + 4]) for t in texts for w in [split(t)] for i in range(len(t)))}
+    for order in (3, 2, 1):
+        tables[order] = Counter(g[1:] for g in tables[order + 1])
     d = {}
-    for order in (1, 2, 3):
-        n1, n2, n3, n4 = (sum(n == k for h in (0, 1) for n in tables[h][order].values()) for k in (1, 2, 3, 4))
+    for order, counts in tables.items():
+        n1, n2, n3, n4 = (sum(n == k for n in counts.values()) for k in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 else 0.0
         own = [k - (k + 1) * y * b / a if a and y else 0.5 * k for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
         d[order] = [min(max(x, 0.05 * k), 0.95 * k) for k, x in enumerate(own, 1)]
 
-    def p(table, gram):
+    def p(gram):
         if not gram:
-            return 1 / (len(table[1]) + 1)
-        order, low = len(gram), p(table, gram[1:])
-        own = {g: n for g, n in table[order].items() if g[:-1] == gram[:-1]}
+            return 1 / (len(tables[1]) + 1)
+        order, low = len(gram), p(gram[1:])
+        own = {g: n for g, n in tables[order].items() if g[:-1] == gram[:-1]}
         if not own:
             return low
         off = lambda n: d[order][min(n, 3) - 1]
         n, whole = own.get(gram, 0), sum(own.values())
         return (n - off(n) if n else 0) / whole + sum(map(off, own.values())) / whole * low
 
-    import math
-
-    def bits(half):
+    def bits(text):
         w = split(text)
-        return -sum(math.log2(p(tables[1 - half], g)) for g in zip(w, w[1:], w[2:])) / len(text)
+        return -sum(math.log2(p(tuple(w[i : i + 4]))) for i in range(len(text))) / len(text)
 
     return bits
 
 
-def test_word_trigrams(spark):
-    """Scores through the sharded joins are those of the definition, with words beyond any alphabet."""
+@pytest.mark.parametrize("piece", [1 << 21, 50])  # 50 characters: texts come in parts
+def test_scores(spark, monkeypatch, piece):
+    """Scores through the sharded joins are those of the definition, whatever the alphabet."""
+    monkeypatch.setattr(quality, "PIECE_CHARS", piece)
+    monkeypatch.setattr(quality, "HELD", 100)
     rng = random.Random(8)
-    words = ["the", "cat", "sat", "日本", "ß-é", "Mat.", "😀"] + [f"w{i}" for i in range(20)]
+    words = ["the", "cat", "sat", "日本", "ß-é", "Mat.", "😀", "\n", "\0"] + [f"w{i}" for i in range(20)]
     made = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(40)]
-    rows = [(i, t, "en") for i, t in enumerate([*made, made[0], "never seen", "the the the", "", " ", None])]
+    rows = [(i, t, "en") for i, t in enumerate([*made, made[0], made[35], made[35], "never seen", "the the the", "", " ", None])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     halves = {r.text: r.half for r in docs.select("text", quality.half_of()).collect()}
-    trusted = spark.createDataFrame([(i,) for i in range(30)], "doc_id long")
-    model = quality.train(docs, trusted)
-    texts = [(t, halves[t]) for t in made[:30]]
-    assert model[0].count() > 400 and {h for _, h in texts} == {0, 1}
-    got = {r.doc_id: r.bits for r in quality.scores(docs, model).collect()}
-    assert len(got) == len(rows)
-    for i, t, _ in rows:
-        if not (t or "").split():
-            assert got[i] is None
-        else:
-            assert abs(got[i] - brute_word_bits(texts, t)(halves[t])) < 1e-3, t
+    for trusted in (range(30), [next(i for i in range(30) if halves[made[i]])]):  # one text: no model of a half of its own
+        model = quality.train(docs, spark.createDataFrame([(i,) for i in trusted], "doc_id long"))
+        got = {r.doc_id: r.bits for r in quality.scores(docs, model).collect()}
+        assert len(got) == len(rows)
+        bits = {h: brute_bits([made[i] for i in trusted if len(trusted) == 1 or halves[made[i]] != h]) for h in (0, 1)}
+        for i, t, _ in rows:
+            assert got[i] is None if not t else abs(got[i] - bits[halves[t]](t)) < 1e-3, t
 
 
 def test_quality(spark, docs, rows, empty):
