@@ -1,10 +1,17 @@
-"""Texts of chat requests in three wire formats, by path, with SQL functions on the JSON body."""
+"""Chat requests: bodies of conversations, their texts by path, and whether a stream is wanted."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hushframe.functions import jsontext as J
+
+from .bodies import fields
+
 
 def chat_body(turns: DataFrame) -> DataFrame:
     """request_id, body: a chat-completions request of each conversation (conv_id, turn, role, text)."""
@@ -13,29 +20,30 @@ def chat_body(turns: DataFrame) -> DataFrame:
     return lists.select("request_id", F.to_json(F.struct(F.lit("m").alias("model"), F.transform("ms", lambda x: x["m"]).alias("messages"))).alias("body"))
 
 
-PART = "struct<type:string,text:string>"
-MESSAGE = "struct<role:string,content:string,function_call:struct<arguments:string>,tool_calls:array<struct<function:struct<arguments:string>>>>"
-
-
 def chat_fields(bodies: DataFrame) -> DataFrame:
     """request_id, ord, path, text of a chat-completions request: content (or its text parts), then call arguments."""
-    ms = F.from_json(F.get_json_object("body", "$.messages"), f"array<{MESSAGE}>")
-    rows = bodies.select("request_id", F.posexplode(ms).alias("i", "m"))
-    parts = F.from_json("m.content", f"array<{PART}>")
-    is_list = F.coalesce(F.trim("m.content").startswith("[") & parts.isNotNull(), F.lit(False))
-    at = F.concat(F.lit("messages."), F.col("i").cast("string"))
-    own = F.when(is_list, F.transform(parts, lambda p, j: F.struct(F.concat(at, F.lit(".content."), j.cast("string"), F.lit(".text")).alias("path"), F.when(p["type"] == "text", p["text"]).alias("text")))).otherwise(
-        F.array(F.struct(F.concat(at, F.lit(".content")).alias("path"), F.col("m.content").alias("text")))
-    )
-    call = F.array(F.struct(F.concat(at, F.lit(".function_call.arguments")).alias("path"), F.col("m.function_call.arguments").alias("text")))
-    tools = F.transform("m.tool_calls", lambda t, j: F.struct(F.concat(at, F.lit(".tool_calls."), j.cast("string"), F.lit(".function.arguments")).alias("path"), t["function"]["arguments"].alias("text")))
-    every = F.concat(own, call, F.coalesce(tools, F.array().cast("array<struct<path:string,text:string>>")))
-    some = rows.select("request_id", "i", F.posexplode(every).alias("j", "f")).where("f.text is not null and f.text <> ''")
-    return some.select("request_id", F.struct("i", "j").alias("ord"), "f.path", "f.text")
+    return fields(bodies, "chat_completions", "request").select("request_id", F.col("text_idx").alias("ord"), "path", "text")
+
+
+def stream_wanted(body: str | None) -> bool:
+    """Whether `stream` is true, a number but zero, or the string "1", "t" or "true" in any case."""
+    value = J.find(J.read(body)[0], "stream") if body else None
+    if value is None:
+        return False
+    said = body[value.start : value.end]
+    if value.kind == '"':
+        return J.decode(said).lower() in ("1", "t", "true")
+    try:
+        return said == "true" or float(said) != 0
+    except ValueError:  # null, false, an object or an array
+        return False
 
 
 def wants_stream(bodies: DataFrame) -> DataFrame:
-    """request_id, wants_stream: whether `stream` is true, "1", "t" or "true" in any case, or a number but zero."""
-    value = F.get_json_object("body", "$.stream")
-    number = F.expr("try_cast(get_json_object(body, '$.stream') as double)")
-    return bodies.select("request_id", F.coalesce(F.lower(value).isin("true", "t", "1") | (number != 0), F.lit(False)).alias("wants_stream"))
+    """request_id, wants_stream: see `stream_wanted`; false for a null body."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(stream_wanted, batch.column(1).to_pylist()), pa.bool_())], names=["request_id", "wants_stream"])
+
+    return bodies.select(F.col("request_id").cast("long"), "body").mapInArrow(run, "request_id long, wants_stream boolean")

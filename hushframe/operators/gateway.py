@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,6 +48,13 @@ def cursor(ts: Column, key: Column) -> Column:
     return scalars.base64url(F.concat((F.unix_micros(ts) * 1000).cast("string"), F.lit(":"), key.cast("string")))
 
 
+def position(after: str) -> tuple[int, str]:
+    """The nanoseconds and the id that a cursor says; a ValueError if it is none."""
+    data = base64.urlsafe_b64decode(after + "=" * (-len(after) % 4)).decode()
+    nanos, _, last = data.partition(":")
+    return int(nanos), last
+
+
 def audit(log: DataFrame, key: str, after: str | None = None, limit: int = PAGE, since=None, until=None, **equal: object) -> DataFrame:
     """A page of `log` (ts, the key, further columns), newest first, with the column `cursor` for the next page.
 
@@ -56,8 +65,8 @@ def audit(log: DataFrame, key: str, after: str | None = None, limit: int = PAGE,
     log = log.where(F.col("ts") >= F.lit(since)) if since is not None else log
     log = log.where(F.col("ts") < F.lit(until)) if until is not None else log
     if after:
-        said = F.split(scalars.from_base64url(F.lit(after)).cast("string"), ":", 2)
-        ts, last = F.timestamp_micros((said[0].cast("long") / 1000).cast("long")), said[1].cast(dict(log.dtypes)[key])
+        nanos, last = position(after)
+        ts, last = F.timestamp_micros(F.lit(nanos // 1000)), F.lit(last).cast(dict(log.dtypes)[key])
         log = log.where((F.col("ts") < ts) | ((F.col("ts") == ts) & (F.col(key) < last)))
     return log.orderBy(F.desc("ts"), F.desc(key)).limit(max(1, min(limit, LONGEST_PAGE))).withColumn("cursor", cursor(F.col("ts"), F.col(key)))
 

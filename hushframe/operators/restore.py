@@ -93,16 +93,32 @@ def with_known(rows: DataFrame, found: DataFrame, key: str = "request_id") -> Da
     return rows.join(lists, key, "left")
 
 
-def restore(masked: DataFrame, found: DataFrame, json: bool = False) -> DataFrame:
-    """request_id, text_idx, text: all of each masked_text restored, tolerantly. `json`: the texts are JSON documents."""
+def restored(rows: DataFrame, json: bool = False) -> DataFrame:
+    """request_id, text_idx, text of `rows` (request_id, text_idx, masked_text, known, kinds), without a shuffle.
+
+    `known` is an array of structs with placeholder and original, in order; of equal placeholders the first counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, known, kinds in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 pairs = [(k["placeholder"], k["original"]) for k in known or []]
-                out.append(text if text is None or not pairs else restore_json(text, pairs, kinds) if json else Restorer(pairs, kinds).whole(text))
+                out.append(text if text is None or not pairs else restore_json(text, pairs, kinds or []) if json else Restorer(pairs, kinds or []).whole(text))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["request_id", "text_idx", "text"])
 
-    rows = with_known(masked.select(F.col("request_id").cast("long"), F.col("text_idx").cast("int"), "masked_text"), found)
-    return rows.select("request_id", "text_idx", "masked_text", "known", "kinds").mapInArrow(run, "request_id long, text_idx int, text string")
+    rows = rows.select(F.col("request_id").cast("long"), F.col("text_idx").cast("int"), "masked_text", "known", "kinds")
+    return rows.mapInArrow(run, "request_id long, text_idx int, text string")
+
+
+def restore(masked: DataFrame, found: DataFrame, json: bool = False) -> DataFrame:
+    """request_id, text_idx, text: all of each masked_text restored, tolerantly. `json`: the texts are JSON documents."""
+    return restored(with_known(masked, found), json)
+
+
+def demask(masked: DataFrame, found: DataFrame) -> DataFrame:
+    """request_id, text_idx, text: placeholders, of any type, replaced by their originals exactly as they stand.
+
+    What was put in is not read again. Of rows of `found` that repeat a placeholder the first in order counts.
+    """
+    return restored(with_known(masked, found).withColumn("kinds", F.array().cast("array<string>")))

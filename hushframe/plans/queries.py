@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.functions import scalars, validators
@@ -10,6 +10,8 @@ from hushframe.operators import bodies, extract, gateway, mask, restore, scan
 from hushframe.sources.catalog import load_rules
 from hushframe.streaming import dialects
 
+from . import oracles
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,19 +21,44 @@ def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), F.lit(0).alias("text_idx"), "text")
 
 
+def contact(text: Column) -> Column:
+    return F.concat(text, F.lit(" contact user"), (F.col("turn") % 2).cast("string"), F.lit(".c"), (F.col("conv_id") % 7).cast("string"), F.lit("@mail.example.com or <EMAIL_1>"))
+
+
 def turn_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns, each with a contact that its conversation shares with others."""
-    text = F.concat("text", F.lit(" contact user"), (F.col("turn") % 2).cast("string"), F.lit(".c"), (F.col("conv_id") % 7).cast("string"), F.lit("@mail.example.com or <EMAIL_1>"))
+    text = contact(F.col("text"))
     return table(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("request_id"), F.col("turn").cast("int").alias("text_idx"), text.alias("text"))
 
 
 def found_in(texts: DataFrame) -> DataFrame:
-    return scan.coalesce(scan.scan(texts, load_rules().rules), texts)
+    """Disjoint findings of all built-in rules, in one pass over the texts."""
+    return scan.findings(texts, load_rules().rules)
+
+
+def masked_documents(spark, sf_dir) -> DataFrame:
+    """Each document is a request of one text, so all of its masking happens where it is."""
+    return scan.mask_texts(document_texts(spark, sf_dir), load_rules().rules)
+
+
+DOCUMENTS_SQL = "SELECT doc_id AS k, 0 AS i, text FROM documents WHERE doc_id IS NOT NULL"
+TURNS_SQL = """
+SELECT conv_id AS k, turn::INT AS i, text || ' contact user' || (turn % 2) || '.c' || (conv_id % 7) || '@mail.example.com or <EMAIL_1>' AS text
+FROM conversations WHERE text IS NOT NULL
+"""
+
+
+def on_documents(select: str) -> str:
+    return f"{oracles.masked(DOCUMENTS_SQL, load_rules().rules)}\n{select}"
+
+
+def on_turns(select: str) -> str:
+    return f"{oracles.masked(TURNS_SQL, load_rules().rules)}\n{select}"
 
 
 def candidates_by_rule(spark, sf_dir):
-    rules = [load_rules().by_id(r) for r in ("pii.email", "ip-addrs.ipv4", "access_tokens.generic-long-token", "pii.phone-ru")]
-    return scan.scan(document_texts(spark, sf_dir), rules).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    """How many candidates each rule has that has any."""
+    return scan.scan(document_texts(spark, sf_dir), load_rules().rules).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def candidates_all_rules(spark, sf_dir):
@@ -41,21 +68,6 @@ def candidates_all_rules(spark, sf_dir):
     return catalog.frame(spark).select("rule_id").join(found, "rule_id", "left").select("rule_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-_IPV4 = r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"
-CANDIDATES_SQL = rf"""
-WITH c AS (
-  SELECT 'pii.email' AS rule_id, unnest(regexp_extract_all(text, '(?m)(?:^|[^\w\\])([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,63}})\b', 1)) AS v FROM documents
-  UNION ALL SELECT 'ip-addrs.ipv4', unnest(regexp_extract_all(text, '{_IPV4}')) FROM documents
-  UNION ALL SELECT 'access_tokens.generic-long-token', unnest(regexp_extract_all(text, '\b([A-Za-z0-9]{{32,}})\b', 1)) FROM documents
-  UNION ALL SELECT 'pii.phone-ru', unnest(regexp_extract_all(text, '(?m)(?:^|[^\d])((?:\+7|8)[\s\-]?\(?\d{{3}}\)?[\s\-]?\d{{3}}[\s\-]?\d{{2}}[\s\-]?\d{{2}})\b', 1)) FROM documents)
-SELECT rule_id, count(*) AS n FROM c
-WHERE CASE rule_id
-  WHEN 'pii.email' THEN regexp_full_match(v, '[A-Za-z0-9!#$%&''*+/=?^_`{{|}}~-]+(\.[A-Za-z0-9!#$%&''*+/=?^_`{{|}}~-]+)*@([A-Za-z0-9]([A-Za-z0-9-]{{0,61}}[A-Za-z0-9])?\.)+[A-Za-z]+')
-  WHEN 'ip-addrs.ipv4' THEN NOT regexp_matches(v, '(^|\.)0[0-9]') ELSE true END
-GROUP BY rule_id
-"""
-
-
 def coalesce_overlaps(spark, sf_dir):
     """Overlaps of made-up spans: each line item is a span of its order."""
     rows = table(spark, sf_dir, "lineitem").select(
@@ -76,8 +88,7 @@ SELECT k AS request_id, min(s) AS "start", max(e) AS "end", first(r ORDER BY s -
 
 
 def mask_documents(spark, sf_dir):
-    texts = document_texts(spark, sf_dir)
-    return mask.mask(texts, found_in(texts))[0]
+    return masked_documents(spark, sf_dir).select("request_id", "text_idx", "masked_text")
 
 
 def mask_conversations(spark, sf_dir):
@@ -87,16 +98,33 @@ def mask_conversations(spark, sf_dir):
 
 def masking_state(spark, sf_dir):
     texts = turn_texts(spark, sf_dir)
-    return mask.state(mask.replacements(texts, found_in(texts)))
+    made = mask.state(texts, found_in(texts))
+    said = F.transform("replacements", lambda r: F.concat_ws(":", r["ord"].cast("string"), r["rule_id"], r["data_type"].cast("string"), r["original"], r["placeholder"]))
+    return made.select("request_id", F.array_join("triggered_rule_ids", ",").alias("rules"), F.array_join(F.col("triggered_data_types").cast("array<string>"), ",").alias("types"), F.array_join(said, "|").alias("replacements"))
 
 
-def roundtrip(texts: DataFrame) -> DataFrame:
-    done, found = mask.mask(texts, found_in(texts))
-    return mask.demask(done, found)
+STATE_SQL = """, said AS (SELECT k, string_agg(ord || ':' || rule_id || ':' || data_type || ':' || original || ':' || placeholder, '|' ORDER BY ord) AS replacements FROM firsts GROUP BY k)
+SELECT k AS request_id, array_to_string(list_sort(list_distinct(list(rule_id))), ',') AS rules,
+  coalesce(array_to_string(list_sort(list_distinct(list(data_type) FILTER (data_type BETWEEN 1 AND 6))), ','), '') AS types, any_value(replacements) AS replacements
+FROM f JOIN said USING (k) WHERE kind <> '' GROUP BY k
+"""
+PUT_SQL = "(SELECT count(*) FROM firsts WHERE firsts.k = t.k) AS n_values"
 
 
 def roundtrip_documents(spark, sf_dir):
-    return roundtrip(document_texts(spark, sf_dir))
+    """The documents after masking and restoring, with the number of values that were hidden meanwhile."""
+    hidden = masked_documents(spark, sf_dir).withColumn("known", F.col("replacements")).withColumn("kinds", F.array().cast("array<string>"))
+    # Two rounds of Python over one row: what is counted rides along in the index.
+    back = restore.restored(hidden.withColumn("text_idx", F.size("replacements")))
+    return back.select("request_id", F.col("text_idx").cast("long").alias("n_values"), "text")
+
+
+def roundtrip_conversations(spark, sf_dir):
+    """The turns after masking by conversation and exact restoring, with the number of values of their conversation."""
+    texts = turn_texts(spark, sf_dir)
+    done, found = mask.mask(texts, found_in(texts))
+    n = found.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_values"))
+    return restore.demask(done, found).join(n, "request_id", "left").select("request_id", "text_idx", F.coalesce("n_values", F.lit(0)).alias("n_values"), "text")
 
 
 def docs_with_findings(spark, sf_dir):
@@ -115,22 +143,41 @@ def top_rules(spark, sf_dir):
     return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "rule_id").limit(20)
 
 
-def validator(name: str, sql, value: str):
+def validator(name: str, value: str, sql: str, **limits):
+    """The scan's own check on made-up values of the orders, beside SQL that shares no code with it."""
+
     def query(spark, sf_dir):
-        return table(spark, sf_dir, "orders").select("o_orderkey", F.expr(value).alias("v")).select("o_orderkey", "v", F.expr(sql("v")).alias("valid"))
+        rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(value).alias("v"))
+        return rows.select("o_orderkey", "v", validators.valid(F.col("v"), name, **limits).alias("valid"))
+
+    return query, f"SELECT o_orderkey, v, {sql} AS valid FROM (SELECT o_orderkey, {value} AS v FROM orders)"
+
+
+MADE = "(o_orderkey * 7919 + o_custkey * 104729) % 1000000007"
 
-    return query, f"SELECT o_orderkey, v, {sql('v')} AS valid FROM (SELECT o_orderkey, {value} AS v FROM orders)"
 
+def digits(n: int, lead: str = "''") -> str:
+    """SQL for n digits, two fewer in some rows, that differ by order."""
+    return f"left(concat({lead}, lpad(CAST({MADE} AS VARCHAR(20)), 19, '{'73' * 10}')), {n} - CASE WHEN o_orderkey % 11 = 0 THEN 2 ELSE 0 END)"
 
-def digits(n: int, lead: str = "") -> str:
-    """SQL for n digits that differ by order."""
-    return f"concat('{lead}', lpad(CAST((o_orderkey * 7919 + o_custkey * 104729) % 1000000007 AS VARCHAR(20)), {n - len(lead)}, '{'73' * 10}'))"
 
+def one_of(*values: str) -> str:
+    """SQL for one of several texts by order."""
+    return "CASE " + " ".join(f"WHEN o_orderkey % {len(values)} = {i} THEN {v}" for i, v in enumerate(values)) + " END"
 
+
+_LEADS = one_of(*(f"'{x}'" for x in ("4", "34", "51", "2221", "2721", "6011", "644", "62", "2204", "2205", "9")))
+_QUAD = f"concat(CAST(o_orderkey % 260 AS VARCHAR(9)), '.', CAST(o_custkey % 40 + 10 AS VARCHAR(9)), '.', CAST({MADE} % 256 AS VARCHAR(9)), '.', {one_of("'0'", "'7'", "'07'", "'255'")})"
+_RANGES = one_of(_QUAD, "concat('10.', CAST(o_custkey % 300 AS VARCHAR(9)), '.1.1')", "concat('172.', CAST(o_custkey % 40 AS VARCHAR(9)), '.0.9/', CAST(o_orderkey % 40 AS VARCHAR(9)))", "concat('[192.168.0.', CAST(o_custkey % 300 AS VARCHAR(9)), ']')", "concat('::ffff:8.8.8.', CAST(o_custkey % 300 AS VARCHAR(9)))")
+_SIX = one_of("concat('fe80::', CAST(o_custkey % 20000 AS VARCHAR(9)))", "concat('2001:db8:0:0:0:0:0:', CAST(o_custkey % 9999 AS VARCHAR(9)))", "concat('2001:db8::1:', CAST(o_custkey AS VARCHAR(9)), 'g')", "concat('1:2:3:4:5:6:', CAST(o_custkey % 999 AS VARCHAR(9)))", "concat('fd00::1/', CAST(o_orderkey % 200 AS VARCHAR(9)))", "'::1'", "concat('2001:db8::', CAST(o_custkey % 999 AS VARCHAR(9)), '::1')")
+_MAIL = one_of("concat('a.', CAST(o_custkey AS VARCHAR(9)), '@x.example')", "concat('a..b', CAST(o_custkey AS VARCHAR(9)), '@x.example')", "concat(' q+', CAST(o_custkey AS VARCHAR(9)), '@a-b.co ')", "concat('x@-', CAST(o_custkey AS VARCHAR(9)), '.example')", "concat('x@y.', CAST(o_custkey AS VARCHAR(9)))", "concat(repeat('l', 60), CAST(o_custkey AS VARCHAR(9)), '@x.example')")
+_IBAN = f"concat({one_of("'GB'", "'de'", "'FR'")}, lpad(CAST({MADE} % 97 + 2 AS VARCHAR(2)), 2, '0'), ' ', {one_of("'WEST'", "'3704'", "'7-70'")}, ' ', lpad(CAST(o_orderkey % 97 AS VARCHAR(9)), 4, '1'), ' 5698 ', CAST(o_custkey AS VARCHAR(9)))"
+_WORD = f"concat(repeat('ab', CAST(o_orderkey % 5 AS INT)), substr('qwertyuiopasdfghjkl', CAST(o_orderkey % 7 + 1 AS INT), CAST(o_custkey % 12 AS INT)))"
 VALIDATED = {
-    "luhn": (validators.luhn_sql, digits(16, "4")), "snils": (validators.snils_sql, digits(11)), "inn_org": (validators.inn_org_sql, digits(10)),
-    "inn_person": (validators.inn_person_sql, digits(12)), "ogrn": (validators.ogrn_sql, digits(13)), "ogrnip": (validators.ogrnip_sql, digits(15, "3")),
-    "payment_card_no_luhn": (validators.card_shape_sql, digits(16, "22")), "payment_card": (lambda v: f"({validators.card_shape_sql(v)} AND {validators.luhn_sql(v)})", digits(16, "51")),
+    "luhn": (digits(16, "'4'"), {}), "snils": (digits(11), {}), "inn_org": (digits(10), {}), "inn_person": (digits(12), {}), "ogrn": (digits(13), {}), "ogrnip": (digits(15, "'3'"), {}),
+    "payment_card_no_luhn": (digits(16, _LEADS), {}), "payment_card": (digits(16, _LEADS), {}), "iban_mod97": (_IBAN, {}), "email_ascii": (_MAIL, {}),
+    "ip_v4": (_RANGES, {}), "ip_v6": (_SIX, {}), "ip_public": (one_of(_RANGES, _SIX), {}), "ip_private": (one_of(_RANGES, _SIX), {}),
+    "entropy": (_WORD, {"entropy": 2.5}), "banlist": (one_of("'Changeme'", "'x'", "concat('changeme', CAST(o_custkey % 3 AS VARCHAR(9)))"), {"banlist": ("changeme", "changeme1")}),
 }
 
 
@@ -165,20 +212,25 @@ FROM conversations QUALIFY text IS NOT NULL AND text <> ''
 
 
 def audit_page(spark, sf_dir):
-    """A page of the event log, newest first, after the cursor that is the hundredth event."""
-    log = table(spark, sf_dir, "events").select(F.col("ts"), "event_id", "event_type").where("event_type is not null")
-    cursor = log.orderBy(F.desc("ts"), F.desc("event_id")).offset(99).limit(1).select(F.col("ts").alias("cts"), F.col("event_id").alias("cid"))
-    after = log.join(F.broadcast(cursor), (F.col("ts") < F.col("cts")) | ((F.col("ts") == F.col("cts")) & (F.col("event_id") < F.col("cid"))))
-    return after.orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "event_type")
+    """The third page of the event log, newest first: each cursor is that of the last row of the page before."""
+    log = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type").where("ts is not null")
+    after = None
+    for _ in range(2):
+        rows = gateway.audit(log, "event_id", after).collect()  # a page: 50 rows
+        after = rows[-1]["cursor"] if rows else None
+    return gateway.audit(log, "event_id", after).select("event_id", "event_type")
 
 
 AUDIT_SQL = """
-SELECT event_id, event_type FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type IS NOT NULL) WHERE n BETWEEN 101 AND 150
+SELECT event_id, event_type FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE ts IS NOT NULL) WHERE n BETWEEN 101 AND 150
 """
 
-def format_bodies(spark, sf_dir, format):
+
+def format_bodies(spark, sf_dir, format, contacts=False):
     """A request of each conversation in the format, with the turns' texts in order; null texts are left out."""
     turns = table(spark, sf_dir, "conversations").where("text is not null")
+    if contacts:
+        turns = turns.withColumn("text", contact(F.col("text")))
     item = {
         "chat_completions": "named_struct('role', m.role, 'content', m.text)",
         "messages": "named_struct('role', m.role, 'content', array(named_struct('type', 'text', 'text', m.text)))",
@@ -202,8 +254,9 @@ WHERE text <> ''
 
 
 def roundtrip_bodies(spark, sf_dir):
-    """Bodies after masking their fields in place, and restoring those of the masked bodies: the bodies themselves."""
-    made = format_bodies(spark, sf_dir, "messages")
+    """Bodies after masking their fields in place, and restoring those of the masked bodies: the bodies themselves, with
+    the number of values that were hidden meanwhile."""
+    made = format_bodies(spark, sf_dir, "messages", contacts=True)
     found = bodies.fields(made, "messages", "request").where("not is_raw")
     texts = found.select("request_id", "text_idx", "text")
     masked, used = mask.mask(texts, found_in(texts))
@@ -212,18 +265,23 @@ def roundtrip_bodies(spark, sf_dir):
     again = bodies.fields(hidden, "messages", "request")
     back = restore.restore(again.select("request_id", "text_idx", F.col("text").alias("masked_text")), used)
     shown = bodies.patch(hidden, again.drop("text").join(back, ["request_id", "text_idx"]))
-    return bodies.fields(shown, "messages", "request").select("request_id", "path", "text")
+    n = used.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_values"))
+    return bodies.fields(shown, "messages", "request").join(n, "request_id", "left").select("request_id", "path", "text", F.coalesce("n_values", F.lit(0)).alias("n_values"))
+
+
+BODIES_SQL = f"SELECT k AS request_id, 'messages.' || (row_number() OVER (PARTITION BY k ORDER BY i) - 1) || '.content.0.text' AS path, text, {PUT_SQL} FROM t"
 
 
 def restore_drifted(spark, sf_dir):
-    """Documents after masking, a rewriting of their placeholders, and tolerant restoring."""
-    texts = document_texts(spark, sf_dir)
-    masked, used = mask.mask(texts, found_in(texts))
-    drifted = masked.withColumn("masked_text", F.regexp_replace("masked_text", "<([A-Z0-9_]+)_([0-9]+)>", "< $1 - 0$2 >"))
-    return restore.restore(drifted, used).select("request_id", "text")
+    """Documents after masking, a rewriting of their placeholders, and tolerant restoring, with the number of values."""
+    hidden = masked_documents(spark, sf_dir).withColumn("known", F.col("replacements"))
+    drifted = hidden.withColumn("masked_text", F.regexp_replace("masked_text", "<([A-Z0-9_]+)_([0-9]+)>", "< $1 - 0$2 >"))
+    kind = F.transform("replacements", lambda r: F.regexp_extract(r["placeholder"], "^<(.*)_[0-9]+>$", 1))
+    back = restore.restored(drifted.withColumn("kinds", F.array_distinct(kind)).withColumn("text_idx", F.size("replacements")))
+    return back.select("request_id", F.col("text_idx").cast("long").alias("n_values"), "text")
 
 
-DRIFTED_SQL = "SELECT doc_id AS request_id, regexp_replace(text, '<([A-Z0-9_]+)_([0-9]+)>', '< \\1 - 0\\2 >', 'g') AS text FROM documents"
+DRIFTED_SQL = f"SELECT k AS request_id, {PUT_SQL}, regexp_replace(text, '<([A-Z0-9_]+)_([0-9]+)>', '< \\1 - 0\\2 >', 'g') AS text FROM t"
 
 
 def page_paths(spark, sf_dir):
@@ -295,13 +353,12 @@ def restore_event_streams(spark, sf_dir):
     said = gateway.frames(dialects.restore_streams(streams, used)).where("kind = 'event'")
     one = F.from_json("data", "choices array<struct<index:int,delta:struct<content:string>>>")["choices"][0]
     pieces = said.select("stream_id", "seq", one["index"].alias("choice"), one["delta"]["content"].alias("content"))
-    return pieces.groupBy("stream_id", "choice").agg(F.sort_array(F.collect_list(F.struct("seq", "content"))).alias("ps")).select("stream_id", "choice", F.array_join("ps.content", "").alias("text"))
+    whole = pieces.groupBy("stream_id", "choice").agg(F.sort_array(F.collect_list(F.struct("seq", "content"))).alias("ps")).select("stream_id", "choice", F.array_join("ps.content", "").alias("text"))
+    n = used.groupBy(F.col("request_id").alias("stream_id")).agg(F.count(F.lit(1)).alias("n_values"))
+    return whole.join(n, "stream_id", "left").select("stream_id", "choice", "text", F.coalesce("n_values", F.lit(0)).alias("n_values"))
 
 
-STREAMS_SQL = """
-SELECT conv_id AS stream_id, turn::INT AS choice, text || ' contact user' || (turn % 2) || '.c' || (conv_id % 7) || '@mail.example.com or <EMAIL_1>' AS text
-FROM conversations WHERE text IS NOT NULL
-"""
+STREAMS_SQL = f"SELECT k AS stream_id, i AS choice, text, {PUT_SQL} FROM t"
 
 
 def request_parameters(spark, sf_dir):
@@ -329,14 +386,29 @@ def mac(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", scalars.hmac_sha256(F.col("c_name"), b"key").alias("mac"))
 
 
+MAC_SQL = """
+SELECT c_custkey, sha256(unhex(o) || unhex(sha256(unhex(i) || encode(c_name)))) AS mac
+FROM customer, (SELECT string_agg(printf('%02x', xor(k, 92)), '' ORDER BY n) AS o, string_agg(printf('%02x', xor(k, 54)), '' ORDER BY n) AS i
+  FROM (SELECT n, CASE n WHEN 0 THEN ascii('k') WHEN 1 THEN ascii('e') WHEN 2 THEN ascii('y') ELSE 0 END AS k FROM range(64) r(n)))
+"""
+
 QUERIES = {
     "candidates_by_rule": candidates_by_rule, "candidates_all_rules": candidates_all_rules, "coalesce_overlaps": coalesce_overlaps, "mask_documents": mask_documents, "mask_conversations": mask_conversations,
-    "masking_state": masking_state, "roundtrip_documents": roundtrip_documents, "docs_with_findings": docs_with_findings, "docs_clean": docs_clean, "top_rules": top_rules,
+    "masking_state": masking_state, "roundtrip_documents": roundtrip_documents, "roundtrip_conversations": roundtrip_conversations, "docs_with_findings": docs_with_findings, "docs_clean": docs_clean, "top_rules": top_rules,
     "scalar_functions": scalar_functions, "extract_chat_request": extract_chat_request, "audit_page": audit_page,
 }
 SQL = {
-    "candidates_by_rule": CANDIDATES_SQL, "coalesce_overlaps": COALESCE_SQL, "scalar_functions": SCALAR_SQL, "extract_chat_request": EXTRACT_SQL, "audit_page": AUDIT_SQL,
-    "roundtrip_documents": "SELECT doc_id AS request_id, 0 AS text_idx, text FROM documents",
+    "candidates_by_rule": on_documents("SELECT rule_id, count(*) AS n FROM c JOIN r USING (rule) GROUP BY rule_id"),
+    "candidates_all_rules": on_documents("SELECT rule_id, count(k) AS n FROM r LEFT JOIN c USING (rule) GROUP BY rule_id"),
+    "mask_documents": on_documents("SELECT k AS request_id, i AS text_idx, masked AS masked_text FROM m"),
+    "mask_conversations": on_turns("SELECT k AS request_id, i AS text_idx, masked AS masked_text FROM m"),
+    "masking_state": on_turns(STATE_SQL), "hmac": MAC_SQL,
+    "docs_with_findings": on_documents("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT k FROM f)"),
+    "docs_clean": on_documents("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT k FROM f)"),
+    "top_rules": on_documents("SELECT rule_id, count(*) AS n FROM f GROUP BY rule_id ORDER BY n DESC, rule_id LIMIT 20"),
+    "roundtrip_conversations": on_turns(f"SELECT k AS request_id, i AS text_idx, text, {PUT_SQL} FROM t"),
+    "coalesce_overlaps": COALESCE_SQL, "scalar_functions": SCALAR_SQL, "extract_chat_request": EXTRACT_SQL, "audit_page": AUDIT_SQL,
+    "roundtrip_documents": on_documents(f"SELECT k AS request_id, {PUT_SQL}, text FROM t"),
 }
 QUERIES |= {
     "roundtrip_bodies": roundtrip_bodies, "restore_drifted": restore_drifted, "page_paths": page_paths, "event_latency": event_latency, "current_user_event": current_user_event,
@@ -344,11 +416,17 @@ QUERIES |= {
     "restore_event_streams": restore_event_streams,
 }
 SQL |= {
-    "restore_drifted": DRIFTED_SQL, "page_paths": PATHS_SQL, "event_latency": LATENCY_SQL, "current_user_event": CURRENT_SQL, "events_retained": RETAINED_SQL,
-    "stream_frames": FRAMES_SQL, "request_parameters": REQUEST_SQL, "restore_event_streams": STREAMS_SQL,
+    "restore_drifted": on_documents(DRIFTED_SQL), "page_paths": PATHS_SQL, "event_latency": LATENCY_SQL, "current_user_event": CURRENT_SQL, "events_retained": RETAINED_SQL,
+    "stream_frames": FRAMES_SQL, "request_parameters": REQUEST_SQL, "restore_event_streams": on_turns(STREAMS_SQL),
 }
 for _name, _path in {"chat_completions": "messages.#.content", "messages": "messages.#.content.0.text", "responses": "input.#.content"}.items():
     QUERIES[f"extract_{_name}"], SQL[f"extract_{_name}"] = extract_format(_name, _path)
-SQL["roundtrip_bodies"] = SQL["extract_messages"]
-for _name, _made in VALIDATED.items():
-    QUERIES[f"validator_{_name}"], SQL[f"validator_{_name}"] = validator(_name, *_made)
+SQL["roundtrip_bodies"] = on_turns(BODIES_SQL)
+for _name, (_value, _limits) in VALIDATED.items():
+    if _name == "entropy":
+        _sql = oracles.entropy("v", _limits["entropy"])
+    elif _name == "banlist":
+        _sql = f"lower(v) NOT IN {_limits['banlist']}"
+    else:
+        _sql = {n: f(f"regexp_replace(v, '[^0-9]', '', 'g')") for n, f in oracles.DIGITS.items()}.get(_name) or oracles.OTHERS[_name]("v")
+    QUERIES[f"validator_{_name}"], SQL[f"validator_{_name}"] = validator(_name, _value, _sql, **_limits)

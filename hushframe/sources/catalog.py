@@ -134,12 +134,16 @@ def read_rules(text: str) -> list[Rule]:
         raise RuleError("ParseError", f"{ROOT_KEY} is no sequence")
     out = []
     for g in groups:
+        if not isinstance(g, dict):
+            raise RuleError("ParseError", "a group is no mapping")
         rules = g.get("rules")
         if rules is None:
             continue
         if not isinstance(rules, list):
             raise RuleError("ParseError", "rules is no sequence")
         for r in rules:
+            if not isinstance(r, dict) or not isinstance(r.get("masking") or {}, dict):
+                raise RuleError("ParseError", "a rule, or its masking, is no mapping")
             masking = r.get("masking") or {}
             out.append(Rule(
                 rule_id=str(r.get("rule_id", "")), regex=str(r.get("regex", "")), data_type=int(g.get("data_type", 0)), group=str(g.get("name", "")),

@@ -1,5 +1,6 @@
 import pytest
 
+from hushframe.operators import scan
 from hushframe.sources import catalog
 from hushframe.sources.catalog import Rule, RuleError
 
@@ -50,3 +51,20 @@ def test_candidates_of_all_rules(spark):
     got = {r.rule_id: r.n for r in queries.QUERIES["candidates_all_rules"](spark, small).collect()}
     assert set(got) == {r.rule_id for r in catalog.load_rules().rules}
     assert all(got[r.rule_id] == r.n for r in queries.QUERIES["candidates_by_rule"](spark, small).collect()) and sum(got.values()) > 0
+
+
+@pytest.mark.parametrize("text", ["guardrails_regex_rules: [x]", "guardrails_regex_rules: [{rules: [x]}]", "guardrails_regex_rules: [{rules: [{masking: [1]}]}]", "guardrails_regex_rules: {a: 1}"])
+def test_what_is_no_mapping(text):
+    with pytest.raises(RuleError) as e:
+        catalog.read_rules(text)
+    assert e.value.code == "ParseError"
+
+
+def test_the_built_in_catalogue():
+    rules = catalog.load_rules()
+    assert len(rules.rules) == 46 and [len(rules.for_data_types([t])) for t in range(1, 6)] == [13, 2, 6, 8, 17]
+    found = lambda rule, text: [text[s:e] for s, e in scan.matches(text, rules.by_id(rule))]
+    assert found("access_tokens.generic-long-token", "A" + "b" * 31 + " " + "c" * 40) == ["A" + "b" * 31]
+    assert found("credentials.db_connection", "to postgres://u:secret@h/db, then") == ["postgres://u:secret@h/db"]
+    assert found("credentials.http_auth_bearer", "Authorization: Bearer abcdefghijkl;") == ["abcdefghijkl"]
+    assert found("ip-addrs.ipv6-private", "at fe80::1 now") == ["fe80::1"] and found("ip-addrs.ipv6-public", "at fe80::1 now") == []

@@ -60,3 +60,14 @@ def test_audit_pages_hold_every_row_once(spark):
     assert {r.id for r in g.current_values(log.withColumn("k", F.col("id") % 5), "k", ["ts", "id"]).collect()} == set(range(35, 40))
     counts = g.histogram(log, F.col("id") / 10, []).orderBy("le").collect()
     assert [r.n for r in counts][-4:] == [11, 26, 40, 40]
+
+
+def test_pages_follow_each_other(spark):
+    """Times whose nanoseconds no double can hold, and rows of one time."""
+    rows = [(i, 1_700_000_000_000_016 - i // 2) for i in range(6)]
+    log = spark.createDataFrame(rows, "id long, us long").select("id", F.timestamp_micros("us").alias("ts"))
+    got, after = [], None
+    while page := g.audit(log, "id", after, limit=2).collect():
+        got += [r.id for r in page]
+        after = page[-1].cursor
+    assert got == [1, 0, 3, 2, 5, 4]

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from hushframe.functions import validators as v
-from hushframe.operators import extract, mask, scan
+from hushframe.operators import extract, mask, restore, scan
 from hushframe.sources.catalog import Rule, load_rules
 from hushframe.sources.prefilter import guarantees_keyword
 
@@ -62,12 +62,13 @@ def test_masking(spark):
     t = texts(spark, [(1, 0, "mail a@b.example and c@d.example"), (1, 1, "again a@b.example <EMAIL_1> 10.0.0.1"), (2, 0, None), (3, 0, "a@b.example <EMAIL_01>")])
     rules = [r for r in load_rules().rules if r.rule_id in ("pii.email", "ip-addrs.ipv4")]
     found = scan.coalesce(scan.scan(t, rules), t)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, scan.findings(t, rules).collect()))
     done, used = mask.mask(t, found)
     got = {(r.request_id, r.text_idx): r.masked_text for r in done.collect()}
     assert got == {(1, 0): "mail <EMAIL_2> and <EMAIL_3>", (1, 1): "again <EMAIL_2> <EMAIL_1> <IPV4_1>", (2, 0): None, (3, 0): "<EMAIL_1> <EMAIL_01>"}
-    back = {(r.request_id, r.text_idx): r.text for r in mask.demask(done, used).collect()}
+    back = {(r.request_id, r.text_idx): r.text for r in restore.demask(done, used).collect()}
     assert back == {(r.request_id, r.text_idx): r.text for r in t.collect()}
-    state = {r.request_id: (r.triggered_rule_ids, r.triggered_data_types, len(r.replacements)) for r in mask.state(used).collect()}
+    state = {r.request_id: (r.triggered_rule_ids, r.triggered_data_types, len(r.replacements)) for r in mask.state(t, found).collect()}
     assert state[1] == (["ip-addrs.ipv4", "pii.email"], [4, 5], 3)
 
 
@@ -93,3 +94,69 @@ def test_chat_fields(spark):
     got = [(r.path, r.text) for r in extract.chat_fields(bodies).orderBy("request_id", "ord").collect()]
     assert got == [("messages.0.content.0.text", "p"), ("messages.1.content", "q"), ("messages.1.tool_calls.0.function.arguments", "{}")]
     assert all(r.wants_stream for r in extract.wants_stream(bodies).collect())
+
+
+@pytest.mark.parametrize("text", ["k=aa;k=bb;", "\ue000k=aa;\ue001k=b", "k=" + "a" * 500 + "é;k=" + "b" * 70 + "$", ("k=a\n" * 300) + "k=" + "c" * 63, "xk=a k=😀"])
+def test_groups_are_where_a_search_finds_them(text):
+    """Against a search of the rest of the text for each match, however long the match or what follows."""
+    import re
+
+    rule = Rule("r", r"(?:^|[^x])(k)=([a-z]*)(?:;|$)", capture_groups=(2, 1))
+    want, at = [], 0
+    pattern = re.compile("(?m)" + rule.regex)
+    while m := pattern.search(text, at):
+        want.append(m.span(2) if m[2] else m.span(1))
+        at = max(m.end(), at + 1)
+    assert list(scan.matches(text, rule)) == want
+
+
+def test_many_matches_take_linear_time():
+    import time
+
+    rule = Rule("r", r"\b(a+)@b", capture_groups=(1,))
+    took = []
+    for n in (20_000, 200_000):
+        began = time.process_time()
+        assert sum(1 for _ in scan.matches("aa@b xx " * n, rule)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * took[0] + 1
+
+
+def test_one_pass_equals_many(spark):
+    """Requests of one text: numbered and replaced at once, as by the plan for requests of several texts."""
+    rows = [(1, 0, "a@b.example <EMAIL_1> c@d.example a@b.example 10.0.0.1"), (2, 0, None), (3, 0, ""), (4, 0, "x <IPV4_2> <IPV4_1> 10.0.0.1 10.0.0.2 10.0.0.3")]
+    t, rules = texts(spark, rows), [r for r in load_rules().rules if r.rule_id in ("pii.email", "ip-addrs.ipv4")] + [Rule("none", "x")]
+    once = scan.mask_texts(t, rules).collect()
+    done, used = mask.mask(t, scan.findings(t, rules))
+    assert {(r.request_id, r.masked_text) for r in once} == {(r.request_id, r.masked_text) for r in done.collect()}
+    assert sorted((r.request_id, *x) for r in once for x in r.replacements) == sorted(map(tuple, used.collect()))
+    plan = scan.mask_texts(t, rules)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+
+
+def test_restoring_exactly(spark):
+    """With U+0000 in the text, rows that repeat and types of any characters."""
+    masked = spark.createDataFrame([(1, 0, "<EMAIL_1> \0 x <e-mail ü_2> <EMAIL_3>"), (2, 0, "<EMAIL_1>"), (3, 0, None)], "request_id long, text_idx int, masked_text string")
+    used = spark.createDataFrame([(1, 1, "<EMAIL_1>", "a"), (1, 2, "<EMAIL_1>", "b"), (1, 1, "<EMAIL_1>", "a"), (1, 3, "<e-mail ü_2>", "<EMAIL_1>")], "request_id long, ord int, placeholder string, original string")
+    assert {r.request_id: r.text for r in restore.demask(masked, used).collect()} == {1: "a \0 x <EMAIL_1> <EMAIL_3>", 2: "<EMAIL_1>", 3: None}
+
+
+@pytest.mark.parametrize("value, want", [
+    ('"2"', False), ('"-1"', False), ('"T"', True), ('"1"', True), ("2", True), ("-0.0", False), ("1e-3", True), ("true", True), ("false", False), ("null", False), ("[1]", False), ('{"a":1}', False),
+])
+def test_wanting_a_stream(value, want):
+    assert extract.stream_wanted(f'{{"a":1,"stream":{value}}}') is want and not extract.stream_wanted(None)
+
+
+def test_contents_that_look_like_json_are_text(spark):
+    body = '{"messages":[{"content":"[{\\"type\\":\\"x\\",\\"text\\":\\"secret\\"}]"},{"content":5}]}'
+    got = [(r.path, r.text) for r in extract.chat_fields(spark.createDataFrame([(1, body)], "request_id long, body string")).collect()]
+    assert got == [("messages.0.content", '[{"type":"x","text":"secret"}]')]
+
+
+@pytest.mark.parametrize("name, n", [("luhn", 15), ("snils", 9), ("inn_org", 9), ("inn_person", 10), ("ogrn", 12), ("ogrnip", 14)])
+def test_completing(name, n):
+    rng = random.Random(6)
+    for _ in range(20):
+        whole = v.completed("".join(rng.choice("0123456789") for _ in range(n)), name)
+        assert whole is None or v.passes(whole, Rule("r", "x", validators=(name,)))
