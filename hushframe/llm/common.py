@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-import tempfile
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,17 +29,23 @@ def fresh(df: DataFrame, n: int) -> list[str]:
     return [name for name in (f"__{i}" for i in range(len(taken) + n)) if name not in taken][:n]
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
     """`df`, computed once and kept in the shared folder of spark.checkpoint.dir, so that lost executors lose nothing.
 
-    A folder of our own is set only where the session names none, as in tests.
+    `free` removes at once what led here, which is worth its while after large shuffles; other files go as the driver
+    collects its garbage. Where the session names no folder, one in the working folder is taken and left for later
+    sessions to reuse; on a cluster that is an error, as a folder of one machine can't be read by the others.
     """
-    sc = df.sparkSession.sparkContext
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="hushframe-"))
-    spark, kept = df.sparkSession, df.checkpoint(eager=True)
-    del df
-    release(spark)  # the shuffle files that led here
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(folder or os.path.abspath(".checkpoints"))
+    kept = df.checkpoint(eager=True)
+    if free:
+        del df
+        release(spark)
     return kept
 
 

@@ -93,7 +93,7 @@ def exact_groups(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
     rows = cut(recipes(docs, digest_bytes))
     contents = chunk_contents(docs, digest_bytes)
     clashing = contents.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("digest")
-    clashing = cut(clashing)
+    clashing = cut(clashing, free=True)  # contents went through a shuffle
     if not clashing.isEmpty():
         rows = cut(numbered_recipes(docs, rows, contents.join(clashing, "digest", "left_semi"), digest_bytes))
     groups = cut(rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.first("text_sha256").alias("sha")))

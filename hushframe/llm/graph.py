@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import cut
 
@@ -24,22 +23,26 @@ def look_up(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFram
     return few.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups, key))
 
 
+def with_least(links: DataFrame) -> DataFrame:
+    """u, v, m of `links` (u, v): the least v of each u. A node with many links is spread over all tasks."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    return look_up(links, least, "u", "n").select("u", "v", "m")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest reachable node) of all nodes in `links` (a, b long, in any order).
 
-    Large-star and small-star steps alternate until the links no longer change. A step deals the links by a node and
-    takes the least neighbour over a sorted, spilling window; nothing is gathered in memory or on the driver.
+    Large-star and small-star steps alternate until the links no longer change. In a step each node learns its least
+    neighbour, combined before the shuffle, and hands it on; nothing is gathered in one task or on the driver.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
-    least = F.min("v").over(Window.partitionBy("u"))
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
     while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.repartition("u").distinct().select("u", "v", F.least("u", least).alias("m"))
-        near = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        near = near.repartition("u").distinct().select("u", "v", least.alias("m"))
+        both = cut(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        near = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        near = with_least(cut(near.distinct()))
         # A node keeps its least neighbour, and its other neighbours get that one in its place.
-        edges = cut(near.select("m", F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u")).select("u", F.col("m").alias("v")))
+        edges = cut(near.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

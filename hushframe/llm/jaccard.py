@@ -13,7 +13,6 @@ a group are linked already and are never looked at again.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,15 +24,17 @@ from pyspark.sql import functions as F
 from .common import cut, release, steps, table
 from .exact_dedup import one_each, repeats
 from .graph import components, look_up
-from .slots import bucket_count, drop_rows, in_map, mixed_bits, slot_map, wanted_map
+from .slots import WANTED_BITS, bucket_count, drop_rows, in_map, mixed_bits, slot_map, wanted_map, whole
 
 WORDS = 5
 #: Two sets link when SCALE * overlap >= LEAST * union.
 LEAST, SCALE = 75, 100
 #: Members of a block of the matrix, and requests that are answered together.
 BLOCK = 128
+#: Shingles of all requests that are answered together: 8 bytes each.
+LOT = 1 << 20
 #: Rounds in which one node of each group is compared with one of another, before all others are.
-ROUNDS = 2
+ROUNDS = 1
 #: Shingle hashes that a task gathers before it counts and sends them.
 GATHER = 1 << 21
 #: Slots of the map from shingles to their commonness, half a byte each: 32 MB, whatever the input.
@@ -125,7 +126,7 @@ def nodes(docs: DataFrame, words: int, seed: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", sha).mapInArrow(run, "doc_id long, n long, node long, check long, sha string")
 
 
-def levels(docs: DataFrame, words: int) -> bytes:
+def levels(docs: DataFrame, words: int) -> list[tuple[int, bytes]]:
     """The commonness of shingles by their first LEVEL_BITS bits, half a byte each, counted over all documents.
 
     0: only one document has it. Else 1 and the binary logarithm of the number of unlike documents that have it, 15 at
@@ -199,7 +200,7 @@ def postings(docs: DataFrame, words: int, seed: int, level_map) -> DataFrame:
     """token, node, n, rest: the early shingles of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(zlib.decompress(level_map.value), np.uint8)
+        known = whole(level_map.value, 1 << (LEVEL_BITS - 1))
         for batch in steps(batches):
             own = {}
             for s in shingle_sets(batch.column(0), words):
@@ -221,7 +222,7 @@ def sets_of(docs: DataFrame, bits, words: int, seed: int) -> DataFrame:
     """node, shingles (64-bit hashes, sorted) of the wanted nodes (and of few others), each once, made again from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(bits.value, np.uint8)
+        known = whole(bits.value, 1 << (WANTED_BITS - 3))
         for batch in steps(batches):
             own = {}
             for s in shingle_sets(batch.column(0), words):
@@ -258,20 +259,21 @@ def answers(ask: list[np.ndarray], members: list[np.ndarray]) -> Iterator[tuple[
 
 
 def open_blocks(docs: DataFrame, requests: DataFrame, blocks: DataFrame, words: int, seed: int) -> DataFrame:
-    """a, b: links between the nodes that ask (requests: node, block) and the blocks' members (blocks: block, node).
+    """a, b: links between the nodes that ask (requests: node, n, block) and the blocks' members (blocks: block, node).
 
-    Requests for one block are dealt to lots of at most a few hundred, and the block goes to each of them.
+    Requests for one block are dealt to lots by their number and by the size of their sets, and the block goes to each
+    of them; a task gets lots of a bounded sum of sizes.
     """
     bits = docs.sparkSession.sparkContext.broadcast(wanted_map(requests.select("node").unionByName(blocks.select("node"))))
     sets = cut(sets_of(docs, bits, words, seed))
     bits.destroy()
-    asked = requests.groupBy("block").agg(F.count(F.lit(1)).alias("asked"))
-    lots = F.ceil(F.col("asked") / (4 * BLOCK)).cast("int")
-    total = asked.agg(F.sum("asked")).first()[0] or 0
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 4000)
+    asked = cut(requests.groupBy("block").agg(F.count(F.lit(1)).alias("asked"), F.sum("n").alias("size")))
+    lots = F.ceil(F.greatest(F.col("asked") / (4 * BLOCK), F.col("size") / LOT)).cast("int")
+    total = asked.agg(F.sum("size")).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // LOT)
     deal = F.pmod(F.xxhash64("block", "lot"), F.lit(tasks)).cast("int")
     left = (
-        look_up(requests, asked, "block", "asked")
+        look_up(requests.select("node", "block"), asked, "block", "asked")
         .withColumn("lot", F.pmod(F.xxhash64("node"), lots).cast("int"))
         .join(sets, "node").select(deal.alias("asked_task"), *(F.col(c).alias(f"asked_{c}") for c in ("block", "lot", "node", "shingles")))
     )
@@ -304,7 +306,7 @@ def open_blocks(docs: DataFrame, requests: DataFrame, blocks: DataFrame, words:
 def links(docs: DataFrame, words: int = WORDS, seed: int = 1) -> DataFrame:
     """node, component of all nodes that link with another; the components are those of all links."""
     spark = docs.sparkSession
-    level_map = spark.sparkContext.broadcast(zlib.compress(levels(docs, words), 1))
+    level_map = spark.sparkContext.broadcast(levels(docs, words))
     posts = cut(postings(docs, words, seed, level_map))
 
     level_map.destroy()
@@ -318,7 +320,7 @@ def links(docs: DataFrame, words: int = WORDS, seed: int = 1) -> DataFrame:
         ones = placed.groupBy("token", "component").agg(pick.alias("one"))
         heads = ones.groupBy("token").agg(F.min(F.struct("component", "one")).alias("head"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
         stars = ones.join(heads, "token").where((F.col("component") != F.col("head.component")) & may_link("one.n", "one.rest", "head.one.n", "head.one.rest"))
-        stars = cut(stars.select("one.node", F.col("head.one.node").alias("block")).distinct())
+        stars = cut(stars.select("one.node", "one.n", F.col("head.one.node").alias("block")).distinct())
         new = open_blocks(docs, stars, stars.select("block", F.col("block").alias("node")).distinct(), words, seed)
         found = found.unionByName(new) if found else new
         group = grown(group, new)
@@ -327,21 +329,38 @@ def links(docs: DataFrame, words: int = WORDS, seed: int = 1) -> DataFrame:
         posts = None
         release(spark)
 
-    sizes = group.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    lot = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK))
-    blocked = look_up(group, sizes, "component", "members").select("node", F.xxhash64("component", lot).alias("block"))
-    placed = placed.join(blocked, "node", "left").withColumn("block", F.coalesce("block", F.xxhash64("node", F.lit(0).cast("long"))))
-    placed = cut(placed)
-    matrix = placed.groupBy("token", "component", "block").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("rest").alias("most_rest"))
-    matrix = matrix.withColumnsRenamed({"component": "other", "block": "asked_block"})
+    blocked = cut(blocks(placed, group))
+    asking = placed.join(blocked, "node")
+    matrix = asking.groupBy("token", "part", "block").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("rest").alias("most_rest"))
+    matrix = matrix.withColumnsRenamed({"part": "other", "block": "asked_block"})
     fitting = F.greatest(F.col("least_n"), F.ceil(F.col("n") * LEAST / SCALE))  # the smallest that a member of use can be
     could = (F.col("most_n") >= fitting) & may_link("n", "rest", fitting, "most_rest")
-    # Of two groups the one with the larger number is asked, so no pair is looked at twice.
-    requests = cut(placed.join(matrix, "token").where((F.col("component") < F.col("other")) & could).select("node", F.col("asked_block").alias("block")).distinct())
-    members = blocked.unionByName(placed.select("node", "block")).distinct().join(requests.select("block").distinct(), "block", "left_semi")
+    # Of two parts the one with the larger number is asked, and in a part of several groups later blocks by earlier ones.
+    apart = (F.col("part") < F.col("other")) | ((F.col("part") == F.col("other")) & F.col("several") & (F.col("block") <= F.col("asked_block")))
+    requests = cut(asking.join(matrix, "token").where(apart & could).select("node", "n", F.col("asked_block").alias("block")).distinct())
+    members = blocked.select("node", "block").join(requests.select("block").distinct(), "block", "left_semi")
     return merged(group, found.unionByName(open_blocks(docs, requests, cut(members), words, seed)))
 
 
+def blocks(placed: DataFrame, group: DataFrame) -> DataFrame:
+    """node, part, several, block of all nodes in `group` and `placed`: blocks of about BLOCK nodes at most.
+
+    A group of BLOCK nodes or more is a part of its own, dealt to blocks by hash. Nodes of smaller groups and of none are
+    put with those that share the commonest of their early shingles, so that many texts that share a passage and yet
+    don't link fill few blocks: a shingle of k nodes then meets some k / BLOCK blocks, not k nodes.
+    """
+    sizes = group.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    large = sizes.where(F.col("members") >= BLOCK)
+    lot = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK))
+    own = look_up(group, large, "component", "members").select("node", F.col("component").alias("part"), F.lit(False).alias("several"), F.xxhash64("component", lot).alias("block"))
+    common = placed.groupBy("token").agg(F.count(F.lit(1)).alias("nodes"))
+    rest = placed.select("token", "node").join(own.select("node"), "node", "left_anti").join(common, "token")
+    rest = cut(rest.groupBy("node").agg(F.max(F.struct("nodes", "token")).alias("most")).select("node", F.col("most.token").alias("token")))
+    near = rest.groupBy("token").agg(F.count(F.lit(1)).alias("members"))
+    near = look_up(rest, near, "token", "members").select("node", F.xxhash64("token").alias("part"), F.lit(True).alias("several"), F.xxhash64("token", lot).alias("block"))
+    return own.unionByName(near)
+
+
 def may_link(n, rest, other_n, other_rest) -> Column:
     """Whether sets of these sizes can link if a shingle with these rests is the first that they share.
 

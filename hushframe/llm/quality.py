@@ -417,7 +417,7 @@ def scores(docs: DataFrame, model: DataFrame) -> DataFrame:
     total = None
     for turn in range(TURNS):
         part = totals(summed_parts(model_parts(model.select("gram", "p0", "p1"), turn, bits).unionByName(document_parts(texts, turn, bits))))
-        part = cut(part.groupBy("key").agg((F.sum("total") / F.sum("copies")).alias("total")))
+        part = cut(part.groupBy("key").agg((F.sum("total") / F.sum("copies")).alias("total")), free=True)
         total = part if total is None else total.unionByName(part)
     total = total.groupBy("key").agg(F.sum("total").alias("total"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), key_of(), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))
@@ -458,9 +458,9 @@ def train(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long"), "text").withColumn("number", F.xxhash64("doc_id"))
     likely = may_have(rows, "number", bits, "may").where("may").select("doc_id", "text")
     texts = likely.hint("merge").join(trusted, "doc_id", "left_semi").select("text", F.lit(0).alias("key"), half_of())
-    counts = cut(trusted_counts(texts))
+    counts = cut(trusted_counts(texts), free=True)
     bits.destroy()
-    return probabilities(counts, cut(wanted_grams(docs.select("text", key_of(), half_of()))))
+    return probabilities(counts, cut(wanted_grams(docs.select("text", key_of(), half_of())), free=True))
 
 
 def kept_by(bits: Column, n: Column, lower: Column, upper: Column) -> Column:

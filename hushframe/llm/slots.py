@@ -6,9 +6,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from .common import cut, fresh
 
@@ -23,8 +25,8 @@ def mixed_bits(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def slot_map(blobs: DataFrame, buckets: int, slots: int, fill) -> bytes:
-    """Bytes of a map of fixed size, made by bucket: fill(bucket, [blob, ...]) gives the bucket's part.
+def slot_map(blobs: DataFrame, buckets: int, slots: int, fill) -> list[tuple[int, bytes]]:
+    """A map of fixed size, made by bucket: fill(bucket, [blob, ...]) gives the bucket's part. See `whole`.
 
     blobs: bucket int, data binary. The parts' sum is fixed, so gathering them is bounded.
     """
@@ -43,10 +45,17 @@ def slot_map(blobs: DataFrame, buckets: int, slots: int, fill) -> bytes:
 
     schema = pa.schema([("bucket", pa.int32()), ("part", pa.binary())])
     parts = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, part binary")
-    whole, each = bytearray(slots), slots // buckets
-    for row in parts.collect():
-        whole[row["bucket"] * each : (row["bucket"] + 1) * each] = zlib.decompress(row["part"])
-    return bytes(whole)
+    each = slots // buckets
+    return [(row["bucket"] * each, bytes(row["part"])) for row in parts.toLocalIterator()]
+
+
+def whole(parts: list[tuple[int, bytes]], slots: int) -> np.ndarray:
+    """The map's bytes, put together where it is used; the driver holds compressed parts only."""
+    out = np.zeros(slots, np.uint8)
+    for at, part in parts:
+        own = np.frombuffer(zlib.decompress(part), np.uint8)
+        out[at : at + len(own)] = own
+    return out
 
 
 def bucket_count(spark: SparkSession) -> int:
@@ -55,7 +64,7 @@ def bucket_count(spark: SparkSession) -> int:
     return 1 << max(4, min(16, n.bit_length()))
 
 
-def wanted_map(wanted: DataFrame) -> bytes:
+def wanted_map(wanted: DataFrame) -> list[tuple[int, bytes]]:
     """A bit for each number in the one column of `wanted` (long), by its hash; other numbers may share it."""
     buckets = bucket_count(wanted.sparkSession)
     each = (1 << WANTED_BITS) // buckets
@@ -92,13 +101,12 @@ def in_map(known: np.ndarray, numbers: np.ndarray) -> np.ndarray:
 
 def may_have(rows: DataFrame, number: str, bits, name: str) -> DataFrame:
     """`rows` with the column `name`: whether the number (long, not null) may be in the broadcast map."""
-    from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("boolean")
-    def may(numbers):
-        import pandas as pd
-
-        return pd.Series(in_map(np.frombuffer(bits.value, np.uint8), numbers.to_numpy(np.int64)))
+    def may(every: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = whole(bits.value, 1 << (WANTED_BITS - 3))
+        for numbers in every:
+            yield pd.Series(in_map(known, numbers.to_numpy(np.int64)))
 
     return rows.withColumn(name, may(number))
 
