@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import table
 
 ASSISTANT = "assistant"
 TEXT_ESCAPES = (("%", "%25"), ("<", "%3C"))
+#: Elements of which the sums are taken one by one.
+CHUNK = 128
 ROLE_ESCAPES = (*TEXT_ESCAPES, ("|", "%7C"), (">", "%3E"))
 
 
@@ -31,31 +32,44 @@ def unescape(value: Column, pairs=TEXT_ESCAPES) -> Column:
     return value
 
 
+def running_sum(sizes: Column) -> Column:
+    """The sums of an array (long) up to each element, in blocks, so that n elements take some n * CHUNK / 2 steps."""
+    add = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda x, y: x + y)
+    many = F.size(sizes)
+    chunks = F.when(many > 0, F.sequence(F.lit(0), F.floor((many - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    own = lambda c: F.slice(sizes, c * CHUNK + 1, F.lit(CHUNK))
+    whole = F.transform(chunks, lambda c: add(own(c)))
+    each = lambda c: F.transform(F.sequence(F.lit(1), F.size(own(c))), lambda k: add(F.slice(own(c), F.lit(1), k)))
+    before = F.transform(chunks, lambda c: add(F.slice(whole, F.lit(1), c)))
+    return F.flatten(F.zip_with(before, F.transform(chunks, each), lambda b, xs: F.transform(xs, lambda x: x + b)))
+
+
 def format_chat(turns: DataFrame) -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_spans (array of struct start, length; bytes, in order).
 
-    `turns` has conv_id, turn, role, text; others play no part. Turns go by turn, then role, then text, nulls first;
-    rows that repeat are turns each. A null role or text counts as empty, a null conv_id as one conversation.
+    A conversation's turns are collected and sorted as structs, adjacent ones of one role merged into blocks with array
+    functions, and the blocks concatenated. `turns` has conv_id, turn, role, text; other columns, whatever their names,
+    play no part. Turns go by turn, then role, then text, nulls first; rows that repeat are turns each. A null role or
+    text counts as empty, a null conv_id as one conversation; texts may be of any length that a row can hold. An empty
+    table gives an empty result.
     """
-    plain = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    role = escape(F.col("role"), ROLE_ESCAPES)
-    before = F.lag("role").over(order)
-    mark = (
-        F.when(before.isNull(), F.concat(F.lit("<|="), role, F.lit("|>")))
-        .when(before == F.col("role"), F.concat(F.lit("<|+"), role, F.lit("|>")))
-        .otherwise(F.concat(F.lit("<|.|><|="), role, F.lit("|>")))
-    )
-    marked = plain.select("conv_id", F.row_number().over(order).alias("i"), mark.alias("mark"), escape(F.col("text")).alias("body"), (F.col("role") == ASSISTANT).alias("loss"))
-    sofar = Window.partitionBy("conv_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    placed = marked.withColumn("end", F.sum(F.octet_length("mark") + F.octet_length("body")).over(sofar))
-    span = F.struct("i", F.concat("mark", "body").alias("piece"), (F.col("end") - F.octet_length("body")).cast("int").alias("start"), F.octet_length("body").alias("length"), "loss")
-    sorted_turns = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(span)).alias("turns"))
-    return sorted_turns.select(
-        "conv_id",
-        F.concat(F.array_join(F.transform("turns", lambda t: t["piece"]), ""), F.lit("<|.|>")).alias("formatted"),
-        F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length"))).alias("loss_spans"),
-    )
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    sorted_turns = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", role.alias("role"), text.alias("text")))).alias("turns"))
+    t = lambda i: F.get("turns", i)["role"]
+    places = F.sequence(F.lit(0), F.size("turns") - 1)
+    marked = sorted_turns.withColumn("firsts", F.filter(places, lambda i: (i == 0) | (t(i) != t(i - 1))))
+    block = lambda first, n: F.struct(
+        escape(t(first), ROLE_ESCAPES).alias("role"), (t(first) == ASSISTANT).alias("loss"),
+        F.transform(F.slice("turns", first + 1, F.coalesce(F.get("firsts", n + 1), F.size("turns")) - first), lambda x: escape(x["text"])).alias("bodies"),
+    )
+    merged = marked.select("conv_id", F.transform("firsts", block).alias("blocks"))
+    said = F.transform("blocks", lambda b: F.concat(F.lit("<|="), b["role"], F.lit("|>"), F.call_function("array_join", b["bodies"], F.concat(F.lit("<|+"), b["role"], F.lit("|>"))), F.lit("<|.|>")))
+    # Each body stands behind a mark of five signs and the role; the end of the block before has five signs too.
+    size = lambda b, n: F.transform(b["bodies"], lambda x, k: F.struct((F.octet_length(x) + F.octet_length(b["role"]) + 5 + F.when((k == 0) & (n > 0), 5).otherwise(0)).cast("long").alias("all"), F.octet_length(x).alias("own"), b["loss"].alias("loss")))
+    sized = merged.select("conv_id", F.array_join(said, "").alias("formatted"), F.flatten(F.transform("blocks", size)).alias("sizes"))
+    placed = sized.withColumn("ends", running_sum(F.transform("sizes", lambda x: x["all"])))
+    spans = F.zip_with("sizes", "ends", lambda x, end: F.struct((end - x["own"]).cast("int").alias("start"), x["own"].alias("length"), x["loss"].alias("loss")))
+    return placed.select("conv_id", "formatted", F.transform(F.filter(spans, lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))).alias("loss_spans"))
 
 
 def read_chat(formatted: DataFrame) -> DataFrame:

@@ -59,6 +59,18 @@ def test_chat(spark):
     assert chat.format_chat(df.where("false")).count() == 0
 
 
+def test_chat_of_many_turns(spark):
+    """The loss mask's places over several blocks of sums; extra columns with names of the plan's own."""
+    rows = [(1, t, "user" if t % 3 == 0 else "assistant", f"é{t}", "x", 1) for t in range(700)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns string, firsts int")
+    (r,) = chat.format_chat(df).collect()
+    data = r.formatted.encode()
+    assert [data[s.start : s.start + s.length].decode() for s in r.loss_spans] == [x[3] for x in rows if x[2] == "assistant"]
+    assert r.formatted.startswith("<|=user|>é0<|.|><|=assistant|>é1<|+assistant|>é2<|.|><|=user|>é3")
+    plan = chat.digest(chat.format_chat(df))._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Python" not in plan
+
+
 @pytest.mark.parametrize("name", list(queries.SQL))
 def test_same_rows_as_sql(spark, name):
     import duckdb
