@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from hushframe.llm import exact_dedup, graph, jaccard, packing, pieces, pii, quality, secrets, sharding
 
@@ -190,15 +191,55 @@ def test_sharding(docs, rows, empty):
     assert sharding.shards_by_bytes(empty).count() == 0
 
 
+def brute_best_fit(sizes, capacity):
+    """The bin of each item, one after the other, by looking through all bins."""
+    left, bins = [], {}
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        room = [(r, b) for b, r in enumerate(left) if r >= sizes[i]]
+        b = min(room)[1] if room else len(left)
+        if not room:
+            left.append(max(capacity, sizes[i]))
+        left[b] -= sizes[i]
+        bins[i] = b
+    return sorted((sizes[i], b) for i, b in bins.items())
+
+
 def test_best_fit_decreasing():
-    assert sharding.best_fit_decreasing([5, 4, 3, 2], 7) == [0, 1, 1, 0]
     rng = random.Random(4)
-    sizes = [rng.randint(1, 90) for _ in range(300)]
-    sums = Counter()
-    for b, s in zip(sharding.near_equal(sizes, 7), sizes, strict=True):
-        sums[b] += s
-    assert len(sums) == 7 and max(sums.values()) <= 1.01 * sum(sizes) / 7
-    assert sharding.near_equal([100, 1, 1, 1, 1], 3)[0] not in sharding.near_equal([100, 1, 1, 1, 1], 3)[1:]
+    for capacity in (100, 250):
+        sizes = [rng.choice([1, 7, 30, 31, rng.randint(1, 120)]) for _ in range(300)]
+        counts = sorted(Counter(sizes).items())
+        made = sharding.best_fit_decreasing(counts, capacity)
+        assert sorted((counts[i][0], b) for i, k, b in made for _ in range(k)) == brute_best_fit(sizes, capacity)
+    assert sharding.best_fit_decreasing([(5, 4)], 10, most=1) is None
+
+
+def test_near_equal_bins():
+    rng = random.Random(4)
+    sizes = [(rng.randint(1, 90), rng.randint(1, 9)) for _ in range(100)]
+    made = sharding.near_equal(sizes, 7)
+    held, sums = Counter(), Counter()
+    for i, k, b in made:
+        held[i] += k
+        sums[b] += k * sizes[i][0]
+    assert [held[i] for i in range(100)] == [k for _, k in sizes] and set(sums) == set(range(7))
+    assert max(sums.values()) <= 1.001 * sum(s * k for s, k in sizes) / 7 + 1
+    assert {b for i, _, b in sharding.near_equal([(100, 1), (1, 4)], 3) if i == 0} == {0}
+    assert sharding.near_equal([], 3) == [] and sharding.near_equal([(100, 2)], 1) == [(0, 2, 0)]
+    assert Counter(b for _, k, b in sharding.near_equal([(10, 5)], 3) for _ in range(k)) == {0: 2, 1: 2, 2: 1}
+
+
+def test_size_classes(spark):
+    sizes = [8, 9, 32767, 32768, 32769, 65535, 65536, 10**12 + 1]
+    got = [r.c for r in spark.createDataFrame([(x,) for x in sizes], "x long").select(sharding.size_class(F.col("x")).alias("c")).collect()]
+    assert got == [x >> d << d for x in sizes for d in [max(0, x.bit_length() - sharding.EXACT)]]
+
+
+def test_writing_shards(spark, docs, tmp_path):
+    sharding.write_shards(docs.withColumn("key", F.lit(1)), str(tmp_path / "s"), 3)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert Counter(tuple(r)[:5] for r in back.select(*docs.columns).collect()) == Counter(map(tuple, docs.collect()))
+    assert back.groupBy(F.coalesce("text", F.lit(""))).agg(F.count_distinct("shard").alias("n")).where("n > 1").isEmpty()
 
 
 def test_pii(docs, rows, empty):
