@@ -2,7 +2,7 @@
 
 Vectors are cut into pairs of components, each coded by one of 16 centres, four bits. Centres and codes minimise a loss
 that weighs the part of the residual that is parallel to the vector more than the rest, since it is that part which
-changes large inner products. Queries and vectors meet in tiles of bounded size: two codes make a byte, a table of 256
+changes large inner products. Vectors stay in place and are scanned tile by tile: two codes make a byte, a table of 256
 partial sums a byte is looked up and added, and the best by table are ranked by the exact inner product.
 """
 
@@ -22,8 +22,10 @@ NEIGHBOURS = 20
 #: Vectors on which centres are fitted; all vectors are coded and searched.
 SAMPLE = 16_384
 CENTRES, WIDTH = 16, 2
-#: Vectors and queries of a tile, and how many different vectors of a tile are ranked exactly for a query.
-TILE_VECTORS, TILE_QUERIES, RANKED = 16_384, 1024, 256
+#: Vectors of a tile, and how many different vectors of a tile are ranked exactly for a query.
+TILE_VECTORS, RANKED = 16_384, 256
+#: Bytes of the queries that go to all tasks at a time.
+QUERY_BYTES = 16 << 20
 #: Inner products from this share of the largest upwards count in the loss.
 THRESHOLD = 0.2
 
@@ -122,59 +124,119 @@ def best_of_tile(qid, queries, ids, vectors, packed, centres, k: int, ranked: in
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (array of float): rows that take part, those of the most common length (the longest of several)."""
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("v")).where("vec_id is not null and v is not null")
+    """vec_id, v: rows that take part, those of the most common length (the longest of several), each once; v is an array
+    of float if the column is one, else of double."""
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{kind}>").alias("v")).where("vec_id is not null and v is not null")
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(finite & F.exists("v", lambda x: x != 0))
     dim = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     return rows.where(F.size("v") == (dim["dim"] if dim else 0))
 
 
+def sampled(rows: DataFrame, n: int) -> list:
+    """Some SAMPLE different vectors of `rows` (v), those with the least hashes; all, if there are fewer.
+
+    Copies of one vector have one hash, so a sample by hash may miss them all: a larger share is tried then.
+    """
+    share = 1.0 if n <= SAMPLE else SAMPLE / n
+    while True:
+        some = rows.select("v").where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).distinct()
+        found = some.limit(4 * SAMPLE).collect()  # the sample's documented bound
+        if share >= 1 or len(found) >= SAMPLE // 4:
+            return found
+        share = min(1.0, share * 16)
+
+
+def merged_best(parts: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query_id, vec_id, score of each query's k best of all parts, ties to the smaller vec_id."""
+    q, v, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((v, -s, q))
+    q, v, s = q[order], v[order], s[order]
+    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return q[rank < k], v[rank < k], s[rank < k]
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, ranked: int = RANKED) -> DataFrame:
     """query_id, rank, vec_id, score of the k largest inner products found for each query, ties to the smaller vec_id.
 
-    `vectors` and `queries` have vec_id and embedding. A query's own vec_id is no candidate. Vectors that are null,
-    zero, of another length than most, or hold null or non-finite components take no part, and so with a null vec_id;
-    rows that repeat count once. With too few candidates all are returned; empty tables give an empty result.
+    `vectors` and `queries` have vec_id and embedding; other columns, whatever their names, play no part. A query's own
+    vec_id is no candidate. Vectors that are null, zero, of another length than most, or hold null or non-finite
+    components take no part, and so with a null vec_id; rows that repeat count once. With too few candidates all are
+    returned; empty tables give an empty result.
+
+    The index stays where it is: a bounded lot of queries goes to all tasks at a time, each scans its vectors in tiles
+    and keeps the k best of a query, and these few are merged.
     """
     spark = vectors.sparkSession
+    result = "query_id long, vec_id long, score double"
     rows = valid(vectors)
     n = rows.count()
-    share = min(1.0, SAMPLE / max(n, 1))
-    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").collect()  # about SAMPLE rows
-    result = "query_id long, vec_id long, score double"
+    sample = sampled(rows, n) if n else []
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    centres, weight = fit(np.unique(np.array([r["v"] for r in sample], np.float32), axis=0))  # copies must not draw centres
+    centres, weight = fit(np.unique(np.array([r["v"] for r in sample], np.float32), axis=0))
     dim = len(sample[0]["v"])
+    number = np.float32 if "float" in rows.schema["v"].dataType.elementType.typeName() else np.float64
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, dim).astype(np.float32)
-                codes = encode(x, centres, weight)
+                x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, dim)
+                codes = encode(x.astype(np.float32), centres, weight)
                 packed = codes[:, 0::2] | (codes[:, 1::2] << 4)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in packed], pa.binary())], names=["vec_id", "v", "code"])
 
-    index = cut(rows.mapInArrow(code, "vec_id long, v binary, code binary").distinct())
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // TILE_VECTORS))
+    index = cut(rows.mapInArrow(code, "vec_id long, v binary, code binary").repartition(tasks, "vec_id", "v").dropDuplicates(["vec_id", "v"]), free=True)
     own = valid(queries).where(F.size("v") == dim).select("vec_id", "v").distinct()
-    tiles, lots = -(-n // TILE_VECTORS), -(-max(1, own.count()) // TILE_QUERIES)
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = own.select(F.col("vec_id").alias("query_id"), "v", F.pmod(F.xxhash64("vec_id"), F.lit(lots)).cast("int").alias("lot")).withColumn("tile", every(tiles))
-    right = index.withColumn("held_tile", F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int")).withColumn("held_lot", every(lots))
-
-    def tile(asked: pa.Table, held: pa.Table) -> pa.Table:
-        if asked.num_rows and held.num_rows:
-            q = asked.column("v").combine_chunks().flatten().to_numpy().reshape(asked.num_rows, dim)
-            x = np.frombuffer(b"".join(held.column("v").to_pylist()), np.float32).reshape(held.num_rows, dim)
-            packed = np.frombuffer(b"".join(held.column("code").to_pylist()), np.uint8).reshape(held.num_rows, -1)
-            made = list(best_of_tile(asked.column("query_id").to_numpy(), q, held.column("vec_id").to_numpy(), x, packed, centres, k, ranked))
-            return pa.table([np.concatenate(c) for c in zip(*made, strict=True)], names=["query_id", "vec_id", "score"])
-        return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-
-    found = left.groupBy("tile", "lot").cogroup(right.groupBy("held_tile", "held_lot")).applyInArrow(tile, result)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    own = cut(own)
+    lots = -(-max(1, own.count()) * dim * 8 // QUERY_BYTES)
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, n = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, TILE_VECTORS):
+                part = batch.slice(at, TILE_VECTORS)
+                if held and n + part.num_rows > TILE_VECTORS:
+                    yield pa.Table.from_batches(held)
+                    held, n = [], 0
+                held.append(part)
+                n += part.num_rows
+        if n:
+            yield pa.Table.from_batches(held)
+
+    def scanned(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qid, q = shared.value
+            best: list[tuple] = []
+            for tile in tiles(batches):
+                x = np.frombuffer(b"".join(tile.column("v").to_pylist()), number).reshape(tile.num_rows, dim)
+                packed = np.frombuffer(b"".join(tile.column("code").to_pylist()), np.uint8).reshape(tile.num_rows, -1)
+                best = [merged_best(best + list(best_of_tile(qid, q, tile.column("vec_id").to_numpy(), x, packed, centres, k, ranked)), k)]
+            for found in best:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
+
+        return run
+
+    found = None
+    for lot in range(lots):
+        asked = own.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(lots)) == lot).orderBy("vec_id", "v").toArrow()  # some QUERY_BYTES of vectors
+        if not asked.num_rows:
+            continue
+        q = asked.column("v").combine_chunks().flatten().to_numpy().reshape(asked.num_rows, dim)
+        shared = spark.sparkContext.broadcast((asked.column("vec_id").to_numpy(), q))
+        part = index.mapInArrow(scanned(shared), result)
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        part = part.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if lots > 1:
+            part = cut(part)
+            shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return found
 
 
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,53 @@ def test_search(spark):
     assert search.search(few.where("false"), few).count() == 0
 
 
+def brute_search(rows, queries, k=20):
+    """(query_id, rank, vec_id, score) by all inner products in double precision."""
+    out = []
+    for q, x in queries:
+        found = sorted((-float(np.dot(np.array(x, float), np.array(v, float))), i) for i, v in rows if i != q)[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    return out
+
+
+def test_search_of_few_different_vectors(spark):
+    """Rows that repeat three vectors, more of them than a sample has; the sample's hashes may miss all three."""
+    df = spark.range(60_000).selectExpr("id as vec_id", "array(float(id % 3), 1.0F, 2.0F) as embedding")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in search.search(df, df.where("vec_id in (0, 20)")).collect()]
+    want = {0: (list(range(1, 21)), 5.0), 20: ([i for i in range(2, 200, 3) if i != 20][:20], 9.0)}
+    assert sorted(got) == [(q, n + 1, i, score) for q, (ids, score) in want.items() for n, i in enumerate(ids)]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_search_with_lots_of_queries(spark, monkeypatch, kind):
+    """Several lots and tiles; scores are those of the original vectors."""
+    monkeypatch.setattr(search, "QUERY_BYTES", 8 * 5 * 3)
+    monkeypatch.setattr(search, "TILE_VECTORS", 16)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(60)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(3)
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    got = sorted(map(tuple, search.search(df, df.where("vec_id % 7 = 0")).collect()))
+    want = sorted(brute_search(rows, [x for x in rows if x[0] % 7 == 0]))
+    assert [x[:3] for x in got] == [x[:3] for x in want] and all(abs(a[3] - b[3]) < 1e-12 for a, b in zip(got, want, strict=True))
+
+
+def test_recall_with_many_more_vectors_than_are_ranked():
+    """One tile as large as production's, with the production number of exactly ranked vectors."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(search.TILE_VECTORS, 64)).astype(np.float32)
+    centres, weight = search.fit(x[: search.SAMPLE // 4], rounds=3)
+    codes = search.encode(x, centres, weight)
+    q = np.arange(0, 1600, 20)
+    found = list(search.best_of_tile(q, x[q], np.arange(len(x)), x, codes[:, 0::2] | (codes[:, 1::2] << 4), centres, 20, search.RANKED))
+    hit = 0
+    for i, (_, v, _) in zip(q, found, strict=True):
+        score = x.astype(float) @ x[i].astype(float)
+        score[i] = -np.inf
+        hit += len(set(np.argsort(-score)[:20]) & set(v))
+    assert hit / (20 * len(q)) >= 0.9
+
+
 def test_codes_lower_the_weighted_loss():
     x = np.random.default_rng(1).normal(size=(1000, 64)).astype(np.float32)
     centres, weight = search.fit(x)
