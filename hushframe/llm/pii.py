@@ -13,6 +13,7 @@ import hashlib
 import math
 import random
 import re
+import string
 from bisect import bisect_left
 
 import numpy as np
@@ -28,6 +29,12 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+# The same patterns in parts that read a text once, however long its runs of letters or digits are: an address is looked
+# for around each at sign, a number from the beginning of its run of digits, from which any match must start.
+_LOCAL = string.ascii_letters + string.digits + "._%+-"
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+_QUAD = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+
 LONGEST = 14
 #: Characters around a digit or an at sign that the model reads.
 REACH = 48
@@ -59,14 +66,24 @@ def is_octet(part: str) -> bool:
     return len(part) < 3 or len(part) == 3 and part <= "255"
 
 
+def addresses(text: str):
+    """(start, end) of what EMAIL finds."""
+    before, last, at = 0, 0, text.find("@")
+    while at >= 0:
+        begin = max(before, last)
+        start = begin + len(text[begin:at].rstrip(_LOCAL))
+        if start < at and (m := _DOMAIN.match(text, at)):
+            last = m.end()
+            yield start, last
+        before, at = at + 1, text.find("@", at + 1)
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the fixed patterns: leftmost, not overlapping within a kind, in the order of the kinds."""
-    out = []
-    if "@" in text:
-        out += [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out = [("email", s, e) for s, e in addresses(text)]
     if _DIGIT.search(text):
         if "." in text:
-            out += [("ip", *m.span()) for m in IP.finditer(text) if all(map(is_octet, m[0].split(".")))]
+            out += [("ip", *m.span()) for m in _QUAD.finditer(text) if all(map(is_octet, m[0].split(".")))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 16 and 16 <= len(d := digits_of(m[0])) <= 19 and luhn(d):
                 out.append(("card", *m.span()))
@@ -276,8 +293,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Spans are kind:start:end in code points, end exclusive, comma-joined by kind and start. Counts and the digest are
-    of the fixed patterns; `spans` has theirs and the model's. A null text counts as empty, with no spans. Rows that
-    repeat get a row each; an empty table gives an empty result; other columns play no part.
+    of the fixed patterns; `spans` has theirs and the model's. A null text counts as empty, with no spans; a text of any
+    length is read whole, in time linear in it. Rows that repeat, or have no doc_id, get a row each; an empty table gives
+    an empty result; other columns, whatever their names, play no part.
     """
     weights = trained()
 
@@ -305,8 +323,9 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
-    """`docs` with the spans in `text` replaced by <EMAIL>, <IP>, <CARD>, <PHONE>; other columns stay, and n_chars,
-    if there is one, is that of the new text."""
+    """`docs` with the spans in `text` replaced by <EMAIL>, <IP>, <CARD>, <PHONE>; other columns stay, whatever their
+    names, and n_chars, if there is one, is that of the new text. Null and empty texts stay as they are; rows that repeat
+    are masked each; an empty table stays empty."""
     weights = trained()
     from pyspark.sql.functions import pandas_udf
 

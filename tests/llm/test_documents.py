@@ -257,6 +257,63 @@ def test_pii_base_spans():
     assert not pii.is_octet("9" * 5000)
 
 
+def odd_text(rng):
+    """Bits of addresses, numbers and keys side by side, with what may stand between them."""
+    bits = ["a", "b.c", "_", "@", "@x.y", "@x", ".", "-", "+", " ", "\n", "é", "1", "12", "255", "256", "1.2.3.4", "4111111111111111", "4111 1111 1111 1111", "+1 (555) 555-0100", "secret", "Token", "api_key", "=", ": ", "'", '"', "hunter22", "AKIA", "ABCDEFGHIJKLMNOPQ", "0123456789abcdef", "deadbeef"]
+    return "".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))
+
+
+def test_base_spans_are_those_of_the_patterns():
+    """Against the patterns as they are given, tried at each place in turn."""
+    rng = random.Random(12)
+
+    def leftmost(pattern, text):
+        at = 0
+        while m := pattern.search(text, at):
+            yield m
+            at = m.end()
+
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    odd = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    assign = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    for _ in range(4000):
+        text = odd_text(rng)
+        want = [("email", *m.span()) for m in leftmost(pii.EMAIL, text)]
+        want += [("ip", *m.span()) for m in leftmost(pii.IP, text) if all(int(p) <= 255 for p in m[0].split("."))]
+        want += [("card", *m.span()) for m in leftmost(pii.CARD, text) if 16 <= len(digits(m[0])) <= 19 and odd(digits(m[0]))]
+        want += [("phone", *m.span()) for m in leftmost(pii.PHONE, text) if 8 <= len(digits(m[0])) <= 15]
+        assert pii.base_spans(text) == want, text
+        want = [("assign", *m.span()) for m in leftmost(assign, text) if len(m[2]) >= 6]
+        want += [("access", *m.span()) for m in leftmost(re.compile("AKIA[A-Z0-9]+"), text) if len(m[0]) >= 20]
+        want += [("hex", *m.span()) for m in leftmost(re.compile("[0-9a-f]+"), text) if len(m[0]) >= 24]
+        assert secrets.base_spans(text) == sorted(want, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0]))), text
+
+
+@pytest.mark.parametrize("made", [lambda n: "@" + "a" * n, lambda n: "." + "1" * n, lambda n: "a" * n + "@", lambda n: "a@" * (n // 2), lambda n: "1." * (n // 2) + ".", lambda n: "1" * n])
+def test_base_spans_take_linear_time(made):
+    import time
+
+    began = time.process_time()
+    pii.base_spans(made(1_000_000))
+    assert time.process_time() - began < 3
+
+
+def test_queries_of_spans_against_the_patterns(spark, tmp_path):
+    """The registered queries on a table of their own, row by row."""
+    rng = random.Random(3)
+    rows = [(i if i else None, odd_text(rng), "x") for i in range(60)] + [(60, None, "x"), (61, "", "x"), (5, odd_text(rng), "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, spans string").write.parquet(str(tmp_path / "documents.parquet"))
+    for module, query, kinds in ((pii, pii.op5_pii, pii.KINDS), (secrets, secrets.op6_secret_scans, secrets.KINDS[:3])):
+        want = Counter()
+        for i, t, _ in rows:
+            base = module.base_spans(t or "")
+            want[(i, *(sum(s[0] == k for s in base) for k in kinds), hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest())] += 1
+        got = query(spark, str(tmp_path)).collect()
+        assert Counter(tuple(r)[:-1] for r in got) == want
+        for r in got:
+            assert sum(x.split(":")[0] in kinds for x in r.spans.split(",")) >= sum(tuple(r)[1 : 1 + len(kinds)])
+
+
 def test_pii_model_on_held_out_sentences():
     rng, weights = random.Random(99), pii.trained()
     right = wrong = missed = 0
