@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -36,12 +37,8 @@ def cut(df: DataFrame, free: bool = False) -> DataFrame:
     collects its garbage. Where the session names no folder, one in the working folder is taken and left for later
     sessions to reuse; on a cluster that is an error, as a folder of one machine can't be read by the others.
     """
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        sc.setCheckpointDir(folder or os.path.abspath(".checkpoints"))
+    spark = df.sparkSession
+    shared_folder(spark)
     kept = df.checkpoint(eager=True)
     if free:
         del df
@@ -49,6 +46,25 @@ def cut(df: DataFrame, free: bool = False) -> DataFrame:
     return kept
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of this session's checkpoints, in the one that spark.checkpoint.dir names."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(folder or os.path.abspath(".checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df`, written as Parquet to a new folder of the shared one and read again."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    release(df.sparkSession)
+    return df.sparkSession.read.parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark remove shuffle, checkpoint and broadcast files to which nothing refers any more."""
     gc.collect()

@@ -1,8 +1,9 @@
 """Encoding and decoding with the pieces of a SentencePiece model: Aho-Corasick and one Viterbi pass.
 
 An automaton over all pieces reads a text once; at each position its output links name the pieces that end there,
-longest first, and each relaxes the best score of the position. A character that no piece covers costs ten more than
-the worst piece and is written as its UTF-8 bytes' pieces.
+longest first, and each relaxes the best score of the position; of ways with one score the one that ends in the longest
+piece stays. A character that no piece covers costs ten more than the worst piece and is written as its UTF-8 bytes'
+pieces.
 """
 
 from __future__ import annotations
@@ -53,11 +54,13 @@ def fields(data: bytes):
 
 
 def read_model(path: str) -> list[tuple[str, float, int]]:
-    """(piece, score, kind) by id."""
+    """(piece, score, kind) by id. A model that asks for another normalisation than none is refused."""
     with open(path, "rb") as file:
         model = file.read()
     out = []
     for number, value in fields(model):
+        if number == 3 and dict(fields(value)).get(2):  # a table of replacements
+            raise ValueError(f"{path} normalises texts, which is not built")
         if number == 1:
             own = dict(fields(value))
             out.append((own[1].decode(), struct.unpack("<f", own.get(2, b"\0\0\0\0"))[0], own.get(3, NORMAL)))
@@ -77,6 +80,8 @@ class Pieces:
         inner = False
         for i, (piece, score, kind) in enumerate(pieces):
             if kind in (NORMAL, USER) and piece:
+                if kind == USER:  # preferred to whatever covers the same characters
+                    score = len(piece) * max(scores, default=0.0) - 0.1
                 self.automaton.add_word(piece, (i, len(piece), score))
                 inner |= SPACE in piece.lstrip(SPACE)
         self.automaton.make_automaton()
@@ -165,19 +170,21 @@ def model_path() -> str:
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids (array of int). A null text counts as empty and has no ids."""
+    """doc_id, ids (array of int). A null text counts as empty and has no ids; a text of any length is encoded whole. Rows
+    that repeat get a row each; an empty table gives an empty result; other columns, whatever their names, play no part."""
     path = path or model_path()
     return map_rows(docs, ["doc_id", "text"], "doc_id long, ids array<int>", lambda c: [c[0], [load(path).encode(t or "").tolist() for t in c[1]]])
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, text. A space mark of the original (U+2581) comes back as a space; all else as it was."""
+    """doc_id, text. A space mark of the original (U+2581) comes back as a space; all else as it was. Null or empty ids
+    give an empty text; rows that repeat get a row each; an empty table gives an empty result."""
     path = path or model_path()
     return map_rows(encoded, ["doc_id", "ids"], "doc_id long, text string", lambda c: [c[0], [load(path).decode(i or []) for i in c[1]]])
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """One row per document, rows that repeat included: doc_id, n_ids, ids_crc32 (unsigned, little-endian unsigned 32
+    """One row per document, rows that repeat and null texts, which count as empty, included: doc_id, n_ids, ids_crc32 (unsigned, little-endian unsigned 32
     bits an id), decoded_sha256 and round_trip (whether decoding the ids gives the text again, U+2581 as a space)."""
     path = path or model_path()
 

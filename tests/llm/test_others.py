@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from hushframe.llm import chat, queries, search
+from hushframe.llm import chat, packing, pii, quality, queries, search
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -131,13 +131,89 @@ def test_same_rows_as_sql(spark, name):
     assert sorted(map(str, (tuple(r[c] for c in columns) for r in made.collect()))) == sorted(map(str, want))
 
 
-def test_pipeline(spark, tmp_path):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    names = docs.columns
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        before = docs.count()
-        stage(spark, docs, SMALL).write.parquet(str(tmp_path / str(k)))
-        docs = spark.read.parquet(str(tmp_path / str(k)))
-        if k < 4:
-            assert docs.columns == names and 0 < docs.count() <= before
-    assert "sequence_id" in docs.columns and docs.count() >= before
+def small_corpus(rng):
+    """Documents with copies, near copies, personal data and junk, and labels; (doc_id, text, lang, other)."""
+    words = [f"{a}{b}" for a in ("al", "be", "co", "du", "en", "fi") for b in ("ra", "sto", "vem", "li")]
+    plain = [" ".join(rng.choice(words) for _ in range(rng.randint(40, 90))) for _ in range(60)]
+    texts = plain + plain[:10] + [t + " end" for t in plain[10:20]] + [f"{t} mail a{i}@b.example" for i, t in enumerate(plain[20:25])]
+    texts += ["#$%& @@@ ~~~~ ^^^^ ||||" * 15 + str(i) for i in range(4)] + [None, "", "co", "  "]
+    return [(i, t, rng.choice(["en", "fr"]), i % 7) for i, t in enumerate(texts)], [(i, int(i < 50), 0) for i in range(0, 64)]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() row by row: decisions by the definitions, pieces by the tokenizer, every sequence gapless and within size."""
+    import zlib
+
+    from test_documents import brute_bits, brute_components
+    from tokenizers import Tokenizer
+
+    rows, labels = small_corpus(random.Random(21))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, sha long")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    half = {r.doc_id: r.half for r in docs.select("doc_id", quality.half_of()).collect()}
+    trusted = [i for i, q, t in labels if q and not t]
+    bits_of = [brute_bits([rows[i][1] for i in trusted if half[i] != h]) for h in (0, 1)]
+    bits = {i: bits_of[half[i]](t) for i, t, *_ in rows if t}
+
+    def limits(values):
+        at = lambda q: sorted(values)[max(1, -int(-len(values) * q // 1)) - 1]
+        low, mid, high = at(quality.LOW), at(0.5), at(quality.HIGH)
+        return low - (mid - low) * quality.MARGIN, high + (high - mid) * quality.MARGIN
+
+    by_lang = {lang: [bits[i] for i in trusted if rows[i][2] == lang] for lang in ("en", "fr")}
+    ends = {lang: limits(v if len(v) >= quality.LEAST_TRUSTED else [bits[i] for i in trusted]) for lang, v in by_lang.items()}
+    unsure = lambda t: quality.SHORT / len(t) ** 0.5
+    left = [r for r in rows if not r[1] or ends[r[2]][0] - unsure(r[1]) <= bits[r[0]] <= ends[r[2]][1] + unsure(r[1])]
+    assert len(rows) - 10 < len(left) <= len(rows) - 4
+    best = {}
+    for r in left:
+        best[r[1] or ""] = max(r[0], best.get(r[1] or "", -1))
+    left = [r for r in left if best[r[1] or ""] == r[0]]
+    keep = {i for i, _, c in brute_components(left) if i == c}
+    left = [r for r in left if r[0] in keep]
+    assert len(left) < len(best)
+    weights, tokenizer, want = pii.trained(), Tokenizer.from_file(packing.tokenizer_path()), []
+    for i, t, *_ in left:
+        t = pii.masked(t, pii.find(t, weights)[1]) if t else ""
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
+        want += [(i, p, at, n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes())) for p, (at, n) in enumerate(packing.cuts(len(ids), 1024))]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(want)
+    held = {}
+    for r in got:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in held.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= 1024
+    assert len(held) <= 1.05 * sum(r.length for r in got) / 1024 + 1
+
+
+def test_stages_on_empty_tables_and_odd_names(spark, tmp_path):
+    """All stages one after the other: no row, then nulls, repeats and columns with names that plans might use."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    names = "doc_id long, text string, lang string, n_chars int, __0 int, key int, `half` int, node long, sha string, bits double, kept boolean"
+    odd = (None, 1, 2, None, None, None, None)
+    for rows in ([], [(1, "a b c d e f", None, 11, *odd), (1, "a b c d e f", None, 11, *odd), (None, None, None, None, *odd), (None, None, "en", 0, *odd), (2, "mail a@b.example", "en", 16, *odd)]):
+        docs = spark.createDataFrame(rows, names)
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns == spark.createDataFrame([], names).columns
+        left = docs.collect()
+        assert sorted((r.text or "", r.key) for r in left) == ([("", 1), ("a b c d e f", 1), ("mail <EMAIL>", 1)] if rows else [])
+        assert packing.pack(docs).count() == len(left)
+
+
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in queries.SQL])
+def test_queries_without_sql_give_a_row_each(spark, name):
+    """Over the whole table, with the columns that they promise."""
+    made = entry.queries()[name](spark, SMALL).collect()
+    source = "embeddings" if name.startswith("op1_") else "documents"
+    whole = {r[0] for r in spark.read.parquet(f"{SMALL}/{source}.parquet").select("vec_id" if source == "embeddings" else "doc_id").collect()}
+    if name.startswith("op1_"):
+        assert {r.query_id for r in made} == {i for i in whole if i % 20 == 0} and len(made) == 20 * len({r.query_id for r in made})
+    else:
+        assert {r.doc_id for r in made} == whole and (name.startswith("op2_") or len(made) == len(whole))
