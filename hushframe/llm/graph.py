@@ -24,9 +24,12 @@ def look_up(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFram
 
 
 def with_least(links: DataFrame) -> DataFrame:
-    """u, v, m of `links` (u, v): the least v of each u. A node with many links is spread over all tasks."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    return look_up(links, least, "u", "n").select("u", "v", "m")
+    """u, v, m of `links` (u, v): the least v of each u.
+
+    The least is combined before its shuffle; then both sides of the join are shuffled, so that Spark can split the rows
+    of a node with many links, or the small side is broadcast.
+    """
+    return links.join(cut(links.groupBy("u").agg(F.min("v").alias("m"))), "u")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -38,7 +41,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
     while not edges.isEmpty():
-        both = cut(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         near = with_least(cut(near.distinct()))
         # A node keeps its least neighbour, and its other neighbours get that one in its place.

@@ -258,8 +258,27 @@ def answers(ask: list[np.ndarray], members: list[np.ndarray]) -> Iterator[tuple[
             yield i, int(j)
 
 
+def spanning(pairs: Iterator[tuple[int, int]], ask: list[int], members: list[int]) -> Iterator[tuple[int, int]]:
+    """Of the links between nodes that ask and members, those that connect what earlier ones leave apart: fewer than
+    there are nodes, and the same components."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    for i, j in pairs:
+        x, y = top(ask[i]), top(members[j])
+        if x != y:
+            up[x] = y
+            yield ask[i], members[j]
+
+
 def open_blocks(docs: DataFrame, requests: DataFrame, blocks: DataFrame, words: int, seed: int) -> DataFrame:
-    """a, b: links between the nodes that ask (requests: node, n, block) and the blocks' members (blocks: block, node).
+    """a, b: links between the nodes that ask (requests: node, n, block) and the blocks' members (blocks: block, node),
+    as many as it takes to connect what links connect.
 
     Requests for one block are dealt to lots by their number and by the size of their sets, and the block goes to each
     of them; a task gets lots of a bounded sum of sizes.
@@ -291,10 +310,9 @@ def open_blocks(docs: DataFrame, requests: DataFrame, blocks: DataFrame, words:
         a, b = [], []
         for ask, members in by.values():
             if ask and members:
-                for i, j in answers([s for _, s in ask], [s for _, s in members]):
-                    if ask[i][0] != members[j][0]:
-                        a.append(ask[i][0])
-                        b.append(members[j][0])
+                for i, j in spanning(answers([s for _, s in ask], [s for _, s in members]), [n for n, _ in ask], [n for n, _ in members]):
+                    a.append(i)
+                    b.append(j)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     found = cut(left.groupBy("asked_task").cogroup(right.groupBy("held_task")).applyInArrow(answer, "a long, b long"))
