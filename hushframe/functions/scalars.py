@@ -27,15 +27,19 @@ def from_base64url(value: Column) -> Column:
 def normalize_path(path: Column) -> Column:
     """A path for metrics: numbers and UUIDs become :id, the token of an account route :token; empty is /."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
+    # Fixed value: the routes whose last part is a token.
     token = r"^/+api(/+v[0-9]*)?/+account/+(confirm|reset-password|change-email|join-from-invite)/+[^/]+/*$"
     shown = F.transform(parts, lambda s, i: F.when(path.rlike(token) & (i == F.size(parts) - 1), F.lit(":token")).when(s.rlike("^[0-9]+$") | s.rlike(UUID), F.lit(":id")).otherwise(s))
     return F.concat(F.lit("/"), F.array_join(shown, "/"))
 
 
-def backoff(attempt: Column, base: float, most: float) -> Column:
-    return F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), attempt))
+def backoff(attempt: Column, base: float, most: float, jitter: bool = False) -> Column:
+    """Twice as long each time, up to `most`; with jitter anything from nothing to that."""
+    delay = F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), attempt))
+    return delay * F.rand() if jitter else delay
 
 
+# The forms of ids and addresses.
 UUID = "^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
 EMAIL = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$"
 
@@ -86,6 +90,56 @@ def traceparent(header: Column) -> Column:
     return F.when(low.rlike(shape), F.struct(*(F.regexp_extract(low, shape, i).alias(n) for i, n in enumerate(("trace_id", "parent_id", "flags"), 1))))
 
 
+def format_traceparent(context: Column) -> Column:
+    """The version 00 header of a struct with trace_id, parent_id and flags."""
+    return F.concat_ws("-", F.lit("00"), context["trace_id"], context["parent_id"], context["flags"])
+
+
+class Check:
+    """What a field of a JSON body has to be; each test names the first fault as a code, or null."""
+
+    def __init__(self, body: Column, field: str) -> None:
+        self.field = field
+        value = F.try_variant_get(F.try_parse_json(body), f"$.{field}", "variant")
+        self.kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+        self.text = F.get_json_object(body, f"$.{field}")
+        self.absent = self.kind == "VOID"
+
+    def _of(self, string: bool, faults: list[tuple[Column, str]]) -> Column:
+        fits = self.kind == "STRING" if string else self.kind == "BIGINT"
+        out = F.when(self.absent, F.lit(None)).when(~fits, F.lit("not_string" if string else "not_integer"))
+        for fault, code in faults:
+            out = out.when(fault, F.lit(code))
+        return out
+
+    def required(self) -> Column:
+        return F.when(self.absent, F.lit("missing"))
+
+    def length(self, least: int, most: int) -> Column:
+        """In bytes."""
+        return self._of(True, [(F.octet_length(self.text) < least, "too_short"), (F.octet_length(self.text) > most, "too_long")])
+
+    def matches(self, pattern: str) -> Column:
+        return self._of(True, [(~self.text.rlike(f"^(?:{pattern})$"), "bad_format")])
+
+    def between(self, least: int, most: int) -> Column:
+        number = self.text.try_cast("long")
+        return self._of(False, [(number < least, "below_min"), (number > most, "above_max")])
+
+    def one_of(self, *allowed: str) -> Column:
+        return self._of(True, [(~self.text.isin(*allowed), "not_allowed")])
+
+    def email(self) -> Column:
+        return self._of(True, [(~is_email(self.text), "bad_format")])
+
+    def uuid(self) -> Column:
+        return self._of(True, [(~is_uuid(self.text), "bad_format")])
+
+    def string(self) -> Column:
+        """The field's text, if it is one."""
+        return F.when(self.kind == "STRING", self.text)
+
+
 def hmac_sha256(message: Column, key: bytes) -> Column:
     """Lower-case hex of the HMAC, with two of Spark's own digests."""
     import hashlib
@@ -95,6 +149,35 @@ def hmac_sha256(message: Column, key: bytes) -> Column:
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
 
 
+def encode_corpus(value: Column) -> Column:
+    """A text as base64url that is written backwards."""
+    return F.reverse(base64url(value))
+
+
+def random_hex(n: int) -> Column:
+    """2 * n random hex digits, others in each row."""
+    digests = [F.sha2(F.concat(F.expr("uuid()"), F.expr("uuid()")), 256) for _ in range(-(-n // 32))]  # 244 random bits each
+    return F.substring(F.concat(*digests), 1, 2 * n)
+
+
+def same_bytes(a: Column, b: Column) -> Column:
+    """Whether two texts are equal, compared by their digests, so that time says nothing of where they differ."""
+    return F.sha2(a.cast("binary"), 256) == F.sha2(b.cast("binary"), 256)
+
+
+def is_ascii(value: Column) -> Column:
+    return F.octet_length(value) == F.length(F.regexp_replace(value, "[^\\x00-\\x7F]", ""))
+
+
+def ascii_upper(value: Column) -> Column:
+    """a-z in upper case; all else stays, also letters of other alphabets."""
+    return F.translate(value, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def ascii_trim(value: Column) -> Column:
+    return F.regexp_replace(value, "^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$", "")
+
+
 def decode_corpus(value: Column) -> Column:
     """The text of base64url that was written backwards."""
     return from_base64url(F.reverse(value)).cast("string")

@@ -43,6 +43,59 @@ def merged_rules(builtin: DataFrame, custom: DataFrame, disabled: DataFrame) ->
     return builtin.unionByName(own, allowMissingColumns=True).join(disabled.select("rule_id"), "rule_id", "left_anti")
 
 
+def toggled(rules: DataFrame, disabled: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rule_id of the rules disabled afterwards, and what became of each change: rule_id, enabled, done).
+
+    changes: rule_id, enabled; of several for one rule any that disables counts. A rule that isn't known is not done.
+    """
+    asked = changes.groupBy("rule_id").agg(F.min("enabled").alias("enabled"))
+    results = asked.join(rules.select("rule_id", F.lit(True).alias("known")).distinct(), "rule_id", "left").select("rule_id", "enabled", F.coalesce("known", F.lit(False)).alias("done"))
+    kept = disabled.select("rule_id").join(results.where("done and enabled"), "rule_id", "left_anti")
+    return kept.unionByName(results.where("done and not enabled").select("rule_id")).distinct(), results
+
+
+def forwarded(texts: DataFrame, masked: DataFrame, mode: str) -> DataFrame:
+    """request_id, text_idx, text that goes on: masked if the mode is enforce; as it came if it is detect."""
+    if mode not in ("enforce", "detect"):
+        raise ValueError(f"mode {mode}")
+    if mode == "detect":
+        return texts.select(F.col("request_id").cast("long"), F.col("text_idx").cast("int"), "text")
+    return masked.select("request_id", "text_idx", F.col("masked_text").alias("text"))
+
+
+def quantiles(buckets: DataFrame, by: list[str], at: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """`by` and p50, p95, ...: quantiles interpolated within the buckets (le, n up to it) that `histogram` gives.
+
+    The last bound below the infinite one stands for what lies beyond it; a group without values has nulls.
+    """
+    held = F.sort_array(F.collect_list(F.struct("le", "n")))
+    rows = buckets.groupBy(*by).agg(held.alias("b"))  # as many as there are bounds
+    out = []
+    for q in at:
+        total = F.element_at("b", -1)["n"]
+        rank = total * q
+        i = F.size(F.filter("b", lambda x: x["n"] < rank))  # noqa: B023
+        low, before = F.when(i > 0, F.get("b", i - 1)["le"]).otherwise(0.0), F.when(i > 0, F.get("b", i - 1)["n"]).otherwise(0)
+        up, upto = F.get("b", i)["le"], F.get("b", i)["n"]
+        inner = low + (up - low) * (rank - before) / F.greatest(upto - before, F.lit(1))
+        out.append(F.when(total > 0, F.when(up == float("inf"), low).otherwise(inner)).alias(f"p{round(q * 100)}"))
+    return rows.select(*by, *out)
+
+
+def summary(records: DataFrame) -> DataFrame:
+    """kind, name, n: how many requests were masked by mode, the TOP rules and types, and what was passed on unread.
+
+    records: mode, format, replacements, rule_ids, data_types; a record without a format was passed on.
+    """
+    modes = records.where("replacements > 0").groupBy(F.lit("masked").alias("kind"), F.col("mode").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    passed = records.where("format is null").groupBy(F.lit("passthrough").alias("kind"), F.col("mode").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    out = modes.unionByName(passed)
+    for kind, column in (("rule", "rule_ids"), ("type", "data_types")):
+        each = records.select(F.explode(F.col(column).cast("array<string>")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(TOP)
+        out = out.unionByName(each.select(F.lit(kind).alias("kind"), "name", "n"))
+    return out
+
+
 def cursor(ts: Column, key: Column) -> Column:
     """Where a page ended, as text: base64url of nanoseconds and id."""
     return scalars.base64url(F.concat((F.unix_micros(ts) * 1000).cast("string"), F.lit(":"), key.cast("string")))

@@ -28,6 +28,15 @@ def longest(kind: str) -> int:
     return 2 + 2 * GAP + DIGITS + sum(len(t) + GAP for t in tokens)
 
 
+class RestoreError(RuntimeError):
+    """The tolerant pass failed. `unemitted` is all that was held, exactly restored: the caller must give it out, as
+    nothing else holds it any more."""
+
+    def __init__(self, detail: str, unemitted: str) -> None:
+        super().__init__(detail)
+        self.unemitted = unemitted
+
+
 class Restorer:
     """One stream of text. `known`: (placeholder, original) in order; `kinds`: the types to be recognised tolerantly.
 
@@ -49,6 +58,13 @@ class Restorer:
         if self.exact is None or "<" not in text and not any("<" not in p for p in self.known):
             return text
         text = self.exact.sub(lambda m: self.known[m[0]], text)
+        try:
+            return self.tolerant(text)
+        except Exception as e:
+            raise RestoreError(f"placeholder pass failed: {e}", text) from e
+
+    def tolerant(self, text: str) -> str:
+        """The placeholders that were written a little differently replaced."""
         found = []
         for order, (kind, pattern) in enumerate(self.kinds):
             for m in pattern.finditer(text):
@@ -63,7 +79,8 @@ class Restorer:
 
     def feed(self, chunk: str, flush: bool = False) -> str:
         """What can be given out: all but the last `hold` characters, or everything at a flush."""
-        done, self.pending = self.whole(self.pending + chunk), ""
+        held, self.pending = self.pending + chunk, ""  # cleared first: see RestoreError
+        done = self.whole(held)
         keep = len(done) if flush else max(0, len(done) - self.hold)
         self.pending = done[keep:]
         return done[:keep]

@@ -308,6 +308,45 @@ SELECT event_type, le, count(*) FILTER (WHERE value / 1000 <= le) AS n FROM even
 """
 
 
+def event_quantiles(spark, sf_dir):
+    """Median and 95th percentile of each event type's values, read as milliseconds, interpolated from the buckets."""
+    rows = table(spark, sf_dir, "events").where("event_type is not null")
+    made = gateway.quantiles(gateway.histogram(rows, F.col("value") / 1000, ["event_type"]), ["event_type"])
+    return made.select("event_type", F.round("p50", 9).alias("p50"), F.round("p95", 9).alias("p95"))
+
+
+def _quantile_sql(q: float) -> str:
+    return f"round(max(CASE WHEN n >= {q} * total AND coalesce(before, 0) < {q} * total THEN CASE WHEN isinf(le) THEN low ELSE coalesce(low, 0) + (le - coalesce(low, 0)) * ({q} * total - coalesce(before, 0)) / (n - coalesce(before, 0)) END END), 9)"
+
+
+QUANTILES_SQL = f"""
+WITH b AS ({LATENCY_SQL}),
+w AS (SELECT *, lag(le) OVER (PARTITION BY event_type ORDER BY le) AS low, lag(n) OVER (PARTITION BY event_type ORDER BY le) AS before, max(n) OVER (PARTITION BY event_type) AS total FROM b)
+SELECT event_type, {_quantile_sql(0.5)} AS p50, {_quantile_sql(0.95)} AS p95 FROM w GROUP BY event_type
+"""
+
+
+def masking_summary(spark, sf_dir):
+    """Totals over the masked conversations: how many by mode, the most frequent rules and types, what was passed on."""
+    texts = turn_texts(spark, sf_dir)
+    state = mask.state(texts, found_in(texts))
+    known = texts.select("request_id").distinct().join(state, "request_id", "left")
+    none = F.array().cast("array<string>")
+    records = known.select(
+        F.when(F.col("request_id") % 2 == 0, "enforce").otherwise("detect").alias("mode"), F.when(F.col("request_id") % 5 > 0, "messages").alias("format"), F.coalesce(F.size("replacements"), F.lit(0)).alias("replacements"),
+        F.coalesce("triggered_rule_ids", none).alias("rule_ids"), F.coalesce(F.col("triggered_data_types").cast("array<string>"), none).alias("data_types"),
+    )
+    return gateway.summary(records)
+
+
+SUMMARY_SQL = """, q AS (SELECT DISTINCT k, CASE WHEN k % 2 = 0 THEN 'enforce' ELSE 'detect' END AS mode FROM t),
+rules AS (SELECT 'rule' AS kind, rule_id AS name, count(DISTINCT k) AS n FROM f WHERE kind <> '' GROUP BY rule_id ORDER BY n DESC, name LIMIT 20),
+types AS (SELECT 'type' AS kind, data_type::VARCHAR AS name, count(DISTINCT k) AS n FROM f WHERE kind <> '' AND data_type BETWEEN 1 AND 6 GROUP BY data_type ORDER BY n DESC, name LIMIT 20)
+SELECT 'masked' AS kind, mode AS name, count(*) AS n FROM q WHERE k IN (SELECT k FROM firsts) GROUP BY mode
+UNION ALL SELECT 'passthrough', mode, count(*) FROM q WHERE k % 5 = 0 GROUP BY mode UNION ALL FROM rules UNION ALL FROM types
+"""
+
+
 def current_user_event(spark, sf_dir):
     """Each user's last event, as a key-value store would hold it."""
     return gateway.current_values(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type").where("ts is not null"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
@@ -413,11 +452,11 @@ SQL = {
 QUERIES |= {
     "roundtrip_bodies": roundtrip_bodies, "restore_drifted": restore_drifted, "page_paths": page_paths, "event_latency": event_latency, "current_user_event": current_user_event,
     "events_retained": events_retained, "stream_frames": stream_frames, "request_parameters": request_parameters, "hmac": mac,
-    "restore_event_streams": restore_event_streams,
+    "restore_event_streams": restore_event_streams, "event_quantiles": event_quantiles, "masking_summary": masking_summary,
 }
 SQL |= {
     "restore_drifted": on_documents(DRIFTED_SQL), "page_paths": PATHS_SQL, "event_latency": LATENCY_SQL, "current_user_event": CURRENT_SQL, "events_retained": RETAINED_SQL,
-    "stream_frames": FRAMES_SQL, "request_parameters": REQUEST_SQL, "restore_event_streams": on_turns(STREAMS_SQL),
+    "stream_frames": FRAMES_SQL, "request_parameters": REQUEST_SQL, "restore_event_streams": on_turns(STREAMS_SQL), "event_quantiles": QUANTILES_SQL, "masking_summary": on_turns(SUMMARY_SQL),
 }
 for _name, _path in {"chat_completions": "messages.#.content", "messages": "messages.#.content.0.text", "responses": "input.#.content"}.items():
     QUERIES[f"extract_{_name}"], SQL[f"extract_{_name}"] = extract_format(_name, _path)

@@ -10,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import yaml
 
+from .prefilter import guarantees_keyword
+
 DATA_TYPES = ("UNSPECIFIED", "CREDENTIALS", "API_KEYS", "ACCESS_TOKENS", "IP_ADDRESSES", "PERSONAL_DATA", "CUSTOM")
 VALIDATORS = frozenset(
     "luhn snils inn_person inn_org ogrn ogrnip iban_mod97 email_ascii payment_card payment_card_no_luhn entropy banlist ip_v4 ip_v6 ip_public ip_private".split()
@@ -44,10 +46,28 @@ class Rule:
 
 @dataclass
 class Catalog:
+    """Checked rules of different ids, in order."""
+
     rules: list[Rule] = field(default_factory=list)
 
+    def __post_init__(self) -> None:
+        rules, self.rules, self._ids = self.rules, [], {}
+        for rule in rules:
+            self.add(rule)
+
+    def add(self, rule: Rule) -> None:
+        if rule.rule_id in self._ids:
+            raise RuleError("DuplicateId", rule.rule_id)
+        check(rule)
+        self._ids[rule.rule_id] = rule
+        self.rules.append(rule)
+
     def by_id(self, rule_id: str) -> Rule | None:
-        return next((r for r in self.rules if r.rule_id == rule_id), None)
+        return self._ids.get(rule_id)
+
+    def ineligible(self) -> list[str]:
+        """Ids, sorted, of the rules whose keywords can't gate them: not every match is proven to hold one."""
+        return sorted(r.rule_id for r in self.rules if r.keywords and not guarantees_keyword(r.regex, r.keywords))
 
     def for_data_types(self, types: list[int]) -> list[Rule]:
         """By the given types' order, then the catalogue's; a type given twice comes twice."""
@@ -120,6 +140,13 @@ def check(rule: Rule) -> None:
     for g in rule.capture_groups:
         if not 1 <= g <= groups_in(rule.regex):
             raise RuleError("BadCaptureGroup", f"{rule.rule_id}: {g}")
+    if rule.placeholder.strip():
+        from hushframe.operators.restore import tolerant_pattern
+
+        try:
+            pc.match_substring_regex(pa.array([""]), f"(?i){tolerant_pattern(rule.placeholder)}")
+        except pa.ArrowInvalid as e:
+            raise RuleError("BadRegex", f"{rule.rule_id}: placeholder {rule.placeholder}: {e}") from e
 
 
 def read_rules(text: str) -> list[Rule]:
@@ -159,12 +186,4 @@ def load_rules(paths: list[str | Path] | None = None) -> Catalog:
     paths = [BUILTIN] if paths is None else list(dict.fromkeys(str(p).strip() for p in paths if str(p).strip()))
     if not paths:
         raise RuleError("ParseError", "no files")
-    catalog, seen = Catalog(), set()
-    for path in paths:
-        for rule in read_rules(Path(path).read_text(encoding="utf-8")):
-            if rule.rule_id in seen:
-                raise RuleError("DuplicateId", rule.rule_id)
-            seen.add(rule.rule_id)
-            check(rule)
-            catalog.rules.append(rule)
-    return catalog
+    return Catalog([rule for path in paths for rule in read_rules(Path(path).read_text(encoding="utf-8"))])

@@ -314,27 +314,41 @@ def restore_streams(streams: DataFrame, found: DataFrame) -> DataFrame:
     return rows.select("stream_id", "format", "body", "known", "kinds").mapInArrow(run, "stream_id long, body string")
 
 
-def restore_event_chunks(chunks: DataFrame, found: DataFrame) -> DataFrame:
+def restore_event_chunks(chunks: DataFrame, found: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """stream_id, seq, body: what each chunk of a stream (stream_id, format, seq, chunk, flush) lets out.
 
     `chunks` is a stream, `found` a table. Chunks of one micro-batch are taken by seq; the state is `dump`'s text, its
-    length bounded by one frame and the longest placeholder for each open field.
+    length bounded by one frame and the longest placeholder for each open field. With `idle_ms`, a stream that gets no
+    chunk for so long ends: what it holds comes out under its last seq, and its state goes. The query then needs a
+    processing-time trigger.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            kept, format, known, last = state.get
+            state.remove()
+            reader = dialect(format, [{"placeholder": p, "original": o} for p, o in json.loads(known)["known"]], json.loads(known)["kinds"])
+            reader.load(kept)
+            yield pd.DataFrame([(*key, last, reader.feed("", True))], columns=["stream_id", "seq", "body"])
+            return
         out, reader = [], None
         for row in pd.concat(list(frames)).sort_values("seq", kind="stable").itertuples():
             if reader is None:
                 reader = dialect(row.format, row.known, row.kinds)
                 if state.exists:
                     reader.load(state.get[0])
+                format = row.format
+                known = json.dumps({"known": [(k["placeholder"], k["original"]) for k in (row.known if row.known is not None else [])], "kinds": list(row.kinds) if row.kinds is not None else []}) if idle_ms else ""
             out.append((*key, row.seq, reader.feed(row.chunk or "", bool(row.flush))))
             ended = bool(row.flush)
         if not ended:
-            state.update((reader.dump(),))
+            state.update((reader.dump(), format, known, int(out[-1][1])))
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["stream_id", "seq", "body"])
 
     rows = with_known(chunks, found, "stream_id")
-    return rows.groupBy("stream_id").applyInPandasWithState(run, "stream_id long, seq long, body string", "kept string", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return rows.groupBy("stream_id").applyInPandasWithState(run, "stream_id long, seq long, body string", "kept string, format string, known string, seq long", "append", timeout)

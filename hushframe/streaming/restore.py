@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from hushframe.operators.restore import Restorer, with_known
+from hushframe.operators.restore import RestoreError, Restorer, with_known
 
 OUT = "stream_id long, field string, seq long, text string"
 
@@ -17,7 +17,7 @@ def restore_chunks(chunks: DataFrame, found: DataFrame, idle_ms: int | None = No
     """OUT: what each chunk lets out. `chunks` (stream_id, field, seq, chunk, flush) is a stream, `found` a table.
 
     Each (stream_id, field) is a stream of its own; chunks of one micro-batch are taken by seq. The state is the held
-    text, its length bounded by the longest placeholder. With `idle_ms`, a stream
+    text, its length bounded by the longest placeholder. If tolerant restoring fails, what was held comes exactly restored. With `idle_ms`, a stream
     that gets no chunk for so long gives out what is held; Spark then makes batches without end, so the query needs a
     processing-time trigger rather than availableNow.
     """
@@ -34,7 +34,11 @@ def restore_chunks(chunks: DataFrame, found: DataFrame, idle_ms: int | None = No
                 known = [(k["placeholder"], k["original"]) for k in (row.known if row.known is not None else [])]
                 rest = Restorer(known, list(row.kinds) if row.kinds is not None else [], in_json=row.field.endswith("arguments"))
                 rest.pending = pending
-            out.append((*key, row.seq, rest.feed(row.chunk or "", bool(row.flush))))
+            try:
+                said = rest.feed(row.chunk or "", bool(row.flush))
+            except RestoreError as e:
+                said = e.unemitted
+            out.append((*key, row.seq, said))
         if rest.pending:
             state.update((rest.pending, out[-1][2]))
             if idle_ms:

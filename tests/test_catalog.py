@@ -68,3 +68,14 @@ def test_the_built_in_catalogue():
     assert found("credentials.db_connection", "to postgres://u:secret@h/db, then") == ["postgres://u:secret@h/db"]
     assert found("credentials.http_auth_bearer", "Authorization: Bearer abcdefghijkl;") == ["abcdefghijkl"]
     assert found("ip-addrs.ipv6-private", "at fe80::1 now") == ["fe80::1"] and found("ip-addrs.ipv6-public", "at fe80::1 now") == []
+
+
+def test_catalogues_are_checked():
+    with pytest.raises(RuleError) as e:
+        catalog.Catalog([Rule("a", "x"), Rule("a", "y")])
+    assert e.value.code == "DuplicateId"
+    with pytest.raises(RuleError) as e:
+        catalog.Catalog([Rule("a", "(")])
+    assert e.value.code == "BadRegex"
+    made = catalog.Catalog([Rule("b", r"\d+", keywords=("n",)), Rule("a", "key=x", keywords=("key",)), Rule("c", "x|y", keywords=("x",))])
+    assert made.ineligible() == ["b", "c"] and made.by_id("a").regex == "key=x"

@@ -71,3 +71,62 @@ def test_pages_follow_each_other(spark):
         got += [r.id for r in page]
         after = page[-1].cursor
     assert got == [1, 0, 3, 2, 5, 4]
+
+
+def test_toggling(spark):
+    ids = lambda *names: spark.createDataFrame([(n,) for n in names], "rule_id string")
+    changes = spark.createDataFrame([("a", False), ("b", True), ("x", False), ("c", True), ("c", False)], "rule_id string, enabled boolean")
+    after, results = g.toggled(ids("a", "b", "c"), ids("b", "d"), changes)
+    assert sorted(r.rule_id for r in after.collect()) == ["a", "c", "d"]
+    assert {(r.rule_id, r.done) for r in results.collect()} == {("a", True), ("b", True), ("c", True), ("x", False)}
+
+
+def test_modes(spark):
+    texts = spark.createDataFrame([(1, 0, "a")], "request_id long, text_idx int, text string")
+    masked = spark.createDataFrame([(1, 0, "<A_1>")], "request_id long, text_idx int, masked_text string")
+    assert g.forwarded(texts, masked, "detect").first().text == "a" and g.forwarded(texts, masked, "enforce").first().text == "<A_1>"
+
+
+def test_quantiles_of_buckets(spark):
+    rows = spark.createDataFrame([("a", 0.001 * i) for i in range(1, 101)] + [("b", 99.0)], "k string, s double")
+    got = {r.k: (r.p50, r.p95) for r in g.quantiles(g.histogram(rows, F.col("s"), ["k"]), ["k"]).collect()}
+    assert abs(got["a"][0] - 0.05) < 1e-9 and abs(got["a"][1] - 0.095) < 1e-3 and got["b"] == (5.0, 5.0)
+
+
+def test_summary(spark):
+    rows = [("enforce", "messages", 2, ["r1", "r2"], [1]), ("enforce", None, 0, [], []), ("detect", "messages", 1, ["r1"], [1, 5])]
+    got = {tuple(r) for r in g.summary(spark.createDataFrame(rows, "mode string, format string, replacements int, rule_ids array<string>, data_types array<int>")).collect()}
+    assert got == {("masked", "enforce", 1), ("masked", "detect", 1), ("passthrough", "enforce", 1), ("rule", "r1", 2), ("rule", "r2", 1), ("type", "1", 2), ("type", "5", 1)}
+
+
+def test_checks_of_bodies(spark):
+    body = '{"n":5,"s":"äb","u":"12345678-1234-1234-1234-123456789abc","m":"a@b.co","z":null,"f":1.5,"b":"x"}'
+    df = spark.createDataFrame([(body,)], "body string")
+    c = lambda f: s.Check(F.col("body"), f)
+    tests = [
+        (c("z").required(), "missing"), (c("q").required(), "missing"), (c("n").required(), None), (c("s").length(1, 3), None), (c("s").length(4, 9), "too_short"), (c("s").length(0, 2), "too_long"),
+        (c("n").length(0, 9), "not_string"), (c("q").length(5, 9), None), (c("n").between(1, 5), None), (c("n").between(6, 9), "below_min"), (c("n").between(0, 4), "above_max"), (c("f").between(0, 4), "not_integer"),
+        (c("b").one_of("x", "y"), None), (c("b").one_of("y"), "not_allowed"), (c("u").uuid(), None), (c("b").uuid(), "bad_format"), (c("m").email(), None), (c("b").email(), "bad_format"), (c("b").matches("[xy]"), None),
+        (c("n").string(), None), (c("b").string(), "x"),
+    ]
+    got = df.select(*(t.alias(f"c{i}") for i, (t, _) in enumerate(tests))).first()
+    assert list(got) == [w for _, w in tests]
+
+
+def test_small_scalars(spark):
+    header = "00-" + "a1" * 16 + "-" + "b2" * 8 + "-01"
+    df = spark.createDataFrame([(header, " \tÄbc\n")], "h string, t string")
+    row = df.select(
+        s.format_traceparent(s.traceparent(F.col("h"))).alias("h"), s.ascii_upper(s.ascii_trim(F.col("t"))).alias("t"), s.is_ascii(F.col("t")).alias("a"), s.is_ascii(F.col("h")).alias("b"),
+        s.decode_corpus(s.encode_corpus(F.col("t"))).alias("c"), s.random_hex(40).alias("r"), s.same_bytes(F.col("h"), F.lit(header)).alias("e"), s.backoff(F.lit(3), 0.1, 0.5, jitter=True).alias("j"),
+    ).first()
+    assert (row.h, row.t, row.a, row.b, row.c, row.e) == (header, "ÄBC", False, True, " \tÄbc\n", True)
+    assert len(row.r) == 80 and set(row.r) <= set("0123456789abcdef") and 0 <= row.j <= 0.5
+
+
+def test_functions_for_sql(spark):
+    from hushframe.functions.registered import register
+
+    assert register(spark) == ["hush_mask", "hush_findings", "hush_restore", "hush_valid"]
+    row = spark.sql("select hush_mask(t) m, hush_findings(t) f, hush_restore('<EMAIL_1>!', array(named_struct('placeholder', '<EMAIL_1>', 'original', 'x'))) r, hush_valid('4111111111111111', 'luhn') v, hush_mask(null) n from values ('to a@b.example') as x(t)").first()
+    assert (row.m, row.f, row.r, row.v, row.n) == ("to <EMAIL_1>", ["pii.email"], "x!", True, None)

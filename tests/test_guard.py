@@ -160,3 +160,11 @@ def test_completing(name, n):
     for _ in range(20):
         whole = v.completed("".join(rng.choice("0123456789") for _ in range(n)), name)
         assert whole is None or v.passes(whole, Rule("r", "x", validators=(name,)))
+
+
+def test_errors_hold_what_was_not_given_out(monkeypatch):
+    rest = restore.Restorer([("<A_1>", "x")], ["A"])
+    monkeypatch.setattr(rest, "tolerant", lambda text: 1 // 0)
+    with pytest.raises(restore.RestoreError) as e:
+        rest.feed("say <A_1> and <A")
+    assert e.value.unemitted == "say x and <A" and rest.pending == ""
