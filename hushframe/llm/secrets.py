@@ -1,8 +1,10 @@
 """Secrets: fixed patterns, and character Markov models that tell random strings from ordinary identifiers.
 
-Two models of the next character given the last one, of random keys and of ordinary names, are trained from labelled
-samples that are made from a seed. A long part of a token is added if its log-likelihood ratio for a character is high
-enough; the ratio alone decides.
+Two models of the next character given the last two, of random keys and of ordinary names, are trained from labelled
+samples that are made from a seed: names of known words, and of words put together from syllables, so that the model of
+names knows what words look like, and not just those it was given. Contexts that were seldom seen lean on shorter ones.
+A part of a token of LONG characters at least is added if its log-likelihood ratio for a character is high enough; the
+ratio alone decides.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs are whole, so a run of 24 or more is
 
 #: Stretches of characters that the models judge; a random part of LONG characters at least counts.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Log-likelihood ratio, in nats a character, from which a token counts as random.
-LEAST = 0.6
+#: Log-likelihood ratio, in nats a character, from which a part of a token counts as random.
+LEAST = 1.2
 LONG = 20
 SEPARATORS = "+/_=-"
 SAMPLES = 4000
@@ -44,8 +46,20 @@ session event handler service manager factory builder helper util common base ma
 child root left right top bottom first last next previous current old new temp local global public private""".split()
 
 
-def ordinary(rng: random.Random) -> str:
-    words = [rng.choice(NAMES) for _ in range(rng.randint(2, 5))]
+#: How words begin, go on and end; a third of the samples' words are made of these.
+ONSETS = "b br c ch cl cr d dr f fl fr g gl gr h j k l m n p ph pl pr qu r s sc sh sl sm sn sp st str t th tr v w wh".split()
+VOWELS = "a e i o u a e i o u ai ea ee ie io oa oo ou ue y".split()
+CODAS = "b ck ct d f ft g l ld ll lt m mp n nd ng nk ns nt p r rd rk rm rn rt s sh ss st t th tch x".split()
+
+
+def word(rng: random.Random) -> str:
+    if rng.random() < 0.67:
+        return rng.choice(NAMES)
+    return "".join(rng.choice(ONSETS) + rng.choice(VOWELS) for _ in range(rng.randint(1, 3))) + rng.choice([*CODAS, "e", "er", "ing", "ed", "ion", "s", ""])
+
+
+def ordinary(rng: random.Random, words=word) -> str:
+    words = [words(rng) for _ in range(rng.randint(2, 5))]
     style = rng.randrange(5)
     text = (
         "_".join(words) if style == 0 else "-".join(words) if style == 1 else "".join(w.capitalize() for w in words) if style == 2
@@ -59,15 +73,22 @@ def key(rng: random.Random) -> str:
     return "".join(rng.choice(letters) for _ in range(rng.randint(20, 48)))
 
 
+#: Weight of the shorter context's probabilities, in counts.
+LEAN = 4.0
+
+
 def model(samples: list[str]) -> np.ndarray:
-    """Log probabilities (last character or start, next character), a half added to each count."""
-    counts = np.full((len(CHARS) + 1, len(CHARS)), 0.5)
+    """Log probabilities (last character but one or start, last character or start, next character)."""
+    n, start = len(CHARS), len(CHARS)
+    counts = np.zeros((n + 1, n + 1, n))
     for text in samples:
-        last = len(CHARS)
-        for c in text:
-            counts[last, _INDEX[c]] += 1
-            last = _INDEX[c]
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
+        codes = np.array([start, start, *(_INDEX[c] for c in text)])
+        np.add.at(counts, (codes[:-2], codes[1:-1], codes[2:]), 1)
+    one = counts.sum(axis=(0, 1)) + 0.5
+    one /= one.sum()
+    two = counts.sum(axis=0)
+    two = (two + LEAN * one) / (two.sum(axis=1, keepdims=True) + LEAN)
+    return np.log((counts + LEAN * two) / (counts.sum(axis=2, keepdims=True) + LEAN))
 
 
 @functools.lru_cache(maxsize=1)
@@ -77,10 +98,15 @@ def trained() -> np.ndarray:
     return model([key(rng) for _ in range(SAMPLES)]) - model([ordinary(rng) for _ in range(SAMPLES)])
 
 
+def ratios(codes: np.ndarray, difference: np.ndarray) -> np.ndarray:
+    """The log ratio of each character, the first ones after the start."""
+    padded = np.concatenate([[len(CHARS)] * 2, codes])
+    return difference[padded[:-2], padded[1:-1], codes]
+
+
 def ratio(text: str, difference: np.ndarray) -> float:
     """Nats a character by which the model of random keys is the likelier."""
-    codes = [_INDEX[c] for c in text]
-    return float(difference[[len(CHARS), *codes[:-1]], codes].mean()) if codes else -math.inf
+    return float(ratios(np.array([_INDEX[c] for c in text]), difference).mean()) if text else -math.inf
 
 
 def random_parts(text: str, difference: np.ndarray) -> list[tuple[int, int]]:
@@ -93,12 +119,13 @@ def random_parts(text: str, difference: np.ndarray) -> list[tuple[int, int]]:
     if len(text) < LONG:
         return []
     codes = np.array([_INDEX[c] for c in text])
-    step = difference[codes[:-1], codes[1:]]
-    total = np.concatenate([[0.0, 0.0], np.cumsum(step)])  # up to each place, of all characters but the first
-    start = difference[len(CHARS), codes]
+    each = ratios(codes, difference)
+    total = np.concatenate([[0.0], np.cumsum(each)])  # up to each place
+    # A stretch by itself begins after a start: its first two characters have other ratios than in the text.
+    begin = difference[len(CHARS), len(CHARS), codes[:-1]] + difference[len(CHARS), codes[:-1], codes[1:]]
     at = np.arange(len(text) - LONG + 1)
     parts: list[list[int]] = []
-    for i in np.flatnonzero(start[at] + total[at + LONG] - total[at + 1] >= LEAST * LONG).tolist():
+    for i in np.flatnonzero(begin[at] + total[at + LONG] - total[at + 2] >= LEAST * LONG).tolist():
         if parts and i <= parts[-1][1]:
             parts[-1][1] = i + LONG
         else:
@@ -123,7 +150,7 @@ def random_parts(text: str, difference: np.ndarray) -> list[tuple[int, int]]:
             out[-1] = (out[-1][0], max(end, out[-1][1]))
         else:
             out.append((begin, end))
-    return out or ([(0, len(text))] if ratio(text, difference) >= LEAST else [])
+    return out or ([(0, len(text))] if total[-1] >= LEAST * len(text) else [])
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -158,7 +185,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     Spans are kind:start:end of whole matches in code points, end exclusive, comma-joined by start, then kind. Counts
     and the digest are of the fixed patterns; `spans` has theirs and, as kind random, the models'. A null text counts
-    as empty. Rows that repeat get a row each; an empty table gives an empty result; other columns play no part.
+    as empty; a text of any length is read whole. Rows that repeat, or have no doc_id, get a row each; an empty table gives
+    an empty result; other columns, whatever their names, play no part.
     """
     difference = trained()
 

@@ -371,6 +371,23 @@ def test_random_keys_through_find():
     assert secrets.find(text, difference)[1] == [("hex", 0, 24), ("random", 25, 48)]
 
 
+def test_names_of_words_that_no_model_knows():
+    """Identifiers of words that the samples lack, and letters-only keys, through find."""
+    words = """abstract barrier battery calendar campaign deposit directive envelope exchange fragment gateway hierarchy
+    immutable inventory journal keyboard ledger migration network observer package quantity registry schedule telemetry
+    umbrella validator warehouse yesterday zone widget pixel invoice customer throttle backlog pipeline snapshot replica""".split()
+    assert not set(words) & set(secrets.NAMES)
+    difference, rng = secrets.trained(), random.Random(5)
+    names = [secrets.ordinary(rng, lambda r: r.choice(words)) for _ in range(2000)]
+    assert sum(bool(secrets.find(f"a {n} b", difference)[1]) for n in names) <= 10
+    letters = ["".join(rng.choice(secrets.CHARS[:52]) for _ in range(24)) for _ in range(500)]
+    assert sum(bool(secrets.find(f"a {k} b", difference)[1]) for k in letters) >= 495
+    model = secrets.model(["abc", "abd"])
+    import numpy as np
+
+    assert model.shape == (68, 68, 67) and np.allclose(np.exp(model).sum(axis=2), 1)
+
+
 def brute_viterbi(model, text):
     """The best score of a text by trying every piece at every place."""
     score = {p: s for p, s, kind in model.pieces if kind in (pieces.NORMAL, pieces.USER)}
