@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hushframe.functions import scalars, validators
 from hushframe.operators import bodies, extract, gateway, mask, restore, scan
-from hushframe.sources.catalog import load_rules
+from hushframe.sources.catalog import load_rules, session_rules
 from hushframe.streaming import dialects
 
 from . import oracles
@@ -32,13 +32,13 @@ def turn_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def found_in(texts: DataFrame) -> DataFrame:
-    """Disjoint findings of all built-in rules, in one pass over the texts."""
-    return scan.findings(texts, load_rules().rules)
+    """Disjoint findings of all the session's rules, in one pass over the texts."""
+    return scan.findings(texts, session_rules(texts.sparkSession).rules)
 
 
 def masked_documents(spark, sf_dir) -> DataFrame:
     """Each document is a request of one text, so all of its masking happens where it is."""
-    return scan.mask_texts(document_texts(spark, sf_dir), load_rules().rules)
+    return scan.mask_texts(document_texts(spark, sf_dir), session_rules(spark).rules)
 
 
 DOCUMENTS_SQL = "SELECT doc_id AS k, 0 AS i, text FROM documents WHERE doc_id IS NOT NULL"
@@ -58,12 +58,12 @@ def on_turns(select: str) -> str:
 
 def candidates_by_rule(spark, sf_dir):
     """How many candidates each rule has that has any."""
-    return scan.scan(document_texts(spark, sf_dir), load_rules().rules).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    return scan.scan(document_texts(spark, sf_dir), session_rules(spark).rules).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def candidates_all_rules(spark, sf_dir):
     """How many candidates each rule of the catalogue has, also those with none."""
-    catalog = load_rules()
+    catalog = session_rules(spark)
     found = scan.scan(document_texts(spark, sf_dir), catalog.rules).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
     return catalog.frame(spark).select("rule_id").join(found, "rule_id", "left").select("rule_id", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -187,3 +187,20 @@ def load_rules(paths: list[str | Path] | None = None) -> Catalog:
     if not paths:
         raise RuleError("ParseError", "no files")
     return Catalog([rule for path in paths for rule in read_rules(Path(path).read_text(encoding="utf-8"))])
+
+
+#: The session's setting that names further catalogues, YAML or TOML, by path and parted by commas.
+SETTING = "spark.hushframe.rules"
+
+
+def session_rules(spark) -> Catalog:
+    """The built-in rules, then those of the catalogues that the session names; a catalogue in TOML is made into rules."""
+    from .generator import generate
+
+    made = load_rules()
+    for path in (p.strip() for p in (spark.conf.get(SETTING, "") or "").split(",")):
+        if path:
+            text = Path(path).read_text(encoding="utf-8")
+            for rule in generate(text) if path.endswith(".toml") else read_rules(text):
+                made.add(rule)
+    return made

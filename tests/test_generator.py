@@ -41,3 +41,16 @@ def test_rules_are_made_and_read_back(tmp_path):
     with pytest.raises(RuleError):
         g.generate(TOML, regexes={"acme-pat": "(?=x)"})
     assert g.generate("") == []
+
+
+def test_catalogues_that_a_session_names(spark, tmp_path):
+    from hushframe.sources.catalog import SETTING, session_rules
+
+    (tmp_path / "more.toml").write_text(TOML)
+    (tmp_path / "own.yaml").write_text("guardrails_regex_rules: [{data_type: 6, name: OWN, rules: [{rule_id: own, regex: 'x{9}'}]}]")
+    spark.conf.set(SETTING, f"{tmp_path}/more.toml, {tmp_path}/own.yaml")
+    try:
+        made = session_rules(spark)
+    finally:
+        spark.conf.unset(SETTING)
+    assert made.by_id("own").data_type == 6 and made.by_id("api_keys.acme-api-key.gl") and len(made.rules) == len(load_rules().rules) + len(g.generate(TOML)) + 1
