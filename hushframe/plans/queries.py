@@ -26,9 +26,9 @@ def contact(text: Column) -> Column:
 
 
 def turn_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The turns, each with a contact that its conversation shares with others."""
+    """The turns, each with a contact that its conversation shares with others; a null text stays null."""
     text = contact(F.col("text"))
-    return table(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("request_id"), F.col("turn").cast("int").alias("text_idx"), text.alias("text"))
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").cast("int").alias("text_idx"), text.alias("text"))
 
 
 def found_in(texts: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def masked_documents(spark, sf_dir) -> DataFrame:
 DOCUMENTS_SQL = "SELECT doc_id AS k, 0 AS i, text FROM documents WHERE doc_id IS NOT NULL"
 TURNS_SQL = """
 SELECT conv_id AS k, turn::INT AS i, text || ' contact user' || (turn % 2) || '.c' || (conv_id % 7) || '@mail.example.com or <EMAIL_1>' AS text
-FROM conversations WHERE text IS NOT NULL
+FROM conversations
 """
 
 
@@ -227,8 +227,8 @@ SELECT event_id, event_type FROM (SELECT *, row_number() OVER (ORDER BY ts DESC,
 
 
 def format_bodies(spark, sf_dir, format, contacts=False):
-    """A request of each conversation in the format, with the turns' texts in order; null texts are left out."""
-    turns = table(spark, sf_dir, "conversations").where("text is not null")
+    """A request of each conversation in the format, with the turns' texts in order; a null text is a message without one."""
+    turns = table(spark, sf_dir, "conversations")
     if contacts:
         turns = turns.withColumn("text", contact(F.col("text")))
     item = {
@@ -247,7 +247,7 @@ def extract_format(format, path):
 
     sql = f"""
 SELECT request_id, replace('{path}', '#', CAST(i AS VARCHAR)) AS path, text FROM (
-  SELECT conv_id AS request_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, text FROM conversations WHERE text IS NOT NULL)
+  SELECT conv_id AS request_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text NULLS FIRST) - 1 AS i, text FROM conversations)
 WHERE text <> ''
 """
     return query, sql
@@ -269,7 +269,7 @@ def roundtrip_bodies(spark, sf_dir):
     return bodies.fields(shown, "messages", "request").join(n, "request_id", "left").select("request_id", "path", "text", F.coalesce("n_values", F.lit(0)).alias("n_values"))
 
 
-BODIES_SQL = f"SELECT k AS request_id, 'messages.' || (row_number() OVER (PARTITION BY k ORDER BY i) - 1) || '.content.0.text' AS path, text, {PUT_SQL} FROM t"
+BODIES_SQL = f"SELECT * FROM (SELECT k AS request_id, 'messages.' || (row_number() OVER (PARTITION BY k ORDER BY i) - 1) || '.content.0.text' AS path, text, {PUT_SQL} FROM t) WHERE text IS NOT NULL"
 
 
 def restore_drifted(spark, sf_dir):
@@ -298,19 +298,19 @@ FROM pages WHERE url IS NOT NULL GROUP BY 1
 
 def event_latency(spark, sf_dir):
     """How many events of each type have a value, read as milliseconds, up to each bound."""
-    rows = table(spark, sf_dir, "events").where("event_type is not null")
+    rows = table(spark, sf_dir, "events")
     return gateway.histogram(rows, F.col("value") / 1000, ["event_type"])
 
 
 LATENCY_SQL = f"""
 SELECT event_type, le, count(*) FILTER (WHERE value / 1000 <= le) AS n FROM events,
-  (SELECT unnest([{', '.join(f"{b}::DOUBLE" for b in gateway.BUCKETS)}, 'inf'::DOUBLE]) AS le) WHERE event_type IS NOT NULL GROUP BY event_type, le
+  (SELECT unnest([{', '.join(f"{b}::DOUBLE" for b in gateway.BUCKETS)}, 'inf'::DOUBLE]) AS le) GROUP BY event_type, le
 """
 
 
 def event_quantiles(spark, sf_dir):
     """Median and 95th percentile of each event type's values, read as milliseconds, interpolated from the buckets."""
-    rows = table(spark, sf_dir, "events").where("event_type is not null")
+    rows = table(spark, sf_dir, "events")
     made = gateway.quantiles(gateway.histogram(rows, F.col("value") / 1000, ["event_type"]), ["event_type"])
     return made.select("event_type", F.round("p50", 9).alias("p50"), F.round("p95", 9).alias("p95"))
 
@@ -349,10 +349,10 @@ UNION ALL SELECT 'passthrough', mode, count(*) FROM q WHERE k % 5 = 0 GROUP BY m
 
 def current_user_event(spark, sf_dir):
     """Each user's last event, as a key-value store would hold it."""
-    return gateway.current_values(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type").where("ts is not null"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+    return gateway.current_values(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
-CURRENT_SQL = "SELECT user_id, event_id, event_type FROM events WHERE ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
+CURRENT_SQL = "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) = 1"
 
 
 def events_retained(spark, sf_dir):
@@ -379,8 +379,9 @@ UNION ALL SELECT DISTINCT conv_id, 'done', 1, 6 FROM conversations WHERE text <>
 
 
 def restore_event_streams(spark, sf_dir):
-    """Each conversation masked and sent as one event stream, a choice per turn, seven characters a frame; the texts that its restored frames say."""
-    texts = turn_texts(spark, sf_dir)
+    """Each conversation masked and sent as one event stream, a choice per turn, seven characters a frame; the texts that
+    its restored frames say. A turn without text sends nothing."""
+    texts = turn_texts(spark, sf_dir).where("text is not null")
     masked, used = mask.mask(texts, found_in(texts))
     text = F.col("masked_text")
     cut = F.transform(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(7)), lambda i: F.substr(text, i + 1, F.lit(7)))
@@ -397,7 +398,7 @@ def restore_event_streams(spark, sf_dir):
     return whole.join(n, "stream_id", "left").select("stream_id", "choice", "text", F.coalesce("n_values", F.lit(0)).alias("n_values"))
 
 
-STREAMS_SQL = f"SELECT k AS stream_id, i AS choice, text, {PUT_SQL} FROM t"
+STREAMS_SQL = f"SELECT k AS stream_id, i AS choice, text, {PUT_SQL} FROM t WHERE text IS NOT NULL"
 
 
 def request_parameters(spark, sf_dir):
