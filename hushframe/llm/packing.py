@@ -177,7 +177,8 @@ def pack(
 
     Every document is the ids of its text (null: empty) and the end token; only those of over `tokens` ids are cut.
     `pieces` and `attention` bound a sequence's pieces and sum of squared lengths; by default neither binds before
-    `tokens` does. Rows that repeat are packed each; an empty table gives an empty result.
+    `tokens` does. Rows that repeat, or have no doc_id, are packed each; a text of any length is packed whole; an empty
+    table gives an empty result; other columns, whatever their names, play no part.
     """
     path = path or tokenizer_path()
     if attention:
@@ -192,13 +193,20 @@ def pack(
 
 
 def sequences(docs: DataFrame, path: str | None = None, **capacities) -> DataFrame:
-    """The packed sequences themselves: sequence_id, ids (array of int). A sequence's pieces come together; they fit."""
+    """The packed sequences themselves: sequence_id, ids (array of int). A sequence's pieces come together; they fit.
+
+    Cases are those of `pack`; rows that repeat are in as often as they come, and an empty table gives no sequence.
+    """
     path = path or tokenizer_path()
     placed = pack(docs, path=path, **capacities).select("doc_id", "piece", "ids_crc32", "sequence_id", "offset")
     ids = token_pieces(docs, path, capacities.get("tokens", TOKENS), keep_ids=True).select("doc_id", "piece", "ids_crc32", "ids")
     key = ["doc_id", "piece", "ids_crc32"]
     copies = F.row_number().over(Window.partitionBy(*key).orderBy(key[0]))
-    both = placed.withColumn("__c", copies).join(ids.withColumn("__c", copies), [*key, "__c"])
+    held = ids.withColumn("c", copies).toDF(*(f"own_{c}" for c in (*ids.columns, "c")))
+    same = F.col("c") == F.col("own_c")
+    for k in key:  # a row may have no doc_id
+        same = same & F.col(k).eqNullSafe(F.col(f"own_{k}"))
+    both = placed.withColumn("c", copies).join(held, same).withColumnRenamed("own_ids", "ids")
     rows = both.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"))
 
     def f(columns: list[list]) -> list[list]:

@@ -159,6 +159,20 @@ def test_packing(docs, rows, empty, broadcast_rows, monkeypatch):
     assert packing.pack(empty).count() == 0
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_packing_under_capacities_that_bind(docs, rule):
+    """Three pieces and a sum of squares of a full piece's: sequences of the packed table keep to all of them."""
+    got = packing.pack(docs, tokens=256, pieces=3, attention=256 * 256, rule=rule).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    assert all(len(x) <= 3 and sum(n for _, n in x) <= 256 and sum(n * n for _, n in x) <= 256 * 256 for x in by.values())
+    assert all(sum(n for _, n in x[:i]) == x[i][0] for x in map(sorted, by.values()) for i in range(len(x)))
+    assert max(map(len, by.values())) == 3
+    ids = {r.sequence_id: r.ids for r in packing.sequences(docs, tokens=256, pieces=3, attention=256 * 256, rule=rule).collect()}
+    assert {k: len(v) for k, v in ids.items()} == {k: sum(n for _, n in x) for k, x in by.items()}
+
+
 def test_encoder_is_the_tokenizer():
     from tokenizers import Tokenizer
 
