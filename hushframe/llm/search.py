@@ -135,19 +135,37 @@ def valid(vectors: DataFrame) -> DataFrame:
 
 
 def sampled(rows: DataFrame, n: int) -> list:
-    """Some SAMPLE different vectors of `rows` (v), those with the least hashes; all, if there are fewer.
+    """v, lo, hi: some SAMPLE different vectors of `rows`, those with the least hashes, and the least and largest vec_id
+    that each has; all, if there are fewer.
 
     Copies of one vector have one hash, so a sample by hash may miss them all: a larger share is tried then.
     """
     share = 1.0 if n <= SAMPLE else SAMPLE / n
     while True:
-        some = rows.select("v").where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).distinct()
-        found = some.limit(4 * SAMPLE).collect()  # the sample's documented bound
+        some = rows.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+        found = some.groupBy("v").agg(F.min("vec_id").alias("lo"), F.max("vec_id").alias("hi")).limit(4 * SAMPLE).collect()  # the sample's documented bound
         if share >= 1 or len(found) >= SAMPLE // 4:
             return found
         share = min(1.0, share * 16)
 
 
+def least_scores(qid: np.ndarray, q: np.ndarray, sample: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int) -> np.ndarray:
+    """For each query a score that its k best all reach: that of the k-th best in the sample, a little less.
+
+    Vectors that only the query's own vec_id has are no candidates. Without k others there is no bound.
+    """
+    out = np.full(len(q), -np.inf)
+    if len(sample) < k:
+        return out
+    for at in range(0, len(q), 256):
+        score = q[at : at + 256].astype(np.float64) @ sample.T
+        own = qid[at : at + 256, None]
+        score[(lo[None] == own) & (hi[None] == own)] = -np.inf
+        best = np.partition(score, len(sample) - k, axis=1)[:, len(sample) - k]
+        out[at : at + 256] = best - 1e-6 * (1 + np.abs(np.where(np.isfinite(best), best, 0)))
+    return out
+
+
 def merged_best(parts: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """query_id, vec_id, score of each query's k best of all parts, ties to the smaller vec_id."""
     q, v, s = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -167,7 +185,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, ranked:
     returned; empty tables give an empty result.
 
     The index stays where it is: a bounded lot of queries goes to all tasks at a time, each scans its vectors in tiles
-    and keeps the k best of a query, and these few are merged.
+    and keeps the k best of a query. Of these it sends on those that reach the k-th best of the sample, so what is merged
+    grows with the queries and with how much larger the table is than the sample, not with the tasks.
     """
     spark = vectors.sparkSession
     result = "query_id long, vec_id long, score double"
@@ -190,8 +209,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, ranked:
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // TILE_VECTORS))
     index = cut(rows.mapInArrow(code, "vec_id long, v binary, code binary").repartition(tasks, "vec_id", "v").dropDuplicates(["vec_id", "v"]), free=True)
+    vectors_ = np.array([r["v"] for r in sample], np.float64)
+    seen = spark.sparkContext.broadcast((vectors_, np.array([r["lo"] for r in sample]), np.array([r["hi"] for r in sample])))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, dim)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least_scores(batch.column(0).to_numpy(), q, *seen.value, k))], names=["vec_id", "v", "least"])
+
     own = valid(queries).where(F.size("v") == dim).select("vec_id", "v").distinct()
-    own = cut(own)
+    own = cut(own.mapInArrow(bounded, f"vec_id long, v {own.schema['v'].dataType.simpleString()}, least double"))
     lots = -(-max(1, own.count()) * dim * 8 // QUERY_BYTES)
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -209,14 +236,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, ranked:
 
     def scanned(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qid, q = shared.value
+            qid, q, least = shared.value
+            order = np.argsort(qid, kind="stable")
+            ids = qid[order]
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            ids, least = ids[first], np.minimum.reduceat(least[order], first)  # of a vec_id that comes with several vectors
             best: list[tuple] = []
             for tile in tiles(batches):
                 x = np.frombuffer(b"".join(tile.column("v").to_pylist()), number).reshape(tile.num_rows, dim)
                 packed = np.frombuffer(b"".join(tile.column("code").to_pylist()), np.uint8).reshape(tile.num_rows, -1)
                 best = [merged_best(best + list(best_of_tile(qid, q, tile.column("vec_id").to_numpy(), x, packed, centres, k, ranked)), k)]
             for found in best:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
+                kept = found[2] >= least[np.searchsorted(ids, found[0])]
+                yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in found], names=["query_id", "vec_id", "score"])
 
         return run
 
@@ -226,7 +258,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, ranked:
         if not asked.num_rows:
             continue
         q = asked.column("v").combine_chunks().flatten().to_numpy().reshape(asked.num_rows, dim)
-        shared = spark.sparkContext.broadcast((asked.column("vec_id").to_numpy(), q))
+        shared = spark.sparkContext.broadcast((asked.column("vec_id").to_numpy(), q, asked.column("least").to_numpy()))
         part = index.mapInArrow(scanned(shared), result)
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         part = part.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
