@@ -45,7 +45,7 @@ def components(links: DataFrame) -> DataFrame:
         near = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         near = with_least(cut(near.distinct()))
         # A node keeps its least neighbour, and its other neighbours get that one in its place.
-        edges = cut(near.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
+        edges = cut(near.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct(), free=True)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

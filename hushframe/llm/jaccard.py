@@ -347,7 +347,7 @@ def links(docs: DataFrame, words: int = WORDS, seed: int = 1) -> DataFrame:
         posts = None
         release(spark)
 
-    blocked = cut(blocks(placed, group))
+    blocked = cut(blocks(placed, group), free=True)
     asking = placed.join(blocked, "node")
     matrix = asking.groupBy("token", "part", "block").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("rest").alias("most_rest"))
     matrix = matrix.withColumnsRenamed({"part": "other", "block": "asked_block"})
@@ -355,7 +355,7 @@ def links(docs: DataFrame, words: int = WORDS, seed: int = 1) -> DataFrame:
     could = (F.col("most_n") >= fitting) & may_link("n", "rest", fitting, "most_rest")
     # Of two parts the one with the larger number is asked, and in a part of several groups later blocks by earlier ones.
     apart = (F.col("part") < F.col("other")) | ((F.col("part") == F.col("other")) & F.col("several") & (F.col("block") <= F.col("asked_block")))
-    requests = cut(asking.join(matrix, "token").where(apart & could).select("node", "n", F.col("asked_block").alias("block")).distinct())
+    requests = cut(asking.join(matrix, "token").where(apart & could).select("node", "n", F.col("asked_block").alias("block")).distinct(), free=True)
     members = blocked.select("node", "block").join(requests.select("block").distinct(), "block", "left_semi")
     return merged(group, found.unionByName(open_blocks(docs, requests, cut(members), words, seed)))
 
@@ -408,7 +408,7 @@ def renamed(group: DataFrame, root: DataFrame) -> DataFrame:
     """`group` after its components, and new nodes, have moved to the component that `root` (node, component) names."""
     named = root.select(F.col("node").alias("component"), F.col("component").alias("root"))
     old = group.join(named, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
-    return cut(old.unionByName(root.join(group.select("node"), "node", "left_anti")))
+    return cut(old.unionByName(root.join(group.select("node"), "node", "left_anti")), free=True)
 
 
 def grown(group: DataFrame, new: DataFrame) -> DataFrame:
@@ -450,7 +450,7 @@ def grouped(docs: DataFrame, words: int = WORDS, seed: int = 1) -> DataFrame:
         return grouped(docs, words, seed + 2)
     group = cut(links(docs, words, seed))
     named = by_node.join(group, "node", "left").select("node", "first_id", "copies", F.coalesce("component", "node").alias("component"))
-    named = cut(named)
+    named = cut(named, free=True)
     firsts = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
     by_node = look_up(named, firsts, "component", "members").select("node", "copies", F.col("component_id.doc_id").alias("component_id"), F.col("component_id.sha").alias("keep_sha"))
     some = look_up(rows.where("node is not null"), by_node, "node", "copies").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "sha", "keep_sha")
