@@ -72,7 +72,14 @@ def path_is_public(path: Column, patterns: list[str]) -> Column:
 
 
 def epoch_to_iso8601(seconds: Column) -> Column:
-    return F.concat(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    """In UTC whatever the session's zone; a year has four digits at least, and no plus sign where it has more."""
+    whole = F.floor(seconds)
+    second = F.pmod(whole, F.lit(86_400))
+    day = F.date_from_unix_date(((whole - second) / 86_400).cast("int"))
+    two = lambda n: F.lpad(n.cast("int").cast("string"), 2, "0")
+    year = F.year(day).cast("string")
+    date = [F.when(F.year(day).between(0, 9999), F.lpad(year, 4, "0")).otherwise(year), F.lit("-"), two(F.month(day)), F.lit("-"), two(F.day(day))]
+    return F.concat(*date, F.lit("T"), two(second / 3600), F.lit(":"), two(second % 3600 / 60), F.lit(":"), two(second % 60), F.lit("Z"))
 
 
 def pg_to_iso8601(stamp: Column) -> Column:

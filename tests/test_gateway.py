@@ -31,6 +31,17 @@ def test_scalars(spark):
     assert ask(s.decode_corpus, base64.urlsafe_b64encode("нет?".encode()).decode().rstrip("=")[::-1]) == "нет?"
 
 
+def test_times_far_from_now(spark):
+    ask = lambda v: one(spark, s.epoch_to_iso8601(F.col("v")), v=v)
+    far = {253_402_300_799: "9999-12-31T23:59:59Z", 253_402_300_800: "10000-01-01T00:00:00Z", 778_148_913_539: "26628-07-23T03:58:59Z", -1: "1969-12-31T23:59:59Z", -62_135_596_801: "0000-12-31T23:59:59Z", -99_999_999_999: "-1199-02-15T14:13:21Z"}
+    assert {v: ask(v) for v in far} == far and one(spark, s.epoch_to_iso8601(F.lit(None).cast("long"))) is None
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert ask(0) == "1970-01-01T00:00:00Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_gateway(spark):
     ask = lambda f, v: one(spark, f(F.col("v")), v=v)
     assert [ask(g.format_of, p) for p in ("/openai/v1/messages?x=/v1/responses", "/v1/responses", "/v2")] == ["messages", "responses", None]
