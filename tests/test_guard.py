@@ -58,6 +58,19 @@ def test_coalescing_equals_a_sweep(spark):
     assert {(r.request_id, r.start, r.end, r.rule_id) for r in done.collect()} == want
 
 
+def test_coalescing_equal_spans(spark):
+    rng = random.Random(5)
+    rows = [(g, 0, s := 3 * rng.randrange(4), s + rng.randrange(1, 3), "r", 1, "X", "") for g in range(100) for _ in range(12)]
+    conf = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().conf()
+    conf.set("spark.shuffle.spill.numElementsForceSpillThreshold", "23")  # sorts that spill leave equal rows in any order
+    try:
+        done = scan.coalesce(spark.createDataFrame(rows, scan.CANDIDATES), texts(spark, [(g, 0, "x" * 60) for g in range(100)])).collect()
+    finally:
+        conf.remove("spark.shuffle.spill.numElementsForceSpillThreshold")
+    want = {(g, s): max(r[3] for r in rows if (r[0], r[2]) == (g, s)) for g, s in {(r[0], r[2]) for r in rows}}
+    assert sorted((r.request_id, r.start, r.end) for r in done) == sorted((g, s, e) for (g, s), e in want.items())
+
+
 def test_masking(spark):
     t = texts(spark, [(1, 0, "mail a@b.example and c@d.example"), (1, 1, "again a@b.example <EMAIL_1> 10.0.0.1"), (2, 0, None), (3, 0, "a@b.example <EMAIL_01>")])
     rules = [r for r in load_rules().rules if r.rule_id in ("pii.email", "ip-addrs.ipv4")]
