@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SMALL_ROWS, cut, table
+from .common import SMALL_ROWS, cut, steps, table
 from .graph import look_up
 from .slots import drop_rows, may_have, mixed_bits, wanted_map
 
@@ -43,8 +43,10 @@ TURNS = 3
 UNIT = 1 << 16
 #: A piece, of which n-grams are sorted together, has so many characters and texts at most; longer texts are parted.
 PIECE_CHARS, TEXT_BITS = 1 << 21, 12
+#: Characters of which a task makes n-grams at once; some 20 numbers of 8 bytes are held for each meanwhile.
+BLOCK_CHARS = 1 << 18
 #: Sums, or n-grams, that a task holds before it sends them on.
-HELD = 1 << 20
+HELD = 1 << 18
 #: Slots in which a task remembers the n-grams that it has sent; one that was displaced is sent again.
 SENT_BITS = 20
 _MULTIPLIERS = np.random.default_rng(31).integers(1, 1 << 63, 2, dtype=np.uint64) | np.uint64(1)
@@ -102,7 +104,7 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list
     A text of more than PIECE_CHARS characters comes in parts; only its first has nothing before it.
     """
     texts, before, keys, halves, n, seen = [], [], [], [], 0, set()
-    for batch in batches:
+    for batch in steps(batches):
         for text, key, half in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if not text or key in seen:
                 continue
@@ -121,6 +123,28 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list
         yield texts, before, keys, halves
 
 
+def blocks(texts: list[str], before: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What `grams` gives for all texts, in blocks of BLOCK_CHARS characters at most; longer texts are parted."""
+    which, own, lead, n = [], [], [], 0
+    for i, (text, b) in enumerate(zip(texts, before, strict=True)):
+        for at in range(0, len(text), BLOCK_CHARS):
+            part = text[at : at + BLOCK_CHARS]
+            if own and n + len(part) > BLOCK_CHARS:
+                yield _numbered(which, own, lead)
+                which, own, lead, n = [], [], [], 0
+            which.append(i)
+            own.append(part)
+            lead.append(text[at - ORDER + 1 : at] if at else b)
+            n += len(part)
+    if own:
+        yield _numbered(which, own, lead)
+
+
+def _numbered(which: list[int], own: list[str], lead: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    text, c, w = grams(own, lead)
+    return np.array(which)[text], c, w
+
+
 def trusted_counts(texts: DataFrame) -> DataFrame:
     """c, w, n0, n1: n-grams (context, character) of `texts` (text, key, half), and how often they come in texts that
     are not of half 0, and not of half 1. Rows that repeat count each."""
@@ -139,15 +163,15 @@ def trusted_counts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             rows = pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(batch.num_rows)), batch.column(2)], names=["text", "key", "half"])
             for own, before, _, halves in pieces(iter([rows])):  # each row has a key of its own here
-                text, c, w = grams(own, before)
-                half = np.array(halves)[text]
-                _, first, back = np.unique(mixed(c, w), return_index=True, return_inverse=True)
-                held.append((c[first], w[first], np.bincount(back, half == 1).astype(np.int64), np.bincount(back, half == 0).astype(np.int64)))
-                if sum(len(x[0]) for x in held[1:]) > HELD:
-                    held = [summed()]
-                    if len(held[0][0]) > HELD:
-                        yield sent(held[0])
-                        held = []
+                for text, c, w in blocks(own, before):
+                    half = np.array(halves)[text]
+                    _, first, back = np.unique(mixed(c, w), return_index=True, return_inverse=True)
+                    held.append((c[first], w[first], np.bincount(back, half == 1).astype(np.int64), np.bincount(back, half == 0).astype(np.int64)))
+                    if sum(len(x[0]) for x in held[1:]) > HELD:
+                        held = [summed()]
+                        if len(held[0][0]) > HELD:
+                            yield sent(held[0])
+                            held = []
         if held:
             yield sent(summed())
 
@@ -222,13 +246,17 @@ def wanted_grams(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = np.zeros(1 << SENT_BITS, np.uint64)
         for texts, before, _, _ in pieces(batches):
-            _, c, w = grams(texts, before)
-            gram = number(c, w)
-            slot = (gram >> np.uint64(64 - SENT_BITS)).astype(np.int64)
-            new = np.flatnonzero(sent[slot] != gram)
-            gram, first = np.unique(gram[new], return_index=True)
-            sent[slot[new[first]]] = gram
-            yield pa.RecordBatch.from_arrays([pa.array(c[new[first]]), pa.array(w[new[first]]), pa.array(gram.view(np.int64))], names=["c", "w", "gram"])
+            found = []
+            for _, c, w in blocks(texts, before):
+                gram = number(c, w)
+                slot = (gram >> np.uint64(64 - SENT_BITS)).astype(np.int64)
+                new = np.flatnonzero(sent[slot] != gram)
+                gram, first = np.unique(gram[new], return_index=True)
+                sent[slot[new[first]]] = gram
+                found.append((gram, c[new[first]], w[new[first]]))
+            gram, c, w = (np.concatenate(x) for x in zip(*found, strict=True))
+            gram, first = np.unique(gram, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c[first]), pa.array(w[first]), pa.array(gram.view(np.int64))], names=["c", "w", "gram"])
 
     return docs.mapInArrow(run, "c long, w long, gram long").distinct()
 
@@ -306,11 +334,13 @@ def document_parts(docs: DataFrame, turn: int, bits: int) -> DataFrame:
             key = np.array(keys, np.int64)[order]
             piece = xxhash.xxh3_64_intdigest(key.tobytes(), task << 32 | no) >> 1
             half = len(halves) - sum(halves)
-            text, c, w = grams(texts, before)
-            gram = number(c, w)
-            mine = _mine(gram, turn)
-            both = np.sort(gram[mine] | text[mine].astype(np.uint64))
-            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else mine
+            both = []
+            for text, c, w in blocks(texts, before):
+                gram = number(c, w)
+                mine = _mine(gram, turn)
+                both.append(gram[mine] | text[mine].astype(np.uint64))
+            both = np.sort(np.concatenate(both))
+            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
             times = np.diff(np.append(first, len(both))).astype(np.uint32)
             both = both[first]
             text = (both & np.uint64((1 << TEXT_BITS) - 1)).astype(np.uint16)

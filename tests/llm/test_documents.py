@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -497,6 +498,43 @@ def test_scores(spark, monkeypatch, piece):
             assert got[i] is None if not t else abs(got[i] - bits[halves[t]](t)) < 1e-3, t
 
 
+def test_grams_in_blocks(monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK_CHARS", 7)
+    rng = random.Random(4)
+    made = ["".join(rng.choice("ab日😀") for _ in range(rng.randrange(1, 40))) for _ in range(30)]
+    before = [rng.choice(["", "xyz"]) for _ in made]
+    parts = [np.concatenate(x) for x in zip(*quality.blocks(made, before), strict=True)]
+    assert all((a == b).all() for a, b in zip(parts, quality.grams(made, before), strict=True))
+
+
+@pytest.mark.parametrize("step", [quality.trusted_counts, quality.wanted_grams, lambda docs: quality.document_parts(docs, 0, 4)])
+def test_quality_holds_little_at_once(spark, monkeypatch, step):
+    """A task's arrays stay few and small for a piece of the largest size, as all tasks of an executor share its memory."""
+    import tracemalloc
+
+    class Task:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            self.run = run
+            return self
+
+        def __getattr__(self, name):
+            return lambda *a: self
+
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("", (), {"partitionId": lambda self: 0})())
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(3_000)]
+    made = [" ".join(rng.choice(words) for _ in range(300)) for _ in range(1_100)]
+    assert sum(map(len, made)) > quality.PIECE_CHARS
+    batch = pa.RecordBatch.from_arrays([pa.array(made), pa.array(range(len(made)), pa.int64()), pa.array([i % 2 for i in range(len(made))], pa.int32())], names=["text", "key", "half"])
+    run = step(Task()).run
+    tracemalloc.start()
+    try:
+        n = sum(b.num_rows for b in run(iter([batch])))
+        assert n and tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_quality(spark, docs, rows, empty):
     labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(80)] + [(None, 1, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
     assert 4 not in {r.doc_id for r in quality.trusted_ids(labels).collect()}
