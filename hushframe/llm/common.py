@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -92,13 +94,31 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], name: str, s
     )
 
 
+@cache
+def _malloc_trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):  # another C library than glibc
+        return None
+
+
+def trim() -> None:
+    """Gives back the memory that this process has freed but kept. Workers serve one task after the other and share their
+    executor's memory, so what one keeps of past tasks the others lack."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim():
+        _malloc_trim()(0)
+
+
 def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in pieces of at most STEP_CHARS bytes of data, one row at least."""
+    """The same rows in pieces of at most STEP_CHARS bytes of data, one row at least; freed memory is given back meanwhile."""
+    trim()
     for batch in batches:
         n = max(1, -(-batch.nbytes // STEP_CHARS))
         size = max(1, batch.num_rows // n)
         for at in range(0, batch.num_rows, size):
             yield batch.slice(at, size)
+            trim()
 
 
 def map_rows(df: DataFrame, columns: list[str], schema: str, f: Callable[[list[list]], list[list]]) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, release, steps, table
+from .common import cut, release, steps, table, trim
 from .exact_dedup import one_each, repeats
 from .graph import components, look_up
 from .slots import WANTED_BITS, bucket_count, drop_rows, in_map, mixed_bits, slot_map, wanted_map, whole
@@ -302,6 +302,7 @@ def open_blocks(docs: DataFrame, requests: DataFrame, blocks: DataFrame, words:
     )
 
     def answer(asking: pa.Table, held: pa.Table) -> pa.Table:
+        trim()
         by: dict = {}
         for side, t in enumerate((asking, held)):
             columns = [t.column(c).to_pylist() for c in t.column_names[1:]]

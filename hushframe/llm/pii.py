@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import map_rows, table, trim
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns.
@@ -331,6 +331,7 @@ def mask_pii(docs: DataFrame) -> DataFrame:
 
     @pandas_udf("string")
     def mask(texts):
+        trim()
         return texts.map(lambda t: masked(t, find(t, weights)[1]) if t else t)
 
     out = docs.withColumn("text", mask("text"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import cut, fresh
+from .common import cut, fresh, trim
 
 #: Slots of a set of wanted numbers, a bit each: 4 MB, whatever the input.
 WANTED_BITS = 25
@@ -104,6 +104,7 @@ def may_have(rows: DataFrame, number: str, bits, name: str) -> DataFrame:
 
     @pandas_udf("boolean")
     def may(every: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        trim()
         known = whole(bits.value, 1 << (WANTED_BITS - 3))
         for numbers in every:
             yield pd.Series(in_map(known, numbers.to_numpy(np.int64)))

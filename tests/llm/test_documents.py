@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hushframe.llm import exact_dedup, graph, jaccard, packing, pieces, pii, quality, secrets, sharding
+from hushframe.llm import common, exact_dedup, graph, jaccard, packing, pieces, pii, quality, secrets, sharding
 
 SCHEMA = "doc_id long, text string, lang string, size long, __x string"
 LONG = " ".join(f"w{i * i % 9973}" for i in range(30_000))
@@ -498,6 +498,19 @@ def test_scores(spark, monkeypatch, piece):
             assert got[i] is None if not t else abs(got[i] - bits[halves[t]](t)) < 1e-3, t
 
 
+def test_steps_give_freed_memory_back():
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    held = [bytes([i % 256]) * 20_000 for i in range(8_000)]
+    last = bytes([1]) * 20_000  # keeps what is below it from going back by itself
+    before = resident()
+    del held
+    assert list(common.steps(iter([pa.RecordBatch.from_pydict({"x": ["a", "b"]})])))[0].num_rows == 2 and last
+    assert before - resident() > 100_000_000
+
+
 def test_grams_in_blocks(monkeypatch):
     monkeypatch.setattr(quality, "BLOCK_CHARS", 7)
     rng = random.Random(4)
