@@ -16,6 +16,8 @@ from .common import cut, fresh, trim
 
 #: Slots of a set of wanted numbers, a bit each: 4 MB, whatever the input.
 WANTED_BITS = 25
+#: Partitions from which the driver gathers a map, one job after the other; a map of 32 MB comes in some 8 MB each.
+GATHERED = 4
 
 
 def mixed_bits(h: np.ndarray) -> np.ndarray:
@@ -28,7 +30,8 @@ def mixed_bits(h: np.ndarray) -> np.ndarray:
 def slot_map(blobs: DataFrame, buckets: int, slots: int, fill) -> list[tuple[int, bytes]]:
     """A map of fixed size, made by bucket: fill(bucket, [blob, ...]) gives the bucket's part. See `whole`.
 
-    blobs: bucket int, data binary. The parts' sum is fixed, so gathering them is bounded.
+    blobs: bucket int, data binary. The parts' sum is fixed, so gathering them is bounded. They are filled in as many
+    partitions as a shuffle has, then dealt to GATHERED, since the driver takes a job for each that it gathers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,7 +49,7 @@ def slot_map(blobs: DataFrame, buckets: int, slots: int, fill) -> list[tuple[int
     schema = pa.schema([("bucket", pa.int32()), ("part", pa.binary())])
     parts = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, part binary")
     each = slots // buckets
-    return [(row["bucket"] * each, bytes(row["part"])) for row in parts.toLocalIterator()]
+    return [(row["bucket"] * each, bytes(row["part"])) for row in parts.repartition(GATHERED).toLocalIterator()]
 
 
 def whole(parts: list[tuple[int, bytes]], slots: int) -> np.ndarray:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hushframe.llm import common, exact_dedup, graph, jaccard, packing, pieces, pii, quality, secrets, sharding
+from hushframe.llm import common, exact_dedup, graph, jaccard, packing, pieces, pii, quality, secrets, sharding, slots
 
 SCHEMA = "doc_id long, text string, lang string, size long, __x string"
 LONG = " ".join(f"w{i * i % 9973}" for i in range(30_000))
@@ -127,6 +127,31 @@ def test_word_hashes_of_slices():
     assert part.tolist() == whole[1:6].tolist()
 
 
+def test_maps_are_gathered_in_few_jobs(spark):
+    numbers = np.random.default_rng(4).integers(-(1 << 63), (1 << 63) - 1, 20_000)
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    sc = spark.sparkContext
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        wanted = spark.createDataFrame([(int(x),) for x in numbers], "number long")
+        sc.setJobGroup("maps", "")
+        parts = slots.wanted_map(wanted)
+        empty = slots.wanted_map(wanted.where("number is null"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    size = 1 << (slots.WANTED_BITS - 3)
+    want = np.zeros(1 << slots.WANTED_BITS, np.uint8)
+    want[slots.wanted_slot(numbers)] = 1
+    assert (slots.whole(parts, size) == np.packbits(want)).all() and len({at for at, _ in parts}) == len(parts) > 64
+    assert not slots.whole(empty, size).any()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert len(sc.statusTracker().getJobIdsForGroup("maps")) <= 2 * (slots.GATHERED + 2)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (5, 5), (3, 1), *((i, i + 1) for i in range(100, 140))]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
