@@ -16,8 +16,8 @@ from .common import cut, fresh, trim
 
 #: Slots of a set of wanted numbers, a bit each: 4 MB, whatever the input.
 WANTED_BITS = 25
-#: Partitions from which the driver gathers a map, one job after the other; a map of 32 MB comes in some 8 MB each.
-GATHERED = 4
+#: Partitions from which the driver gathers a map, one job after the other; a map of 32 MB comes in some 2 MB each.
+GATHERED = 16
 
 
 def mixed_bits(h: np.ndarray) -> np.ndarray:
